@@ -89,7 +89,7 @@ def read_back(examples: DataFrame) -> DataFrame:
         F.sum(F.char_length("text").cast("long")).alias("formatted_chars"),
     )
     # A part is "role\ntext<|im_end|>\n"; the first, before any mark, is empty.
-    parts = F.slice(F.split("text", r"<\|im_start\|>"), 2, F.lit(2**31 - 1))
+    parts = F.filter(F.split("text", r"<\|im_start\|>"), lambda p, i: i > 0)
     turns = F.transform(parts, lambda p: F.struct(
         _unescape_role(F.substring_index(p, "\n", 1)).alias("role"),
         unescape(F.substr(p, F.instr(p, F.lit("\n")) + 1, F.char_length(p) - F.instr(p, F.lit("\n")) - (len(END) + 1))).alias("text"),
