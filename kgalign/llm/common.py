@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,10 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        # Python workers find the package where the driver does; a cluster may ship it by --py-files.
+        home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        if home not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
+            env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
         self.root = f"{shared_folder(spark)}/kgalign/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
 
