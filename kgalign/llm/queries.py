@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chat_digest, format_conversations
 from .common import Scratch, table
 from .line_dedup import dedup_lines
+from .mixing import mix_documents
 from .quality import quality_rules
 from .sharding import shard_documents
 
@@ -24,6 +25,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
@@ -42,6 +47,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op5_mixing": op5_mixing,
         "op7_quality_rules": op7_quality_rules,
         "op10_chat_formatting": op10_chat_formatting,
     }
