@@ -11,6 +11,7 @@ from .chat import chat_digest, format_conversations
 from .common import Scratch, table
 from .line_dedup import dedup_lines
 from .mixing import mix_documents
+from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
 
@@ -35,6 +36,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """Vocabulary files are installed on every machine; their place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -49,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_line_dedup": op2_line_dedup,
         "op5_mixing": op5_mixing,
         "op7_quality_rules": op7_quality_rules,
+        "op9_packing": op9_packing,
         "op10_chat_formatting": op10_chat_formatting,
     }
 
