@@ -11,6 +11,7 @@ from .chat import chat_digest, format_conversations
 from .common import Scratch, table
 from .line_dedup import dedup_lines
 from .mixing import mix_documents
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
@@ -26,6 +27,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op4_near_dedup": op4_near_dedup,
         "op5_mixing": op5_mixing,
         "op7_quality_rules": op7_quality_rules,
         "op9_packing": op9_packing,
