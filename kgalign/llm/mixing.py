@@ -143,7 +143,8 @@ def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
     laps = laps.where("at < quota")
     pieces = laps.select("_row", "k", "size", "at", F.expr(f"explode(sequence(at div {block}, (least(at + size, quota) - 1) div {block}))").alias("j"))
     slots = schedule(spark, quota or [0], block)
-    met = pieces.join(slots, ["k", "j"]).select("_row", "slot", F.expr(f"least(at + size, j * {block} + take) - greatest(at, j * {block})").alias("words"))
+    # The slots are as many as the words allow; their size is not in the statistics of what makes them.
+    met = pieces.join(slots.hint("merge"), ["k", "j"]).select("_row", "slot", F.expr(f"least(at + size, j * {block} + take) - greatest(at, j * {block})").alias("words"))
     taken = met.where("words > 0").groupBy("_row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     return keyed.join(taken, "_row", "left").select(
         "_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot"

@@ -123,4 +123,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     step = step.withColumn("base_failed", failed)
     step = step.withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_words") <= MAX_LOST_PERCENT * F.col("n_words")))
-    return step.select(*base.columns, *own)
+    # A generator of one row: a filter on these columns stays above it. Below, it would be
+    # rewritten in terms of the text, and the word hashes made anew for every word.
+    return step.select(*base.columns, F.inline(F.array(F.struct(*own))))
