@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_conversations
 from .common import Scratch, table
+from .embeddings import near_vectors
 from .line_dedup import dedup_lines
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
+from .token_counts import count_tokens
+from .token_files import read_token_files, write_token_files
+
+
+def tokenizer_path(name: str) -> str:
+    """Vocabulary files are installed on every machine; their place is a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +37,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_files(*write_token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
@@ -35,17 +49,18 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 
 
-def tokenizer_path(name: str) -> str:
-    """Vocabulary files are installed on every machine; their place is a parameter of the operators."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark, table(spark, sf_dir, "embeddings"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +85,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_line_dedup": op2_line_dedup,
+        "op3_token_files": op3_token_files,
         "op4_near_dedup": op4_near_dedup,
         "op5_mixing": op5_mixing,
+        "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
+        "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_packing": op9_packing,
         "op10_chat_formatting": op10_chat_formatting,
         "pipeline": pipeline,
