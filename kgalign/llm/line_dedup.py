@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Scratch, shuffle_partitions
+from .common import SPACES, Scratch, shuffle_partitions, slices
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -49,7 +49,7 @@ def _hash_lines(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             ids, found = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 keys = {k for k in line_keys(text, min_chars) if k is not None}
@@ -125,7 +125,7 @@ def _drop_lines(min_chars: int, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = dict(zip(batch.schema.names, batch.columns))
             drops = columns["_drop"]
             pairs = drops.flatten()

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, slices
 
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 64, 6
@@ -79,7 +79,7 @@ def _features(bands: int, rows: int):
         from .shingles import mix, shingle_sets
 
         place = np.random.Generator(np.random.PCG64(SEED + 1)).integers(1, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in slices(batches):
             ids, texts = (batch.column(i).to_pylist() for i in range(2))
             sizes, keys, found, marks = [], [], [], []
             with np.errstate(over="ignore"):
@@ -121,7 +121,7 @@ def _prune(threshold: float, miss: float):
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from .shingles import shingle_sets
 
-    for batch in batches:
+    for batch in slices(batches):
         sets = [s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
@@ -130,7 +130,7 @@ def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             ok = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 both = len(np.intersect1d(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), assume_unique=True))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, slices
 
 CAPACITY = 2048
 END_ID = 1
@@ -57,7 +57,7 @@ def _pieces(path: str, capacity: int, slack: int):
 
         encode, task, numbers, serial = word_ids(path).encode, TaskContext.get().partitionId(), defaultdict(int), 0
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, at = encode(text) + end, 0

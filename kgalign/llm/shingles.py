@@ -8,7 +8,7 @@ import numpy as np
 
 SHINGLE_WORDS = 5
 #: Texts are hashed together up to so many bytes; a longer text is hashed alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

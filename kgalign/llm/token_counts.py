@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import Scratch
+from .common import Scratch, slices
 
 #: Counts of words remembered by a worker; emptied when full.
 MAX_WORDS = 400_000
@@ -99,7 +99,7 @@ def _count(path: str, names: list[str]):
         if path not in _loaded:
             _loaded[path] = LongestMatch(*byte_level_pieces(path))
         pieces = _loaded[path]
-        for batch in batches:
+        for batch in slices(batches):
             columns = dict(zip(batch.schema.names, batch.columns))
             # split() of bytes cuts at the six ASCII spaces alone.
             words = [(t or "").encode().split() for t in columns["text"].to_pylist()]

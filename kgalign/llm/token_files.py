@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions
+from .common import Scratch, shuffle_partitions, slices
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
@@ -36,7 +36,7 @@ def _tokenize(path: str):
         from .token_ids import word_ids
 
         encode, end = word_ids(path).encode, END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(encode(t) + end, dtype="<u4") for t in batch.column(1).to_pylist()]
             if any(int(x.max()) > 0xFFFF for x in ids):
                 raise ValueError("the table of ids holds 16 bits for each")
