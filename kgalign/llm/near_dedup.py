@@ -6,9 +6,9 @@ buckets. Candidate pairs first compare their signatures batch by batch and are
 pruned once the posterior probability that their similarity reaches the
 threshold falls below ``miss``; survivors are confirmed on their full sets.
 
-Pairs of a bucket are not all made. First each member meets the bucket's smallest
-one; the links found are contracted to components. Then only pairs of a bucket
-that lie in different components meet. So every pair that shares a bucket is
+Pairs of a bucket are not all made. First each member meets the bucket's centre; the
+links found are contracted to components. Then the members of a bucket in different
+components compare their signatures, in blocks, and only survivors become rows. So every pair that shares a bucket is
 either compared or already known to be connected, while a group of n near copies
 costs about n pairs.
 
@@ -25,19 +25,23 @@ result; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import exp, lgamma, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, slices
+from .common import Scratch, components, shuffle_partitions, slices
 
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 64, 6
 #: One-byte minima compared by the verification, in batches.
 SIGNATURE, BATCH = 128, 32
 MISS = 1e-6
+#: Bits of the signatures that members of open buckets compare, in batches.
+LONG_BITS, LONG_BATCH = 4096, 512
+#: Rows of a bucket in one block of comparisons.
+BLOCK_ROWS = 512
 SEED = 11
 
 
@@ -50,7 +54,7 @@ def least_matches(n: int, threshold: float, miss: float) -> int:
     """
     tail = 0.0
     for m in range(n + 1):
-        tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+        tail += exp(lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m) + m * log(threshold) + (n + 1 - m) * log(1 - threshold))
         if tail >= miss:
             return m
     return n + 1
@@ -99,21 +103,100 @@ def _features(bands: int, rows: int):
     return run
 
 
+def _survivors(x, y, left, right, least: list[tuple[int, int]]):
+    """Which of the pairs of rows ``left`` of ``x`` and ``right`` of ``y`` stay, batch by batch of their signatures."""
+    import numpy as np
+
+    alive, matches = np.arange(len(left)), np.zeros(len(left), dtype=np.int64)
+    for n, m in least:
+        cut = slice(n - BATCH, n)
+        matches[alive] += (x[left[alive], cut] == y[right[alive], cut]).sum(axis=1)
+        alive = alive[matches[alive] >= m]
+    return alive
+
+
+def _least(threshold: float, miss: float) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, threshold, miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
+
+
+def _marks(column):
+    import numpy as np
+
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE)
+
+
 def _prune(threshold: float, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        least = [(n, least_matches(n, threshold, miss)) for n in range(BATCH, SIGNATURE + 1, BATCH)]
+        least = _least(threshold, miss)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint8).reshape(-1, SIGNATURE) for i in (2, 3))
-            alive, matches = np.arange(batch.num_rows), np.zeros(batch.num_rows, dtype=np.int64)
+            every = np.arange(batch.num_rows)
+            kept = pa.array(_survivors(_marks(batch.column(2)), _marks(batch.column(3)), every, every, least))
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(kept) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Long signatures, one bit of each of ``LONG_BITS`` minima, from sets: near-threshold pairs need a sharper test."""
+    import numpy as np
+
+    for batch in slices(batches):
+        sets = (np.frombuffer(s, dtype=np.uint64) for s in batch.column(1).to_pylist())
+        with np.errstate(over="ignore"):
+            marks = [np.packbits((low * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)).tobytes() for _, low in _minima(sets, LONG_BITS)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["rep", "marks"])
+
+
+def _compare_blocks(percent: int, miss: float):
+    """Surviving pairs ``(a, b)``, a > b, of rows ``bucket, i, j, own, rep, component, n_shingles, marks`` sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        # One bit agrees with probability (1 + similarity) / 2.
+        least = [(n, least_matches(n, (1 + percent / 100) / 2, miss)) for n in range(LONG_BATCH, LONG_BITS + 1, LONG_BATCH)]
+        held = None
+
+        def survivors(marks, x, y):
+            alive, matches = np.arange(len(x)), np.zeros(len(x), dtype=np.int64)
             for n, m in least:
-                matches[alive] += (x[alive, n - BATCH : n] == y[alive, n - BATCH : n]).sum(axis=1)
+                cut = slice((n - LONG_BATCH) // 8, n // 8)
+                matches[alive] += LONG_BATCH - np.bitwise_count(marks[x[alive], cut] ^ marks[y[alive], cut]).sum(axis=1, dtype=np.int64)
                 alive = alive[matches[alive] >= m]
-            kept = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(kept) for i in (0, 1)], names=["a", "b"])
+            return alive
+
+        def compare(t: pa.Table):
+            i, j, own, rep, part, size = (t.column(n).to_numpy() for n in ("i", "j", "own", "rep", "component", "n_shingles"))
+            cut = np.flatnonzero(np.diff(t.column("bucket").to_numpy()) | np.diff(i) | np.diff(j)) + 1
+            marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, LONG_BITS // 8)
+            a, b = [], []
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(rep)]):
+                r, c, n, o = rep[lo:hi], part[lo:hi], size[lo:hi], own[lo:hi]
+                ok = (r[:, None] > r[None, :]) & (c[:, None] != c[None, :])
+                ok &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
+                if i[lo] != j[lo]:  # two parts of a bucket: each part's own pairs meet in a block of their own
+                    ok &= o[:, None] != o[None, :]
+                x, y = np.nonzero(ok)
+                kept = survivors(marks[lo:hi], x, y)
+                a.append(r[x[kept]]), b.append(r[y[kept]])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            keys = np.stack([held.column(n).to_numpy() for n in ("bucket", "i", "j")])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            if len(other):  # the last block may go on in the next batch
+                yield compare(held.slice(0, int(other[-1]) + 1))
+                held = held.slice(int(other[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield compare(held)
 
     return run
 
@@ -154,13 +237,54 @@ class NearPairs:
         signed = pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y")
         survivors = self.scratch.save(signed.mapInArrow(_prune(self.percent / 100, self.miss), "a long, b long"), "survivors")
         needed = survivors.select(F.col("a").alias("doc_id")).union(survivors.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self.docs.join(needed.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
-        sets = self.scratch.save(texts, "sets")
+        return self.confirmed(survivors, self.sets(needed))
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The sets ``doc_id, shingles`` of ``ids(doc_id)``."""
+        texts = self.docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
+        return self.scratch.save(texts, "sets")
+
+    def confirmed(self, survivors: DataFrame, sets: DataFrame) -> DataFrame:
+        """Those of the saved ``survivors(a, b)`` that reach the threshold on their full sets."""
         side = lambda name, column: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(column))
         full = survivors.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
         return self.scratch.save(full.mapInArrow(_confirm(self.percent), "a long, b long"), "links")
 
 
+def _stars(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, a > b, of each row's rep and its bucket's centre: the rep that meets most others in its buckets.
+
+    Near copies of one text resemble that text more than each other; it meets more
+    of them than any of them does, and so becomes the centre wherever it is.
+    """
+    weight = scratch.save(rows.groupBy("rep").agg(F.sum(F.col("n") - 1).alias("weight")), "weight")
+    weighed = scratch.save(rows.select("bucket", "rep").join(weight, "rep"), "weighed")
+    centres = weighed.groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("rep")).alias("rep"))).alias("c"))
+    centres = scratch.save(centres.select("bucket", (-F.col("c.rep")).alias("centre")), "centres")
+    pairs = weighed.select("bucket", "rep").join(centres, "bucket").where("rep <> centre")
+    return pairs.select(F.greatest("rep", "centre").alias("a"), F.least("rep", "centre").alias("b")).distinct()
+
+
+def _open(scratch: Scratch, shared: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows ``bucket, rep, n_shingles, n, component`` of the buckets in which components still differ."""
+    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    placed = scratch.save(placed.select("bucket", "rep", "n_shingles", "n", "component"), "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return scratch.save(placed.join(scratch.save(mixed, "mixed"), "bucket"), "open")
+
+
+def _across(scratch: Scratch, rows: DataFrame, marks: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Pairs of a bucket's rows in different components that survive the comparison of signatures."""
+    parts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    rows = rows.join(scratch.save(parts, "parts"), "bucket").join(marks, "rep")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    # Rows of a bucket of one block stand once; others meet each part of their bucket.
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "component", "n_shingles", "marks")
+    dealt = rows.repartition(shuffle_partitions(scratch.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(_compare_blocks(percent, miss), "a long, b long")
+
+
 FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary"
 
 
@@ -190,23 +314,18 @@ def _near(scratch: Scratch, docs: DataFrame, made: DataFrame, percent: int, miss
     reps = scratch.save(own.drop("set_key"), "reps")
 
     rows = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first")).where("n > 1").select("bucket", "first")
-    shared = scratch.save(rows.join(buckets, "bucket"), "shared")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = scratch.save(rows.join(sizes, "bucket"), "shared")
     near = NearPairs(scratch, docs, reps.select("rep", "marks"), percent, miss)
-    starred = scratch.save(shared.where("rep <> first").select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct(), "starred")
-    links = near.links(starred)
-
+    stars = scratch.save(_stars(scratch, shared), "stars")
+    links = near.links(stars)
     found = scratch.save(components(scratch, links), "found")
-    placed = shared.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    placed = scratch.save(placed.select("bucket", "rep", "n_shingles", "component"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    open_rows = scratch.save(placed.join(mixed, "bucket"), "open")
-    x, y = open_rows.alias("x"), open_rows.alias("y")
-    fits = f"least(x.n_shingles, y.n_shingles) * 100 >= greatest(x.n_shingles, y.n_shingles) * {percent}"
-    across = x.join(y, F.expr(f"x.bucket = y.bucket and x.rep > y.rep and x.component <> y.component and {fits}"))
-    across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
-    more = near.links(scratch.save(across, "across"))
-    found = scratch.save(components(scratch, links.union(more)), "found")
+    open_rows = _open(scratch, shared, found)
+    sets = near.sets(open_rows.select(F.col("rep").alias("doc_id")).distinct())
+    bits = scratch.save(sets.mapInArrow(_bits, "rep long, marks binary"), "bits")
+    across = _across(scratch, open_rows, bits, percent, miss)
+    more = near.confirmed(scratch.save(across.distinct().join(stars, ["a", "b"], "left_anti"), "across"), sets)
+    found = scratch.save(components(scratch, links.unionByName(more)), "found")
 
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = made.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")

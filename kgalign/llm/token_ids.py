@@ -15,7 +15,7 @@ from array import array
 _SAFE = "\n\x20-\x7eÀ-ÖØ-öø-ÿ"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-#: Entries kept for each worker; the store is emptied when full.
+#: Entries of a worker's store; when it is full, it becomes the old one, of which what is met again is kept.
 MAX_WORDS = 400_000
 
 
@@ -44,19 +44,29 @@ class WordIds(dict):
         else:  # a space goes with what follows
             self.pieces = re.compile(f"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+").findall
         self.short: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.old_short: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         ids = self.short.get(piece)
         if ids is None:
             if len(self.short) >= MAX_WORDS:
-                self.short.clear()
-            ids = self.short[piece] = array("I", [t.id for t in self.model.tokenize(piece.translate(self.bytes))]).tobytes()
+                self.old_short, self.short = self.short, {}
+            ids = self.old_short.get(piece)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(piece.translate(self.bytes))]).tobytes()
+            self.short[piece] = ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
+        """Ids of a word with the space before it, where the tokenizer keeps spaces."""
         if len(self) >= MAX_WORDS:
+            self.old = dict(self)
             self.clear()
-        ids = self[word] = b"".join(map(self._piece, self.pieces(word)))
+        ids = self.old.get(word)
+        if ids is None:
+            ids = b"".join(map(self._piece, self.pieces(word if self.lower or word[:1] == "\n" else " " + word)))
+        self[word] = ids
         return ids
 
     def whole(self, text: str) -> bytes:
@@ -73,8 +83,7 @@ class WordIds(dict):
             return b"".join(map(self._piece, self.pieces(text)))
         # Single white space between words: a line break is a piece of its own, a space goes with the next word.
         words = text.replace("\n", " \n").split(" ")
-        first, words[0] = words[0], ""
-        return b"".join(map(self._piece, self.pieces(first))) + b"".join(map(self.__getitem__, [w if w[:1] == "\n" else " " + w for w in words[1:]]))
+        return b"".join(map(self._piece, self.pieces(words[0]))) + b"".join(map(self.__getitem__, words[1:]))
 
 
 _loaded: dict[str, WordIds] = {}
