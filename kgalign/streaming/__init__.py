@@ -1,0 +1 @@
+"""Nothing here streams: all inputs are finite files. Resuming is ``operators.enrich.still_to_do``."""
