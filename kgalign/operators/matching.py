@@ -19,6 +19,7 @@ from ..storage import workers_find_package, written
 
 BLOCK_ROWS = 1024
 PLACES = 12
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
 def similarity(x, y, metric: str = "inner"):
@@ -66,6 +67,7 @@ def blockwise(source: DataFrame, target: DataFrame, reduce: Callable, schema: st
     left = source.select([F.col(c).alias(f"a_{c}") for c in source.columns])
     right = target.select([F.col(c).alias(f"b_{c}") for c in target.columns])
     pairs = left.crossJoin(right)  # of blocks, not rows
+    shape = pa.schema([(name, _TYPES[kind]) for name, kind in (column.split() for column in schema.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -74,7 +76,7 @@ def blockwise(source: DataFrame, target: DataFrame, reduce: Callable, schema: st
             for row in batch.to_pylist():
                 a, b = ({k[2:]: np.array(v) if isinstance(v, list) else v for k, v in row.items() if k[:2] == side} for side in ("a_", "b_"))
                 x, y = (np.frombuffer(s["m"]).reshape(len(s["ids"]), -1) for s in (a, b))
-                yield pa.RecordBatch.from_pydict(reduce(np.round(similarity(x, y, metric), PLACES), a, b))
+                yield pa.RecordBatch.from_pydict(reduce(np.round(similarity(x, y, metric), PLACES), a, b), schema=shape)
 
     return pairs.mapInArrow(run, schema)
 
