@@ -106,7 +106,7 @@ def _assign(cells, dim: int, chord: float):
             known = np.flatnonzero(dims == dim) if len(c) > 1 else np.zeros(0, np.int64)
             others = np.setdiff1d(np.arange(batch.num_rows), known)
             row.append(others), cell.append(np.zeros(len(others), np.int64)), home.append(np.ones(len(others), bool))
-            for part in np.array_split(known, max(1, len(known) * len(c) // (1 << 21) + 1)):
+            for part in np.array_split(known, len(known) * len(c) // (1 << 21) + 1) if len(known) else ():
                 p = _matrix(batch.column(4).take(pa.array(part)), dim) @ c.T
                 best = p.argmax(axis=1)
                 near = p.max(axis=1)[:, None] - p <= chord * gap[best] + 1e-9
