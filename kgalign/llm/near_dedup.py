@@ -152,7 +152,7 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare_blocks(percent: int, miss: float):
-    """Surviving pairs ``(a, b)``, a > b, of rows ``bucket, i, j, own, rep, component, n_shingles, marks`` sorted by block."""
+    """Surviving pairs ``(a, b)``, a > b, of rows ``bucket, i, j, own, rep, component, n_shingles, marks, bands`` sorted by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -173,6 +173,8 @@ def _compare_blocks(percent: int, miss: float):
             i, j, own, rep, part, size = (t.column(n).to_numpy() for n in ("i", "j", "own", "rep", "component", "n_shingles"))
             cut = np.flatnonzero(np.diff(t.column("bucket").to_numpy()) | np.diff(i) | np.diff(j)) + 1
             marks = np.frombuffer(b"".join(t.column("marks").to_pylist()), dtype=np.uint8).reshape(-1, LONG_BITS // 8)
+            bands = np.concatenate([c.flatten().to_numpy() for c in t.column("bands").chunks]).reshape(-1, BANDS)
+            bucket = t.column("bucket").to_numpy()
             a, b = [], []
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(rep)]):
                 r, c, n, o = rep[lo:hi], part[lo:hi], size[lo:hi], own[lo:hi]
@@ -182,7 +184,11 @@ def _compare_blocks(percent: int, miss: float):
                     ok &= o[:, None] != o[None, :]
                 x, y = np.nonzero(ok)
                 kept = survivors(marks[lo:hi], x, y)
-                a.append(r[x[kept]]), b.append(r[y[kept]])
+                x, y = x[kept], y[kept]
+                # A pair that shares several buckets is told by the one of its first common band alone.
+                first = (bands[lo:hi][x] == bands[lo:hi][y]).argmax(axis=1)
+                x, y = (side[bands[lo:hi][x, first] == bucket[lo]] for side in (x, y)) if len(x) else (x, y)
+                a.append(r[x]), b.append(r[y])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
         for batch in batches:
@@ -280,7 +286,7 @@ def _across(scratch: Scratch, rows: DataFrame, marks: DataFrame, percent: int, m
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Rows of a bucket of one block stand once; others meet each part of their bucket.
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "component", "n_shingles", "marks")
+    rows = rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "component", "n_shingles", "marks", "bands")
     dealt = rows.repartition(shuffle_partitions(scratch.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(_compare_blocks(percent, miss), "a long, b long")
 
@@ -323,7 +329,7 @@ def _near(scratch: Scratch, docs: DataFrame, made: DataFrame, percent: int, miss
     open_rows = _open(scratch, shared, found)
     sets = near.sets(open_rows.select(F.col("rep").alias("doc_id")).distinct())
     bits = scratch.save(sets.mapInArrow(_bits, "rep long, marks binary"), "bits")
-    across = _across(scratch, open_rows, bits, percent, miss)
+    across = _across(scratch, open_rows, bits.join(reps.select("rep", "bands"), "rep"), percent, miss)
     more = near.confirmed(scratch.save(across.distinct().join(stars, ["a", "b"], "left_anti"), "across"), sets)
     found = scratch.save(components(scratch, links.unionByName(more)), "found")
 
