@@ -121,7 +121,7 @@ def schedule(spark: SparkSession, quota: list[int], block: int = BLOCK_WORDS) ->
 
 
 def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
-    """``_row, size, source_size, target, taken, first_slot`` for saved ``rows(_row, doc_id, source, size)``."""
+    """``_row, size, source_size, target, taken, first_slot`` for saved ``rows(_row, doc_id, source, size, _text)``; ``_text`` is a hash."""
     spark = scratch.spark
     found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -136,7 +136,7 @@ def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
         "name string, k int, source_size long, target double, quota long",
     )
     rows = rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")))  # at most MAX_SOURCES rows
-    keyed = scratch.save(rows.select("_row", "doc_id", "size", "k", "source_size", "target", "quota", F.xxhash64("doc_id", F.lit(5)).alias("h")), "keyed")
+    keyed = scratch.save(rows.select("_row", "doc_id", "size", "k", "source_size", "target", "quota", F.xxhash64("doc_id", "_text", F.lit(5)).alias("h")), "keyed")
     placed = running_sum(scratch, keyed.where("size > 0"), ["k"], ["h", "doc_id", "size", "_row"], "size", "at")
     # Where each document lies in the source's words, for every round through the source that the quota reaches.
     laps = placed.select("_row", "k", "size", "quota", F.expr("explode(transform(sequence(0, greatest(0, cast((quota - 1) div source_size as int))), q -> at + q * source_size))").alias("at"))
@@ -154,7 +154,9 @@ def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
 def mix_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """Rows ``doc_id, size, source_size, target, taken, first_slot``, one for each document."""
     scratch = Scratch(spark, "mixing")
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_row"))
+    rows = docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row")
+    )
     return _mixed(scratch, scratch.save(rows, "rows"), block).drop("_row")
 
 
@@ -184,7 +186,7 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK_WOR
     """The mix itself: each document as often as it is taken, the last time cut after the words taken."""
     scratch = Scratch(spark, "mixing")
     rows = scratch.save(docs.withColumns({"_row": F.monotonically_increasing_id(), "_words": word_count(F.col("text"))}), "rows")
-    taken = _mixed(scratch, rows.select("_row", "doc_id", "source", F.col("_words").alias("size")), block)
+    taken = _mixed(scratch, rows.select("_row", "doc_id", "source", F.col("_words").alias("size"), F.xxhash64("text").alias("_text")), block)
     taken = taken.where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
     schema = T.StructType(docs.schema.fields)
     return rows.drop("_words").join(taken.hint("shuffle_hash"), "_row").mapInArrow(_cut(schema.names), schema)
