@@ -103,21 +103,34 @@ def _rank_chunks(size: int, n: int, bounds: list[int], quota: list[int], block:
 
 
 def schedule(spark: SparkSession, quota: list[int], block: int = BLOCK_WORDS) -> DataFrame:
-    """Slots ``k, j, slot, take``: source number, rank in the source, place in the schedule, words to take."""
+    """Slots ``k, j, slot, take``: source number, rank in the source, place in the schedule, words to take.
+
+    Points leave gaps wider than a small source's interval, so a source may own fewer
+    slots than wanted; those it lacks stand after the last one drawn.
+    """
     wanted = [-(-q // block) for q in quota]
     total = max(1, sum(wanted))
-    n = total + total // 64 + 64 * len(quota)  # a few more than wanted, so that each source gets all of its own
+    n = total + total // 64 + 64 * len(quota)  # a few more than wanted, so that few slots are lacking
     done, bounds = 0, []
     for w in wanted[:-1]:
         done += w
         bounds.append(done * MODULUS // total)
     size = max(MIN_CHUNK, -(-n // MAX_CHUNKS))
     chunks = spark.range(0, -(-n // size), 1, min(-(-n // size), 4 * shuffle_partitions(spark))).withColumnRenamed("id", "chunk")
-    counts = chunks.mapInArrow(_count_chunks(size, n, bounds), "chunk long, k int, c long")
+    counts = Scratch(spark, "schedule").save(chunks.mapInArrow(_count_chunks(size, n, bounds), "chunk long, k int, c long"), "counts")
     before = counts.select("chunk", "k", F.expr("sum(c) over (partition by k order by chunk rows between unbounded preceding and 1 preceding)").alias("c"))
     before = before.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("c", F.lit(0)).alias("c")))).alias("x"))
     ranked = before.select("chunk", F.expr("transform(x, y -> y.c)").alias("before"))
-    return ranked.mapInArrow(_rank_chunks(size, n, bounds, quota, block), "k int, j long, slot long, take long")
+    drawn = ranked.mapInArrow(_rank_chunks(size, n, bounds, quota, block), "k int, j long, slot long, take long")
+    got = {r["k"]: r["c"] for r in counts.groupBy("k").agg(F.sum("c").alias("c")).collect()}  # one number for each source
+    lacking, at = [], n
+    for k, w in enumerate(wanted):
+        if got[k] < w:
+            lacking.append((k, got[k], w, at, quota[k]))
+            at += w - got[k]
+    late = spark.createDataFrame(lacking, "k int, got long, wanted long, at long, quota long")
+    late = late.select("k", "got", "at", "quota", F.expr("explode(sequence(got, wanted - 1))").alias("j"))
+    return drawn.unionByName(late.select("k", "j", (F.col("at") + F.col("j") - F.col("got")).alias("slot"), F.expr(f"least({block}L, quota - j * {block})").alias("take")))
 
 
 def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:

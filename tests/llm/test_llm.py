@@ -177,6 +177,15 @@ def test_mixing(spark, docs, odd, none):
     assert mixing.mix_documents(spark, odd).count() == 5 and mixing.mix_documents(spark, none).count() == 0
 
 
+def test_schedule_gives_every_source_its_slots(spark):
+    quota = [500_000 * 64, *(64 * w - w for w in range(1, 21)), 0, 500_000 * 64, *(64 for _ in range(20))]
+    rows = mixing.schedule(spark, quota)
+    found = rows.groupBy("k").agg(F.sum("take").alias("take"), F.count("*").alias("n"), F.countDistinct("j").alias("d"), F.max("j").alias("j")).collect()
+    assert {r.k: r["take"] for r in found} == {k: q for k, q in enumerate(quota) if q}
+    assert all(r.n == r.d == r.j + 1 for r in found)
+    assert rows.select("slot").distinct().count() == rows.count()
+
+
 def test_quality(spark, docs, none):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t in enumerate(_texts()):
