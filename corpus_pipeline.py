@@ -50,7 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens; a repeated document is packed as often as it stands."""
-    return pack_documents(spark, docs, tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    return pack_documents(spark, docs, tokenizer_path("word_bpe_49k.json"), with_ids=False, special_as_text=False)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("near dedup", near), ("mixing", mix), ("packing", pack)]

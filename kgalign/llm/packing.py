@@ -47,7 +47,7 @@ def cut_lengths(n: int, capacity: int, slack: int) -> list[tuple[int, int]]:
     return out
 
 
-def _pieces(path: str, capacity: int, slack: int):
+def _pieces(path: str, capacity: int, slack: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import defaultdict
 
@@ -55,7 +55,7 @@ def _pieces(path: str, capacity: int, slack: int):
 
         from .token_ids import word_ids
 
-        encode, task, numbers, serial = word_ids(path).encode, TaskContext.get().partitionId(), defaultdict(int), 0
+        encode, task, numbers, serial = word_ids(path, special_as_text).encode, TaskContext.get().partitionId(), defaultdict(int), 0
         end = END_ID.to_bytes(4, "little")
         for batch in slices(batches):
             rows: list[list] = [[] for _ in range(7)]
@@ -110,12 +110,16 @@ def _fit(capacity: int):
 
 
 def pack_documents(
-    spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: int = SLACK, with_ids: bool = True
+    spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: int = SLACK, with_ids: bool = True,
+    special_as_text: bool = True,
 ) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, asked for, ``ids`` (little-endian 32-bit)."""
+    """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, asked for, ``ids`` (little-endian 32-bit).
+
+    Control strings in a text are encoded as text, or with ``special_as_text=False`` as the library does by default.
+    """
     scratch = Scratch(spark, "packing")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        _pieces(tokenizer_path, capacity, slack),
+        _pieces(tokenizer_path, capacity, slack, special_as_text),
         "task int, serial long, doc_id long, start long, ids binary, doc_tokens long, k int, number long",
     )
     pieces = scratch.save(cut, "pieces")

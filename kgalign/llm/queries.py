@@ -38,7 +38,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_token_files(*write_token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json")))
+    docs = table(spark, sf_dir, "documents")
+    return read_token_files(*write_token_files(spark, docs, tokenizer_path("byte_bpe_50k.json"), special_as_text=False))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +65,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
+    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False, special_as_text=False)
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,13 +29,13 @@ END_ID = 0
 BLOCK_TOKENS = 1 << 20
 
 
-def _tokenize(path: str):
+def _tokenize(path: str, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from .token_ids import word_ids
 
-        encode, end = word_ids(path).encode, END_ID.to_bytes(4, "little")
+        encode, end = word_ids(path, special_as_text).encode, END_ID.to_bytes(4, "little")
         for batch in slices(batches):
             ids = [np.frombuffer(encode(t) + end, dtype="<u4") for t in batch.column(1).to_pylist()]
             if any(int(x.max()) > 0xFFFF for x in ids):
@@ -112,14 +112,19 @@ def _read_blocks(freq):
     return run
 
 
-def write_token_files(spark: SparkSession, docs: DataFrame, tokenizer_path: str, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, object]:
-    """The block table ``part, number, start, tokens, block`` and its shared frequency table (a broadcast array)."""
+def write_token_files(
+    spark: SparkSession, docs: DataFrame, tokenizer_path: str, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = True
+) -> tuple[DataFrame, object]:
+    """The block table ``part, number, start, tokens, block`` and its shared frequency table (a broadcast array).
+
+    Control strings in a text are encoded as text, or with ``special_as_text=False`` as the library does by default.
+    """
     import numpy as np
 
     from .rans import Model
 
     scratch = Scratch(spark, "token_files")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path), "doc_id long, ids binary")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text), "doc_id long, ids binary")
     ids = scratch.save(ids, "ids")
     counts = np.zeros(1 << 16, dtype=np.int64)
     # At most one row for each id of the vocabulary.

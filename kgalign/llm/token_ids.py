@@ -3,7 +3,9 @@
 ``encode`` of the library is exact but slow, and texts repeat their words. A text
 is cut where the tokenizer always cuts, and the ids of each piece are kept. A
 text with characters or white space for which the cuts are not certain goes to
-the library whole, so the result is the library's in any case.
+the library whole, so the result is the library's in any case. By default a
+control string in a text is its one id, as in the library; with
+``special_as_text`` it is encoded like any other text.
 """
 
 from __future__ import annotations
@@ -29,11 +31,15 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Ids (little-endian 32-bit) of texts; as a dict: of the pieces met so far."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are text
+        self.tokenizer.encode_special_tokens = special_as_text
+        # Added tokens are found before a text is cut, some of them in the normalized text.
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        case = re.IGNORECASE if any(t.normalized for t in added) else 0
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)", case).search
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
@@ -75,7 +81,7 @@ class WordIds(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.safe(text):
+        if not self.safe(text) or self.added(text):
             return self.whole(text)
         if self.lower:
             return b"".join(map(self.__getitem__, text.lower().replace("\n", " ").split(" ")))
@@ -86,11 +92,12 @@ class WordIds(dict):
         return b"".join(map(self._piece, self.pieces(words[0]))) + b"".join(map(self.__getitem__, words[1:]))
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """One for each worker process and file."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+def word_ids(path: str, special_as_text: bool = False) -> WordIds:
+    """One for each worker process, file and treatment of control strings."""
+    key = (path, special_as_text)
+    if key not in _loaded:
+        _loaded[key] = WordIds(*key)
+    return _loaded[key]

@@ -265,6 +265,26 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack_documents(spark, none, path).count() == 0
 
 
+def test_control_strings_as_in_the_library(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "a <|startoftext|> b", "<|EndOfText|>", "x\n<|endoftext|><|endoftext|>y <|startoftext|>", "plain words", "<|endoftext|", None]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    ids = lambda name, end: [[*Tokenizer.from_file(tokenizer_path(name)).encode(t or "", add_special_tokens=False).ids, end] for t in texts]
+    crc = lambda x: zlib.crc32(np.array(x, dtype="<u4").tobytes())
+    want = ids("byte_bpe_50k.json", 0)
+    got = {r.doc_id: r for r in queries()["op3_token_files"](spark, str(tmp_path)).collect()}
+    assert [(got[i].n_tokens, got[i].ids_crc32) for i in range(len(texts))] == [(len(x), crc(x)) for x in want]
+    assert [got[i].start for i in range(len(texts))] == [sum(map(len, want[:i])) for i in range(len(texts))]
+    want = ids("word_bpe_49k.json", 1)
+    for rows in (queries()["op9_packing"](spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        rows = rows.collect()
+        assert all((r.doc_tokens, r.ids_crc32) == (len(want[r.doc_id]), crc(want[r.doc_id][r.start : r.start + r.length])) for r in rows)
+        assert sum(r.length for r in rows) == sum(map(len, want))
+
+
 def test_cut_lengths():
     for n in range(1, 5000, 7):
         cut = packing.cut_lengths(n, 2048, 8)
