@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kgalign.llm.common import Scratch
 from kgalign.llm.line_dedup import dedup_lines
 from kgalign.llm.mixing import mixed_documents
-from kgalign.llm.near_dedup import near_duplicates
+from kgalign.llm.near_dedup import without_near_duplicates
 from kgalign.llm.packing import pack_documents
 from kgalign.llm.quality import quality_rules
 from kgalign.llm.queries import tokenizer_path
@@ -38,9 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    kept = near_duplicates(spark, docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return _documents(docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi"))
+    """One row of each group of near duplicates stays, also where ids are repeated or null."""
+    return _documents(without_near_duplicates(spark, docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,10 +16,11 @@ With 64 bands of 6 rows a pair at 0.75 shares no bucket with probability 4e-6,
 a pair at 0.8 with 4e-9.
 
 Defined results: a null text, or one without words, has the empty set and links
-with nothing; where a doc_id is repeated, its least text stands for it and all its
-rows get that document's component, each with its own count; a null doc_id links
-with nothing and is not kept (its component is null); an empty table gives an empty
-result; columns other than doc_id and text are ignored.
+with nothing; where a doc_id is repeated, each of its rows is compared by its own
+text, and its component is named by the least doc_id in it; in ``near_duplicates``
+a null doc_id links with nothing and is not kept (its component is null), in
+``without_near_duplicates`` it is a document like others; an empty table gives an
+empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -298,18 +299,35 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = THRESHO
     """Rows ``doc_id, n_shingles, component_id, kept``, one for each document."""
     scratch = Scratch(spark, "near")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = scratch.save(docs.mapInArrow(_features(BANDS, ROWS), FEATURES), "features")
-    again = scratch.save(made.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.isEmpty():
-        return _near(scratch, docs, made, percent, miss)
-    # Repeated ids: the least text stands for its doc_id, and all rows get that document's component.
-    known = docs.where("doc_id is not null")
-    one = known.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    docs = scratch.save(known.join(again, "doc_id", "left_anti").unionByName(one), "docs")
-    unique = scratch.save(docs.mapInArrow(_features(BANDS, ROWS), FEATURES), "features")
-    found = _near(scratch, docs, unique, percent, miss).select("doc_id", "component_id", "kept")
-    out = made.select("doc_id", "n_shingles").join(found, "doc_id", "left")
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce("kept", F.lit(False)).alias("kept"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _near(scratch, docs, _featured(scratch, docs), percent, miss)
+    # Repeated ids: rows are compared by a number of their own, and components named at the end.
+    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.when(F.col("doc_id").isNotNull(), F.col("_row")).alias("doc_id"), "text")
+    found = _near(scratch, keyed, _featured(scratch, keyed), percent, miss).withColumnsRenamed({"doc_id": "_row", "component_id": "_component"})
+    found = scratch.save(found.drop("kept").join(rows.select("_row", "doc_id"), "_row", "left"), "rows_found")
+    least = found.groupBy("_component").agg(F.min("doc_id").alias("component_id"))
+    out = found.join(least, "_component", "left")
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: float = MISS) -> DataFrame:
+    """``docs`` with one row of each component: that of the least doc_id, null last, then the least hash of the row."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        kept = near_duplicates(spark, docs, percent, miss).where("kept").select(F.col("doc_id").alias("_id"))
+        return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+    scratch = Scratch(spark, "near")
+    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
+    found = _near(scratch, keyed, _featured(scratch, keyed), percent, miss).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "_row")
+    ranked = rows.select("_row", order.alias("_order")).join(found, "_row")
+    kept = ranked.groupBy("component_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
+    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+
+
+def _featured(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    return scratch.save(docs.mapInArrow(_features(BANDS, ROWS), FEATURES), "features")
 
 
 def _near(scratch: Scratch, docs: DataFrame, made: DataFrame, percent: int, miss: float) -> DataFrame:

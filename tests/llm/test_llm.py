@@ -131,6 +131,22 @@ def test_near_dedup(spark, docs, odd, none):
     assert near_dedup.near_duplicates(spark, none).count() == 0
 
 
+def test_near_dedup_of_repeated_and_null_ids(spark):
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (7, b + " more"), (8, c), (None, c + " more"), (None, d), (None, d + " more"), (9, ""), (9, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(spark, docs).collect())
+    assert got == Counter({
+        (1, 76, 1, True): 1, (5, 77, 1, False): 1, (5, 76, 5, True): 2, (7, 77, 5, False): 1, (8, 76, 8, True): 1,
+        (None, 77, None, False): 2, (None, 76, None, False): 1, (9, 0, 9, True): 2,
+    })
+    stay = [(r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, "").collect()]
+    assert len([t for i, t in stay if i is None and t in (d, d + " more")]) == 1
+    assert Counter(x for x in stay if x[0] is not None) == Counter([(1, a), (5, b), (8, c), (9, ""), (9, None)]) and len(stay) == 6
+
+
 def test_near_dedup_of_many_near_copies(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(80)]
