@@ -14,8 +14,8 @@ and what is over is shared again by weight.
 Defined results: a null text has no words; documents without words are never
 taken; the order inside a source is the hash of doc_id and text, so it does not
 depend on the input's order, and equal rows are interchangeable; an empty table
-gives an empty result. The list of sources goes to the driver: it is the list of
-weights, one number for each named source (at most ``MAX_SOURCES``, checked).
+gives an empty result. Up to ``MAX_SOURCES`` sources are a list, held by the driver
+and every chunk of the schedule; more are a table, with the same results.
 """
 
 from __future__ import annotations
@@ -102,6 +102,11 @@ def _rank_chunks(size: int, n: int, bounds: list[int], quota: list[int], block:
     return run
 
 
+def _drawn(total: int, sources: int) -> int:
+    """Slots to draw: a few more than wanted, so that few are lacking."""
+    return total + total // 64 + 64 * min(sources, 4096)
+
+
 def schedule(spark: SparkSession, quota: list[int], block: int = BLOCK_WORDS) -> DataFrame:
     """Slots ``k, j, slot, take``: source number, rank in the source, place in the schedule, words to take.
 
@@ -110,7 +115,7 @@ def schedule(spark: SparkSession, quota: list[int], block: int = BLOCK_WORDS) ->
     """
     wanted = [-(-q // block) for q in quota]
     total = max(1, sum(wanted))
-    n = total + total // 64 + 64 * len(quota)  # a few more than wanted, so that few slots are lacking
+    n = _drawn(total, len(quota))
     done, bounds = 0, []
     for w in wanted[:-1]:
         done += w
@@ -133,12 +138,56 @@ def schedule(spark: SparkSession, quota: list[int], block: int = BLOCK_WORDS) ->
     return drawn.unionByName(late.select("k", "j", (F.col("at") + F.col("j") - F.col("got")).alias("slot"), F.expr(f"least({block}L, quota - j * {block})").alias("take")))
 
 
-def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
-    """``_row, size, source_size, target, taken, first_slot`` for saved ``rows(_row, doc_id, source, size, _text)``; ``_text`` is a hash."""
-    spark = scratch.spark
-    found = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: weights are given to named sources; map others to one name first")
+def _source_table(scratch: Scratch, sizes: DataFrame, block: int, max_repeats: int = MAX_REPEATS) -> DataFrame:
+    """``name, k, source_size, target, quota, wanted`` of ``sizes(source, n)``: ranks and ``targets`` without a list."""
+    ordered = scratch.save(sizes.select(F.col("source").alias("name"), F.col("source").isNull().alias("_null"), "n", F.lit(1).alias("_one")), "sizes")
+    ranked = running_sum(scratch, ordered, [], ["_null", "name"], "_one", "k")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("k") % len(WEIGHTS) + 1).cast("int")).cast("long")
+    rows = scratch.save(ranked.select("name", "k", "n", weight.alias("w")), "ranked")
+    words, shares = rows.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    left, free, over = words, shares, F.lit(False)
+    while free:
+        # The share of a free source grows from round to round, so that what was over the limit once stays over it.
+        most = F.coalesce(*[F.when(F.col("w") == w, F.lit((left * w - 1) // (max_repeats * free))) for w in sorted(set(WEIGHTS))])
+        over = (F.col("n") > 0) & (F.col("n") <= most)
+        n, w = rows.where(over).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
+        if (left, free) == (words - max_repeats * n, shares - w):
+            break
+        left, free = words - max_repeats * n, shares - w
+    given, rest = F.expr(f"({left}L * w) div {max(1, free)}L"), F.expr(f"2 * (({left}L * w) % {max(1, free)}L)")
+    up = (rest > free) | ((rest == free) & (given % 2 == 1))  # halves go to the even number, as in Python
+    share = F.expr(f"cast({left}L * w as double) / cast({max(1, free)}L as double)")
+    out = rows.withColumns({
+        "target": F.when(F.col("n") == 0, 0.0).when(over, (max_repeats * F.col("n")).cast("double")).otherwise(share),
+        "quota": F.when(F.col("n") == 0, 0).when(over, max_repeats * F.col("n")).otherwise(given + F.when(up, 1).otherwise(0)).cast("long"),
+    })
+    out = out.withColumn("wanted", F.expr(f"(quota + {block - 1}) div {block}"))
+    return scratch.save(out.select("name", "k", F.col("n").alias("source_size"), "target", "quota", "wanted"), "source_table")
+
+
+def _schedule_of_table(scratch: Scratch, sources: DataFrame, block: int) -> DataFrame:
+    """``schedule`` of the saved table ``sources(k, quota, wanted)``."""
+    count, total = sources.agg(F.count("*"), F.sum("wanted")).first()
+    total = max(1, total)
+    n = _drawn(total, count)
+    bounds = running_sum(scratch, sources.select("k", "wanted"), [], ["k"], "wanted", "done").where("k > 0")
+    bounds = bounds.select(F.expr(f"cast(cast(done as decimal(20)) * {MODULUS} div {total} as long)").alias("p"), F.lit(-1).cast("long").alias("slot"), F.lit(1).alias("_bound"))
+    points = scratch.spark.range(n).select(F.expr(f"id % {MODULUS} * {GOLDEN_STEP} % {MODULUS}").alias("p"), F.col("id").alias("slot"), F.lit(0).alias("_bound"))
+    # A point's source is the number of bounds up to it.
+    owners = running_sum(scratch, scratch.save(bounds.unionByName(points), "points"), [], ["p", "slot"], "_bound", "k").where("slot >= 0")
+    owners = scratch.save(owners.select("k", "slot", F.lit(1).alias("_one")), "owners")
+    limits = sources.select("k", "quota", "wanted")
+    drawn = running_sum(scratch, owners, ["k"], ["slot"], "_one", "j").join(limits, "k").select("k", "j", "slot", "quota")
+    got = owners.groupBy("k").agg(F.count("*").alias("got"))
+    lacking = limits.join(got, "k", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < wanted").withColumn("lack", F.expr("wanted - got"))
+    late = running_sum(scratch, scratch.save(lacking, "lacking"), [], ["k"], "lack", "at")
+    late = late.select("k", "got", "at", "quota", F.expr("explode(sequence(got, wanted - 1))").alias("j"))
+    slots = drawn.unionByName(late.select("k", "j", (F.lit(n) + F.col("at") + F.col("j") - F.col("got")).alias("slot"), "quota"))
+    return slots.select("k", "j", "slot", F.expr(f"least({block}L, quota - j * {block})").alias("take")).where("take > 0")
+
+
+def _listed(spark: SparkSession, found: list, block: int) -> tuple[DataFrame, DataFrame]:
+    """The sources to broadcast and the schedule, from a list of ``source, n``."""
     # Python compares strings by code point.
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["n"] for r in found]
@@ -148,14 +197,26 @@ def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
         [(r["source"], k, sizes[k], float(aims[k]), quota[k]) for k, r in enumerate(found)],
         "name string, k int, source_size long, target double, quota long",
     )
-    rows = rows.join(F.broadcast(names), F.col("source").eqNullSafe(F.col("name")))  # at most MAX_SOURCES rows
+    return F.broadcast(names), schedule(spark, quota or [0], block)  # at most MAX_SOURCES rows
+
+
+def _mixed(scratch: Scratch, rows: DataFrame, block: int) -> DataFrame:
+    """``_row, size, source_size, target, taken, first_slot`` for saved ``rows(_row, doc_id, source, size, _text)``; ``_text`` is a hash."""
+    spark = scratch.spark
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("n"))
+    found = sizes.limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        names = _source_table(scratch, sizes, block)
+        slots = _schedule_of_table(scratch, names, block)
+    else:
+        names, slots = _listed(spark, found, block)
+    rows = rows.join(names, F.col("source").eqNullSafe(F.col("name")))
     keyed = scratch.save(rows.select("_row", "doc_id", "size", "k", "source_size", "target", "quota", F.xxhash64("doc_id", "_text", F.lit(5)).alias("h")), "keyed")
     placed = running_sum(scratch, keyed.where("size > 0"), ["k"], ["h", "doc_id", "size", "_row"], "size", "at")
     # Where each document lies in the source's words, for every round through the source that the quota reaches.
     laps = placed.select("_row", "k", "size", "quota", F.expr("explode(transform(sequence(0, greatest(0, cast((quota - 1) div source_size as int))), q -> at + q * source_size))").alias("at"))
     laps = laps.where("at < quota")
     pieces = laps.select("_row", "k", "size", "at", F.expr(f"explode(sequence(at div {block}, (least(at + size, quota) - 1) div {block}))").alias("j"))
-    slots = schedule(spark, quota or [0], block)
     # The slots are as many as the words allow; their size is not in the statistics of what makes them.
     met = pieces.join(slots.hint("merge"), ["k", "j"]).select("_row", "slot", F.expr(f"least(at + size, j * {block} + take) - greatest(at, j * {block})").alias("words"))
     taken = met.where("words > 0").groupBy("_row").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))

@@ -202,6 +202,19 @@ def test_schedule_gives_every_source_its_slots(spark):
     assert rows.select("slot").distinct().count() == rows.count()
 
 
+def test_mixing_of_more_sources_than_a_list_holds(spark, docs, monkeypatch):
+    rng = random.Random(8)
+    names = [None, "", "é", "z", "日本", *(f"host{i}" for i in range(40))]
+    size = lambda s: 40 if s == "z" else 1
+    rows = [(i, rng.choice([None, "", "w " * rng.randint(1, 30 * size(s))]) if i % 3 else "w " * rng.randint(1, 9), s) for i, s in enumerate(names * 3)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_list = sorted((tuple(r) for r in mixing.mix_documents(spark, many, block=4).collect()))
+    monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
+    assert sorted((tuple(r) for r in mixing.mix_documents(spark, many, block=4).collect())) == by_list
+    wordless = spark.createDataFrame([(i, None, f"s{i}") for i in range(5)], "doc_id long, text string, source string")
+    assert [(r.taken, r.target) for r in mixing.mix_documents(spark, wordless).collect()] == [(0, 0.0)] * 5
+
+
 def test_quality(spark, docs, none):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     for i, t in enumerate(_texts()):
