@@ -46,12 +46,12 @@ def given_split(train: DataFrame, test: DataFrame) -> DataFrame:
 def hard_entities(difficulty: DataFrame, ratio: float, order: str = "hard", seed: int = 42) -> DataFrame:
     """``id, difficulty``: ``int(n * ratio)`` of the entities, ``hard`` or ``easy`` ones first, or at ``random``."""
     first = {"hard": [F.desc("difficulty"), "id"], "easy": ["difficulty", "id"], "random": [seeded(seed, F.col("id")), "id"]}[order]
-    return difficulty.orderBy(*first).limit(int(difficulty.count() * ratio))
+    return dense_ids(difficulty, first, "_at").where(F.col("_at") < int(difficulty.count() * ratio)).drop("_at")
 
 
 def shortest_texts(anchors: DataFrame, texts: DataFrame, ratio: float = 0.2) -> DataFrame:
     """``name`` of the ``int(n * ratio)`` anchors with the shortest text."""
     own = texts.join(anchors.select("name"), "name", "left_semi")
-    return own.orderBy(F.length("content"), "name").limit(int(anchors.count() * ratio)).select("name")
+    return dense_ids(own, [F.length("content"), "name"], "_at").where(F.col("_at") < int(anchors.count() * ratio)).select("name")
 
 

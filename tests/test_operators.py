@@ -136,3 +136,17 @@ def test_enrichment(spark):
     assert {r.id: r.content for r in good.collect()} == {1: "second", 2: "fine"} and bad.count() == 0
     assert [r.id for r in enrich.still_to_do(t, good.where("id = 1")).collect()] == [2]
     assert [r.value for r in enrich.each_line(t.selectExpr("id as pos", "name as value"), str.upper).orderBy("pos").collect()] == ["A", "B"]
+
+
+@pytest.mark.parametrize("order", ["hard", "easy", "random"])
+def test_shares_of_rows_pass_no_single_task(spark, order):
+    rows = spark.range(100).select("id", (F.col("id") % 7 / 7).alias("difficulty"))
+    got = splits.hard_entities(rows, 0.3, order)
+    first = {"hard": lambda r: (-r.difficulty, r.id), "easy": lambda r: (r.difficulty, r.id)}.get(order)
+    assert got.count() == 30 and got.columns == ["id", "difficulty"]
+    assert not first or {r.id for r in got.collect()} == {r.id for r in sorted(rows.collect(), key=first)[:30]}
+    texts_ = spark.range(50).select(F.col("id").cast("string").alias("name"), F.expr("repeat('x', cast(id % 9 as int))").alias("content"))
+    short = splits.shortest_texts(texts_.select("name"), texts_, 0.2)
+    want = sorted(texts_.collect(), key=lambda r: (len(r.content), r.name))[:10]
+    assert {r.name for r in short.collect()} == {r.name for r in want}
+    assert all("Limit" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (got, short))
