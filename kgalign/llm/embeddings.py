@@ -1,26 +1,37 @@
 """Operator 8, embedding near-dedup: spherical k-means cells, blocked cosine products.
 
 Equal vectors of a label are one class. A bounded sample of classes trains unit
-centroids; every class has a home cell, its nearest centroid, and is also shown to
-each cell whose members may be near enough: a vector within the chord
-``sqrt(2 - 2 * threshold)`` of one beyond the bisecting plane of two centroids lies
-within that distance of the plane itself. So all links of a vector are found in
-its home cell, and none is lost by the cells. Cells are cut in blocks; a block
-product yields counts of links and, instead of pairs, a spanning set of links of
-its connected vectors, so that the output grows with the vectors.
+centroids, at any table size; every class has a home cell, its nearest centroid, and
+is a guest in the cells whose bisecting plane with its home is near enough. For two
+vectors at homes A and B, the distances of the one beyond B's plane and of the other
+beyond A's sum up to no more than the length of their difference along the planes'
+normal; so one of the two is within half of it, and guests within half the chord
+``sqrt(2 - 2 * threshold)`` find every pair: that is ``exact``. By default guests are
+those within ``SPREAD`` standard deviations of that half, for a difference that
+points anywhere: chord / 2 * SPREAD / sqrt(dimensions). A pair at the threshold is
+then missed with probability 6e-7, and cells have few guests however many they are.
+
+Where one level of centroids would be too many to broadcast, there are two: coarse
+cells, then cells within each, trained and assigned where their rows are. Cells are
+cut in blocks; a block product yields counts of links and, instead of pairs, a
+spanning set of links of its connected vectors, so that the output grows with the
+vectors. A pair that meets in several cells counts in the least of them.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components, and rows with a null label, link with nothing and are kept; vectors of
-different length are not compared; repeated rows are vectors of their own; a null
-vec_id links as any other but is never a component's name or kept; an empty table
-gives an empty result; other columns are ignored.
+different length are not compared, each length has cells of its own; repeated rows
+are vectors of their own; a null vec_id links as any other but is never a component's
+name or kept, and a group of nulls alone has a null component; an empty table gives
+an empty result; other columns are ignored.
 
-Documented bounds: SAMPLE rows train the cells; MAX_CELLS centroids are broadcast.
+Documented bounds: SAMPLE rows of a length train its cells; MAX_CELLS centroids are
+broadcast, and are the most cells of a coarse cell.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,11 +40,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 THRESHOLD = 0.98
-CELL_ROWS = 512
+CELL_ROWS = 2048
 MAX_CELLS = 4096
-SAMPLE = 50_000
+SAMPLE = 100_000
 ROUNDS = 5
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 2048
+#: Standard deviations of half a pair's difference along a direction, for the default margin.
+SPREAD = 5.0
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,129 +72,258 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "label", "dim", "key", "unit"])
 
 
-def _matrix(column: pa.Array, dim: int):
+def _matrix(column, dim: int):
     import numpy as np
 
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float64).reshape(-1, dim)
 
 
-def train_cells(scratch: Scratch, classes: DataFrame, dim: int, cells: int, sample: int = SAMPLE, rounds: int = ROUNDS):
-    """Unit centroids, ``cells`` at most, from a bounded sample of ``classes(cid, dim, unit)``."""
+def _moved(centroids, total):
+    """Centroids at the unit mean of their rows; one without rows stays."""
+    import numpy as np
+
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    return np.where(norm > 0, total / np.where(norm > 0, norm, 1), centroids)
+
+
+def train_cells(scratch: Scratch, classes: DataFrame, cells: dict[int, int], sample: int = SAMPLE, rounds: int = ROUNDS) -> dict:
+    """Unit centroids of each length, ``cells[dim]`` at most, from a bounded sample of ``classes(dim, key, unit)``."""
     import numpy as np
 
-    own = classes.where(F.col("dim") == dim)
-    every = max(1, -(-own.count() // sample))
-    drawn = scratch.save(own.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).select(F.xxhash64("key", F.lit(3)).alias("h"), "unit"), "sample")
-    centroids = np.array([np.frombuffer(r["unit"]) for r in drawn.orderBy("h", "unit").limit(cells).collect()]).reshape(-1, dim)
-    for _ in range(rounds if len(centroids) > 1 else 0):
+    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row for each length of vectors
+    every = F.coalesce(*[F.when(F.col("dim") == d, -(-n // sample)) for d, n in sizes.items()], F.lit(1))
+    drawn = classes.where(F.pmod(F.xxhash64("key"), every) == 0).select("dim", F.xxhash64("key", F.lit(3)).alias("h"), "unit")
+    drawn = scratch.save(drawn, "sample")
+    centroids = {}
+    for dim in sizes:
+        first = drawn.where(F.col("dim") == dim).orderBy("h", "unit").limit(cells[dim]).collect()
+        centroids[dim] = np.array([np.frombuffer(r["unit"]) for r in first]).reshape(-1, dim)
+    for _ in range(rounds):
         now = scratch.spark.sparkContext.broadcast(centroids)
 
         def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = np.zeros_like(now.value)
+            total = {dim: np.zeros_like(c) for dim, c in now.value.items()}
             for batch in batches:
-                x = _matrix(batch.column(0), dim)
-                np.add.at(total, (x @ now.value.T).argmax(axis=1), x)
-            at = np.flatnonzero(np.abs(total).sum(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([total[i].tobytes() for i in at], pa.binary())], names=["cell", "total"])
-
-        new = np.zeros_like(centroids)
-        for row in drawn.select("unit").coalesce(8).mapInArrow(sums, "cell long, total binary").toLocalIterator():
-            new[row["cell"]] += np.frombuffer(row["total"])
-        norm = np.linalg.norm(new, axis=1, keepdims=True)
-        centroids = np.where(norm > 0, new / np.where(norm > 0, norm, 1), centroids)
+                dims = batch.column(0).to_numpy()
+                for dim in np.unique(dims).tolist():
+                    x = _matrix(batch.column(1).take(pa.array(np.flatnonzero(dims == dim))), dim)
+                    np.add.at(total[dim], (x @ now.value[dim].T).argmax(axis=1), x)
+            for dim, t in total.items():
+                at = np.flatnonzero(np.abs(t).sum(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([dim] * len(at), pa.int32()), pa.array(at), pa.array([t[i].tobytes() for i in at], pa.binary())], names=["dim", "cell", "total"]
+                )
+
+        new = {dim: np.zeros_like(c) for dim, c in centroids.items()}
+        # As many rows as there are centroids, for each of 8 tasks.
+        for row in drawn.select("dim", "unit").coalesce(8).mapInArrow(sums, "dim int, cell long, total binary").toLocalIterator():
+            new[row["dim"]][row["cell"]] += np.frombuffer(row["total"])
+        centroids = {dim: _moved(c, new[dim]) for dim, c in centroids.items()}
     return centroids
 
 
-def _assign(cells, dim: int, chord: float):
+def margin(threshold: float, dim: int, exact: bool) -> float:
+    """How far beyond a bisecting plane a vector may lie to be a guest."""
+    half = sqrt(max(0.0, 2 - 2 * threshold)) / 2
+    return half if exact else min(half, half * SPREAD / sqrt(dim))
+
+
+def cells_of(x, c, most: float):
+    """``row, cell, home``: each row of ``x`` in its home and in the cells it visits, by row, then cell."""
+    import numpy as np
+
+    rows, cells, homes = [], [], []
+    for part in np.array_split(np.arange(len(x)), len(x) * len(c) // (1 << 21) + 1):
+        p = x[part] @ c.T
+        best = p.argmax(axis=1)
+        short = p[np.arange(len(part)), best][:, None] - p
+        r, k = np.nonzero(short <= most * 2 + 1e-9)  # no gap between centroids is over 2
+        gap = np.sqrt(((c[best[r]] - c[k]) ** 2).sum(axis=1))
+        near = (short[r, k] <= most * gap + 1e-9) | (k == best[r])
+        r, k = r[near], k[near]
+        rows.append(part[r]), cells.append(k), homes.append(best[r])
+    return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+
+
+PLACED = "cid long, label string, dim int, m long, unit binary, coarse int, visits array<int>, fine int, home int, shown array<int>"
+
+
+def _placed(columns: list, row, cell, home):
+    """Rows of a batch in the cells found for them, each with its home and the list of all its cells."""
+    import numpy as np
+
+    at, cells = pa.array(row), pa.array(cell.astype(np.int32))
+    lists = np.split(cell.astype(np.int32), np.flatnonzero(np.diff(row)) + 1) if len(row) else []
+    shown = [x for x in lists for _ in range(len(x))]
+    return [c.take(at) for c in columns], cells, pa.array(home.astype(np.int32)), pa.array(shown, pa.list_(pa.int32()))
+
+
+def _assign(cells, threshold: float, exact: bool, coarse: bool):
+    """Rows ``cid, label, dim, m, unit`` in the cells of the broadcast centroids, as coarse cells or as the only ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        c = cells.value
-        gap = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) if len(c) else None
         for batch in batches:
-            if not batch.num_rows:
-                continue
             dims = batch.column(2).to_numpy()
-            row, cell, home = [], [], []
-            known = np.flatnonzero(dims == dim) if len(c) > 1 else np.zeros(0, np.int64)
-            others = np.setdiff1d(np.arange(batch.num_rows), known)
-            row.append(others), cell.append(np.zeros(len(others), np.int64)), home.append(np.ones(len(others), bool))
-            for part in np.array_split(known, len(known) * len(c) // (1 << 21) + 1) if len(known) else ():
-                p = _matrix(batch.column(4).take(pa.array(part)), dim) @ c.T
-                best = p.argmax(axis=1)
-                near = p.max(axis=1)[:, None] - p <= chord * gap[best] + 1e-9
-                r, k = np.nonzero(near)
-                row.append(part[r]), cell.append(k), home.append(k == best[r])
-            row, cell, home = map(np.concatenate, (row, cell, home))
-            at = pa.array(row)
-            columns = [batch.column(i).take(at) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(cell), pa.array(home)], names=["cid", "label", "dim", "m", "unit", "cell", "home"])
+            for dim in np.unique(dims).tolist():
+                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                found = cells_of(_matrix(own.column(4), dim), cells.value[dim], margin(threshold, dim, exact))
+                columns, cell, home, shown = _placed(own.columns, *found)
+                zero, one = pa.array(np.zeros(len(cell), np.int32)), pa.array([[0]] * len(cell), pa.list_(pa.int32()))
+                more = [cell, shown, zero, zero, one] if coarse else [zero, one, cell, home, shown]
+                yield pa.RecordBatch.from_arrays([*columns, *more], names=[c.split(" ")[0] for c in PLACED.split(", ")])
+
+    return run
+
+
+def _train_fine(rounds: int):
+    """Centroids of a coarse cell from its sample ``dim, coarse, cells, h, unit``: one row ``dim, coarse, centroids``."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        dim, coarse = (k.as_py() for k in key)
+        table = table.sort_by([("h", "ascending"), ("unit", "ascending")])
+        x = _matrix(table.column("unit"), dim)
+        c = x[: table.column("cells")[0].as_py()]
+        for _ in range(rounds):
+            total = np.zeros_like(c)
+            np.add.at(total, (x @ c.T).argmax(axis=1), x)
+            c = _moved(c, total)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "coarse": pa.array([coarse], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
+
+    return run
+
+
+def _assign_fine(threshold: float, exact: bool):
+    def run(key: tuple, rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        rows = rows.select([c.split(" ")[0] for c in PLACED.split(", ")]).combine_chunks()
+        found = cells_of(_matrix(rows.column("unit"), dim), _matrix(centroids.column("centroids"), dim), margin(threshold, dim, exact))
+        columns, cell, home, shown = _placed([c.combine_chunks() for c in rows.columns[:7]], *found)
+        return pa.Table.from_arrays([*columns, cell, home, shown], names=rows.column_names)
 
     return run
 
 
+def _fine_cells(scratch: Scratch, placed: DataFrame, threshold: float, exact: bool, cell_rows: int, max_cells: int) -> DataFrame:
+    """Rows of coarse cells in cells of their own: centroids are trained and met where a coarse cell's rows are."""
+    cell = ["dim", "coarse"]
+    counts = placed.groupBy(*cell, "label").agg(F.count("*").alias("n")).groupBy(*cell).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    cells = F.least(F.ceil(F.col("most") / F.lit(cell_rows)), F.lit(max_cells)).cast("int").alias("cells")
+    counts = counts.select(*cell, cells, F.ceil(F.col("n") / F.lit(SAMPLE)).alias("every"), F.ceil(F.col("n") / F.lit(1 << 16)).cast("int").alias("parts"))
+    counts = scratch.save(counts, "coarse")
+    drawn = placed.join(counts, cell).where("pmod(xxhash64(cid), every) = 0").select(*cell, "cells", F.xxhash64("cid", F.lit(3)).alias("h"), "unit")
+    trained = drawn.groupBy(*cell).applyInArrow(_train_fine(ROUNDS), "dim int, coarse int, centroids binary")
+    trained = scratch.save(trained, "fine")
+    rows = placed.join(counts.select(*cell, "parts"), cell).withColumn("part", F.expr("pmod(xxhash64(cid, 5), parts)").cast("int"))
+    each = trained.join(counts, cell, "right").select(*cell, "centroids", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    each = each.where("centroids is not null")
+    return rows.groupBy(*cell, "part").cogroup(each.groupBy(*cell, "part")).applyInArrow(_assign_fine(threshold, exact), PLACED)
+
+
+def _least_common(lists: list, others: list):
+    """For each pair of lists the least number that both hold, or -1."""
+    import numpy as np
+
+    out = np.full((len(lists), len(others)), -1, dtype=np.int64)
+    mine, theirs = {}, {}
+    for held, side in ((mine, lists), (theirs, others)):
+        for i, x in enumerate(side):
+            for v in x:
+                held.setdefault(v, []).append(i)
+    for v in sorted(mine.keys() & theirs.keys(), reverse=True):
+        out[np.ix_(mine[v], theirs[v])] = v
+    return out
+
+
 def _block(threshold: float):
+    """Links of the home rows of one part of a cell with all rows of another, or the same: ``cid, root, links``."""
+
     def run(table: pa.Table) -> pa.Table:
         import numpy as np
 
         table = table.combine_chunks()
-        cid, m, side = (table.column(n).to_numpy() for n in ("cid", "m", "home_side"))
+        cid, m, side, home, fine, coarse = (table.column(n).to_numpy() for n in ("cid", "m", "side", "home", "fine", "coarse"))
         x = np.frombuffer(b"".join(table.column("unit").to_pylist()), dtype=np.float64).reshape(len(cid), -1)
-        a, b = np.flatnonzero(side), np.flatnonzero(~side)
-        linked = (x[a] @ x[b].T >= threshold) & (cid[a][:, None] != cid[b][None, :])
-        links = (linked * m[b][None, :]).sum(axis=1)
+        # Side 0 is a part with itself, 1 the home rows, 2 those they meet.
+        a, b = np.flatnonzero((home == fine) & (side != 2)), np.flatnonzero(side != 1)
+        cosine = x[a] @ x[b].T
+        i, j = np.nonzero(np.abs(cosine - threshold) < 1e-12)  # summed in one way in any block
+        cosine[i, j] = (x[a[i]] * x[b[j]]).sum(axis=1)
+        linked = (cosine >= threshold) & (cid[a][:, None] != cid[b][None, :])
         rows, cols = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
-        small = linked[np.ix_(rows, cols)]
+        linked, a, b = linked[np.ix_(rows, cols)], a[rows], b[cols]
+        if len(a):
+            visits, shown = (table.column(n).take(pa.array(np.concatenate((a, b)))).to_pylist() for n in ("visits", "shown"))
+            # A pair counts in the least coarse cell, and there in the least home, where it meets.
+            counted = linked & (_least_common(visits[: len(a)], visits[len(a) :]) == coarse[0])
+            homes, of = np.unique(home[b], return_inverse=True)
+            place = {h: k for k, h in enumerate(homes.tolist())}
+            sees = np.zeros((len(a), len(homes)), dtype=bool)
+            for r, cells in enumerate(shown[: len(a)]):
+                sees[r, [place[c] for c in cells if c in place]] = True
+            counted &= ~(sees[:, of] & (home[b] < fine[0])[None, :])
+        else:
+            counted = linked
+        # A pair of two home rows is seen from both; a guest's links are counted here.
+        links = (counted * m[b][None, :]).sum(axis=1)
+        guest_links = np.where(home[b] == fine[b], 0, (counted * m[a][:, None]).sum(axis=0))
         # Least cid of each connected part of the block, by passing minima to and fro.
-        left, right, top = cid[a][rows], cid[b][cols], np.iinfo(np.int64).max
-        while len(rows):
-            new_right = np.minimum(right, np.where(small, left[:, None], top).min(axis=0))
-            new_left = np.minimum(left, np.where(small, new_right[None, :], top).min(axis=1))
+        left, right, top = cid[a], cid[b], np.iinfo(np.int64).max
+        while len(a):
+            new_right = np.minimum(right, np.where(linked, left[:, None], top).min(axis=0))
+            new_left = np.minimum(left, np.where(linked, new_right[None, :], top).min(axis=1))
             if (new_left == left).all() and (new_right == right).all():
                 break
             left, right = new_left, new_right
-        node = np.concatenate((cid[a][rows], cid[b][cols]))
-        root = np.concatenate((left, right))
-        count = np.concatenate((links[rows], np.zeros(len(cols), np.int64)))
-        return pa.table({"cid": node, "root": root, "links": count})
+        return pa.table({"cid": np.concatenate((cid[a], cid[b])), "root": np.concatenate((left, right)), "links": np.concatenate((links, guest_links)).astype(np.int64)})
 
     return run
 
 
-def near_vectors(spark: SparkSession, rows: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """Rows ``vec_id, n_links, component_id, kept`` of ``rows(vec_id, embedding, label)``."""
+def near_vectors(
+    spark: SparkSession, rows: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, exact: bool = False, max_cells: int = MAX_CELLS,
+) -> DataFrame:
+    """Rows ``vec_id, n_links, component_id, kept`` of ``rows(vec_id, embedding, label)``.
+
+    ``exact`` shows vectors to all cells where a partner may be, at several times the copies.
+    """
     scratch = Scratch(spark, "embeddings")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("string").alias("label"))
     made = scratch.save(rows.mapInArrow(_units, "vec_id long, label string, dim int, key binary, unit binary"), "units")
     usable = made.where("key is not null")
     classes = usable.groupBy("label", "dim", "key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("m"), F.first("unit").alias("unit"))
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    sizes = classes.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim, n = (sizes[0]["dim"], sizes[0]["count"]) if sizes else (0, 0)
-    cells = min(MAX_CELLS, n // cell_rows)
-    import numpy as np
-
-    centroids = train_cells(scratch, classes, dim, cells) if cells > 1 else np.zeros((0, max(dim, 1)))
+    # Only rows of a label meet, so a label's largest count says how many cells are wanted.
+    counts = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
+    wanted = {r["dim"]: min(r["n"], max(2, ceil(r["most"] / cell_rows))) for r in counts.collect()}  # one row for each length of vectors
+    two = max(wanted.values(), default=0) > max_cells
+    centroids = train_cells(scratch, classes, {d: max(2, ceil(sqrt(k))) if two else k for d, k in wanted.items()}) if wanted else {}
     shared = spark.sparkContext.broadcast(centroids)
-    assigned = classes.select("cid", "label", "dim", "m", "unit").mapInArrow(
-        _assign(shared, dim, (2 - 2 * threshold) ** 0.5), "cid long, label string, dim int, m long, unit binary, cell long, home boolean"
+    placed = classes.select("cid", "label", "dim", "m", "unit").mapInArrow(_assign(shared, threshold, exact, two), PLACED)
+    placed = scratch.save(placed, "placed")
+    if two:
+        placed = scratch.save(_fine_cells(scratch, placed, threshold, exact, cell_rows, max_cells), "placed")
+    cell = ["label", "dim", "coarse", "fine"]
+    parts = placed.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
+    held = placed.join(scratch.save(parts, "parts"), cell).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    # Each part of a cell meets itself; where there are more, its rows also meet the home rows of the others, block by block.
+    meet = F.expr(
+        "explode(concat(array(struct(own as i, own as j, 0 as side)),"
+        " transform(filter(sequence(0, parts - 1), q -> q <> own), q -> struct(q as i, own as j, 2 as side)),"
+        " transform(filter(sequence(0, parts - 1), q -> q <> own and home = fine), q -> struct(own as i, q as j, 1 as side))))"
     )
-    assigned = scratch.save(assigned, "assigned")
-    cell = ["label", "dim", "cell"]
-    parts = assigned.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
-    held = assigned.join(parts, cell).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    # Each member meets the home rows of every part of its cell, block by block.
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    members = held.select("cid", "m", "unit", *cell, every.alias("i"), F.col("own").alias("j"), F.lit(False).alias("home_side"))
-    homes = held.where("home").select("cid", "m", "unit", *cell, F.col("own").alias("i"), every.alias("j"), F.lit(True).alias("home_side"))
-    blocks = members.unionByName(homes).groupBy(*cell, "i", "j").applyInArrow(_block(threshold), "cid long, root long, links long")
+    dealt = held.select("cid", "m", "unit", "visits", "home", "shown", *cell, meet.alias("at")).select("*", "at.i", "at.j", "at.side").drop("at")
+    blocks = dealt.groupBy(*cell, "i", "j").applyInArrow(_block(threshold), "cid long, root long, links long")
     found = scratch.save(blocks, "found")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts_of = components(scratch, found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.join(parts_of.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     named = scratch.save(named.select("cid", "label", "dim", "key", "rep", "m", "component"), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(scratch.save(least, "least"), "component").join(links, "cid", "left")
+    named = named.join(scratch.save(least, "least"), "component").join(scratch.save(links, "links"), "cid", "left")
     named = named.select("label", "dim", "key", "component_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     out = made.select("vec_id", "label", "dim", "key").join(scratch.save(named, "named"), ["label", "dim", "key"], "left")
     component = F.coalesce("component_id", "vec_id")
