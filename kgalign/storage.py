@@ -5,32 +5,68 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders made inside each ``temporary`` block that is open.
+_made: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder stands in where it is unset, as in local tests."""
+    """``spark.checkpoint.dir``. Only a session in one process, as in local tests, may do without: a temporary folder stands in."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
+    if (master := spark.sparkContext.master) != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-shared-")
     return _own[app]
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the session's folder, for tables that steps leave behind."""
+    path = f"{shared_folder(spark)}/kgalign/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    for made in _made[-1:]:
+        made.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What steps inside leave behind is removed at the end; the results must have been written by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that this session's steps have left behind."""
+    delete(spark, f"{shared_folder(spark)}/kgalign/{spark.sparkContext.applicationId}")
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet and read again: computed once, safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/kgalign/step-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers look for the package where the driver found it."""
+    """Python workers look for the package where the driver found it; a cluster may ship it by --py-files."""
     home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     if home not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
         env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
