@@ -2,47 +2,25 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import delete, new_folder, workers_find_package
+
 #: White space of the contracts, as a character class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
 WORD = rf"[^{SPACE_CLASS}]+"
 
-_own_folders: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Only where that is unset (local tests) a temporary folder stands in.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_folders:
-        _own_folders[app] = tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_folders[app]
-
 
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        # Python workers find the package where the driver does; a cluster may ship it by --py-files.
-        home, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-        if home not in (known := env.get("PYTHONPATH", "").split(os.pathsep)):
-            env["PYTHONPATH"] = os.pathsep.join([home, *filter(None, known)])
-        self.root = f"{shared_folder(spark)}/kgalign/{name}-{uuid.uuid4().hex}"
+        workers_find_package(spark)
+        self.root = new_folder(spark, name)
         self.paths: dict[int, str] = {}
 
     def save(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -56,8 +34,19 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths[id(df)])
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.paths[id(df)])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it where ``df`` has it, or a column that starts with it."""
+    while any(c.lower().startswith(name) for c in df.columns):
+        name = "_" + name
+    return name
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
 def slices(batches, rows: int = 256):

@@ -111,11 +111,11 @@ def _fit(capacity: int):
 
 def pack_documents(
     spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, slack: int = SLACK, with_ids: bool = True,
-    special_as_text: bool = True,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, asked for, ``ids`` (little-endian 32-bit).
 
-    Control strings in a text are encoded as text, or with ``special_as_text=False`` as the library does by default.
+    A control string in a text is its one id, as the library encodes it by default, or with ``special_as_text`` like other text.
     """
     scratch = Scratch(spark, "packing")
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

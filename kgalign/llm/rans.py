@@ -23,28 +23,28 @@ import numpy as np
 
 MAGIC = b"TRB1"
 HEAD = struct.Struct("<4sIIIIQQQII")
+#: Bits of a frequency table's sum: of small vocabularies; larger ones have one more than their ids need.
 SCALE_BITS = 18
 LANES = 2048
 CHECKPOINT_STEPS = 128
 LOW = np.uint64(1 << 31)
-_32, _SCALE = np.uint64(32), np.uint64(SCALE_BITS)
+_32 = np.uint64(32)
 
 
 class Model:
-    """A frequency table shared by all blocks: ``freq`` of each id, summing to ``2**SCALE_BITS``."""
+    """A frequency table shared by all blocks: ``freq`` of each id, summing to ``2**bits``."""
 
     def __init__(self, freq: np.ndarray):
         self.freq = freq.astype(np.uint64)
+        self.bits = int(freq.sum()).bit_length() - 1
         self.start = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.freq)[:-1]))
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
     @classmethod
     def of_counts(cls, counts: np.ndarray) -> Model:
         """Counts scaled to the table's sum; each id that occurs gets 1 at least."""
-        total, size = max(1, int(counts.sum())), 1 << SCALE_BITS
+        total, size = max(1, int(counts.sum())), 1 << max(SCALE_BITS, len(counts).bit_length() + 1)
         seen = counts > 0
-        if int(seen.sum()) > size:
-            raise ValueError("more ids than places in the table")
         spare = size - int(seen.sum())
         freq = np.where(seen, 1 + (counts.astype(np.float64) * spare / total).astype(np.int64), 0)
         if seen.any():
@@ -58,19 +58,19 @@ def encode_block(model: Model, ids: np.ndarray, docs: list[tuple[int | None, int
     """One block; ``docs`` are ``(doc_id, tokens)`` in order."""
     n = len(ids)
     lanes = max(1, min(lanes, n // 128))  # a short block has few states to hold
-    state = np.full(lanes, LOW, dtype=np.uint64)
+    state, bits = np.full(lanes, LOW, dtype=np.uint64), np.uint64(model.bits)
     out, written, marks = [], 0, []
     for step in range(-(-n // lanes) - 1, -1, -1):
         s = ids[step * lanes : (step + 1) * lanes]
         f, x = model.freq[s], state[: len(s)]
-        full = x >= f << np.uint64(63 - SCALE_BITS)
+        full = x >= f << np.uint64(63 - model.bits)
         if full.any():
             words = (x[full] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             out.append(words)
             written += len(words)
             x = np.where(full, x >> _32, x)
         q, r = np.divmod(x, f)
-        state[: len(s)] = (q << _SCALE) + r + model.start[s]
+        state[: len(s)] = (q << bits) + r + model.start[s]
         if step and step % CHECKPOINT_STEPS == 0:
             marks.append((written, state.copy()))
     words = np.concatenate(out[::-1]) if out else np.zeros(0, np.uint32)
@@ -110,14 +110,14 @@ def decode_part(model: Model, block: dict, part: int) -> np.ndarray:
     low = part * block["every"]
     high = low + block["every"] if part + 1 < len(block["states"]) else -(-n // lanes)
     out = np.empty(min(n, high * lanes) - low * lanes, dtype=np.uint32)
-    mask = np.uint64((1 << SCALE_BITS) - 1)
+    bits, mask = np.uint64(model.bits), np.uint64((1 << model.bits) - 1)
     for step in range(low, high):
         width = min(lanes, n - step * lanes)
         x = state[:width]
         slot = x & mask
         s = model.symbol[slot]
         out[(step - low) * lanes : (step - low) * lanes + width] = s
-        x = model.freq[s] * (x >> _SCALE) + slot - model.start[s]
+        x = model.freq[s] * (x >> bits) + slot - model.start[s]
         need = x < LOW
         k = int(need.sum())
         if k:

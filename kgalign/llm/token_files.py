@@ -7,12 +7,14 @@ documents, in ascending order. A block holds its documents' ids and lengths, its
 decoder states, checkpoints inside, and checksums, so blocks decode in parallel,
 as do the parts of a block. Blocks are rows of a Parquet table: it has a commit
 protocol, so a lost executor's half-written files are never seen, and it lies in
-any store that Spark can reach. See ``rans`` for a block's layout.
+any store that Spark can reach. The frequency table lies beside it: a folder with
+``blocks`` and ``frequencies`` is all that a reader needs. See ``rans`` for a block's
+layout.
 
 Defined results: a null or empty text is the end id alone; rows with the same
 doc_id follow each other in the order of their ids' bytes; a null doc_id comes
 first; an empty table gives an empty file; columns other than doc_id and text are
-ignored. Ids must be below 65,536, as in all vocabularies here; others raise.
+ignored; a long text is one document of one block, however many ids it has.
 """
 
 from __future__ import annotations
@@ -23,13 +25,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import new_folder
 from .common import Scratch, shuffle_partitions, slices
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
 
 
-def _tokenize(path: str, special_as_text: bool):
+def _id_type(vocabulary: int) -> str:
+    """Ids of a small vocabulary are held in 16 bits until they are coded."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _tokenize(path: str, special_as_text: bool, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
@@ -38,24 +46,25 @@ def _tokenize(path: str, special_as_text: bool):
         encode, end = word_ids(path, special_as_text).encode, END_ID.to_bytes(4, "little")
         for batch in slices(batches):
             ids = [np.frombuffer(encode(t) + end, dtype="<u4") for t in batch.column(1).to_pylist()]
-            if any(int(x.max()) > 0xFFFF for x in ids):
-                raise ValueError("the table of ids holds 16 bits for each")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype("<u2").tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
 
     return run
 
 
-def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
+def _count_ids(vocabulary: int, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    total = np.zeros(1 << 16, dtype=np.int64)
-    for batch in batches:
-        total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<u2"), minlength=1 << 16)
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "c"])
+        total = np.zeros(vocabulary, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind), minlength=vocabulary)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "c"])
+
+    return run
 
 
-def _write_blocks(freq, block_tokens: int):
+def _write_blocks(freq, block_tokens: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         from pyspark import TaskContext
@@ -65,11 +74,11 @@ def _write_blocks(freq, block_tokens: int):
         model, part, start, number = Model(freq.value), TaskContext.get().partitionId(), 0, 0
         docs: list[tuple] = []
         held: list[bytes] = []
-        size = 0
+        size, width = 0, int(kind[-1])
 
         def flush():
             nonlocal docs, held, size, start, number
-            ids = np.frombuffer(b"".join(held), dtype="<u2").astype(np.uint32)
+            ids = np.frombuffer(b"".join(held), dtype=kind).astype(np.uint32)
             row = [part, number, start, len(ids), encode_block(model, ids, docs, start)]
             start, number, docs, held, size = start + len(ids), number + 1, [], [], 0
             types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
@@ -77,9 +86,9 @@ def _write_blocks(freq, block_tokens: int):
 
         for batch in batches:
             for doc_id, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                docs.append((doc_id, len(ids) // 2))
+                docs.append((doc_id, len(ids) // width))
                 held.append(ids)
-                size += len(ids) // 2
+                size += len(ids) // width
                 if size >= block_tokens:
                     yield flush()
         if docs:
@@ -113,33 +122,48 @@ def _read_blocks(freq):
 
 
 def write_token_files(
-    spark: SparkSession, docs: DataFrame, tokenizer_path: str, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = True
-) -> tuple[DataFrame, object]:
-    """The block table ``part, number, start, tokens, block`` and its shared frequency table (a broadcast array).
+    spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str | None = None, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = False
+) -> str:
+    """The folder written, ``path`` or one in the shared folder.
 
-    Control strings in a text are encoded as text, or with ``special_as_text=False`` as the library does by default.
+    ``blocks`` holds ``part, number, start, tokens, block``, ``frequencies`` the table ``id, freq`` shared by all blocks.
+    A control string in a text is its one id, as the library encodes it by default, or with ``special_as_text`` like other text.
     """
     import numpy as np
+    from tokenizers import Tokenizer
 
     from .rans import Model
 
     scratch = Scratch(spark, "token_files")
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text), "doc_id long, ids binary")
+    path = path or new_folder(spark, "files")
+    vocabulary = max([END_ID, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()]) + 1
+    kind = _id_type(vocabulary)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text, kind), "doc_id long, ids binary")
     ids = scratch.save(ids, "ids")
-    counts = np.zeros(1 << 16, dtype=np.int64)
+    counts = np.zeros(vocabulary, dtype=np.int64)
     # At most one row for each id of the vocabulary.
-    for row in ids.select("ids").mapInArrow(_count_ids, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
+    for row in ids.select("ids").mapInArrow(_count_ids(vocabulary, kind), "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         counts[row["id"]] = row["c"]
-    freq = spark.sparkContext.broadcast(Model.of_counts(counts).freq.astype(np.int64))
+    freq = Model.of_counts(counts).freq.astype(np.int64)
+    spark.createDataFrame([(i, int(freq[i])) for i in np.flatnonzero(freq).tolist()], "id int, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
     dealt = ids.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
-    blocks = dealt.mapInArrow(_write_blocks(freq, block_tokens), "part int, number long, start long, tokens long, block binary")
-    return scratch.save(blocks, "blocks"), freq
+    shape = "part int, number long, start long, tokens long, block binary"
+    blocks = dealt.mapInArrow(_write_blocks(spark.sparkContext.broadcast(freq), block_tokens, kind), shape)
+    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    return path
 
 
-def read_token_files(blocks: DataFrame, freq) -> DataFrame:
-    """Rows ``doc_id, start, n_tokens, ids_crc32`` decoded from the blocks."""
+def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows ``doc_id, start, n_tokens, ids_crc32`` decoded from the files in ``path`` alone."""
+    import numpy as np
+
+    blocks, known = spark.read.parquet(f"{path}/blocks"), spark.read.parquet(f"{path}/frequencies").collect()  # one row for each id that occurs
+    freq = np.zeros(max(r["id"] for r in known) + 1, dtype=np.int64)
+    for r in known:
+        freq[r["id"]] = r["freq"]
     parts = blocks.groupBy("part").agg(F.sum("tokens").alias("n"))
     # One row for each part of the file.
     parts = parts.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as before")
-    rows = blocks.select("part", "block").mapInArrow(_read_blocks(freq), "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
+    read = _read_blocks(spark.sparkContext.broadcast(freq))
+    rows = blocks.select("part", "block").mapInArrow(read, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
     return rows.join(parts, "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")

@@ -3,13 +3,15 @@
 ``encode`` of the library is exact but slow, and texts repeat their words. A text
 is cut where the tokenizer always cuts, and the ids of each piece are kept. A
 text with characters or white space for which the cuts are not certain goes to
-the library whole, so the result is the library's in any case. By default a
+the library whole, and so do all texts of a vocabulary file with other rules than the
+two kinds known here, so the result is the library's in any case. By default a
 control string in a text is its one id, as in the library; with
 ``special_as_text`` it is encoded like any other text.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -17,6 +19,17 @@ from array import array
 _SAFE = "\n\x20-\x7eÀ-ÖØ-öø-ÿ"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
+# The steps before the merges in the two kinds of files, as they say them.
+_BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
+_WORD_ENDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"},
+    ]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": _CONTRACTIONS + r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
 #: Entries of a worker's store; when it is full, it becomes the old one, of which what is met again is kept.
 MAX_WORDS = 400_000
 
@@ -35,6 +48,9 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        plain = rules["model"]["type"] == "BPE" and not (rules["post_processor"] or rules["truncation"] or rules["padding"])
+        rules = {k: rules[k] for k in ("normalizer", "pre_tokenizer")} if plain else None
         self.tokenizer.encode_special_tokens = special_as_text
         # Added tokens are found before a text is cut, some of them in the normalized text.
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
@@ -43,8 +59,8 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
-        self.lower = self.tokenizer.normalizer is not None
-        self.safe = re.compile(f"[{_SAFE}]*").fullmatch
+        self.lower = rules == _WORD_ENDS
+        self.safe = re.compile(f"[{_SAFE}]*" if rules in (_BYTE_LEVEL, _WORD_ENDS) else "").fullmatch
         if self.lower:  # white space is dropped; single digits
             self.pieces = re.compile(f"{_CONTRACTIONS}|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+").findall
         else:  # a space goes with what follows
