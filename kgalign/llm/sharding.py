@@ -7,9 +7,11 @@ capacity of these allows. A last step evens the shards out to the row: surplus
 rows, unlinked ones first, fill the holes of other shards.
 
 Defined results: a null text counts 0 bytes and links with nothing; an empty
-text is a text like others; rows with the same doc_id move together, except
-where the last step parts them; a null doc_id is a row like others; an empty
-table gives an empty result; columns other than doc_id and text are ignored.
+text is a text like others; a long text is hashed as a whole; rows with the same
+doc_id move together, except where the last step parts them; a null doc_id is a row
+like others; ties in a shard fall by doc_id, size and checksum, and rows equal in these
+are interchangeable; an empty table gives an empty result; columns other than doc_id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ def propagate(scratch: Scratch, links: DataFrame, shards: int, capacity: int, ro
     to the driver is one number for each pair of shards.
     """
     sizes = links.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    sizes = sizes.where("n > 1 and lo <> hi").select("key", "n")
+    # A table of its own: the join with a hot key's rows can then be split, here and below.
+    sizes = scratch.save(sizes.where("n > 1 and lo <> hi").select("key", "n"), "sizes")
     links = scratch.save(links.join(sizes, "key"), "links")
     state = scratch.save(links.groupBy("doc_id").agg(F.lit(0)).select("doc_id", _start("doc_id", shards).alias("shard")), "state")
     for turn in range(rounds):
@@ -56,6 +59,7 @@ def propagate(scratch: Scratch, links: DataFrame, shards: int, capacity: int, ro
             F.expr("transform(slice(by_count, 1, k), x -> x.shard)").alias("home"),
             F.slice(F.filter("by_count", lambda x: _chosen([r > 0 for r in room], x["shard"])), 1, F.col("k")).alias("free"),
         ).withColumn("free", F.expr("transform(free, x -> x.shard)"))
+        ranked = scratch.save(ranked, "ranked")
         wish = placed.join(ranked, "key").where("not array_contains(home, shard) and size(free) > 0")
         wish = wish.select(
             "doc_id", "shard", "n",
@@ -71,7 +75,7 @@ def propagate(scratch: Scratch, links: DataFrame, shards: int, capacity: int, ro
         quota = [min(1.0, room[s] / asked[s]) if s in asked else 0.0 for s in range(shards)]
         moved = wish.where(F.pmod("draw", F.lit(1 << 20)) < _chosen(quota, F.col("target")) * (1 << 20)).select("doc_id", "target")
         new = scratch.save(state.join(moved, "doc_id", "left").select("doc_id", F.coalesce("target", "shard").alias("shard")), "state")
-        for old in (state, placed, wish):
+        for old in (state, placed, ranked, wish):
             scratch.drop(old)
         state = new
     return state
