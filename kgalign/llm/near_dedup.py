@@ -7,10 +7,11 @@ pruned once the posterior probability that their similarity reaches the
 threshold falls below ``miss``; survivors are confirmed on their full sets.
 
 Pairs of a bucket are not all made. First each member meets the bucket's centre; the
-links found are contracted to components. Then the members of a bucket in different
-components compare their signatures, in blocks, and only survivors become rows. So every pair that shares a bucket is
-either compared or already known to be connected, while a group of n near copies
-costs about n pairs.
+links found are contracted to components. Then the members outside a bucket's largest
+component compare their signatures with all members of other components, in blocks,
+and only survivors become rows. So every pair that shares a bucket is either compared
+or already known to be connected, while a group of n near copies costs about n pairs,
+also where a few strangers share its bucket.
 
 With 64 bands of 6 rows a pair at 0.75 shares no bucket with probability 4e-6,
 a pair at 0.8 with 4e-9.
@@ -19,8 +20,11 @@ Defined results: a null text, or one without words, has the empty set and links
 with nothing; where a doc_id is repeated, each of its rows is compared by its own
 text, and its component is named by the least doc_id in it; in ``near_duplicates``
 a null doc_id links with nothing and is not kept (its component is null), in
-``without_near_duplicates`` it is a document like others; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+``without_near_duplicates`` it is a document like others; a long text is hashed by
+chunks, so that a worker holds 8 bytes for each of its words a few times, and its bytes;
+equal sets share a class, and ties go to the smaller doc_id; an empty table gives an
+empty result; columns other than doc_id and text are ignored, or passed on by
+``without_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, shuffle_partitions, slices
+from .common import Scratch, columns_of, components, free_name, shuffle_partitions, slices
 
 THRESHOLD_PERCENT = 75
 BANDS, ROWS = 64, 6
@@ -181,7 +185,7 @@ def _compare_blocks(percent: int, miss: float):
                 r, c, n, o = rep[lo:hi], part[lo:hi], size[lo:hi], own[lo:hi]
                 ok = (r[:, None] > r[None, :]) & (c[:, None] != c[None, :])
                 ok &= np.minimum(n[:, None], n[None, :]) * 100 >= np.maximum(n[:, None], n[None, :]) * percent
-                if i[lo] != j[lo]:  # two parts of a bucket: each part's own pairs meet in a block of their own
+                if 2 * i[lo] != j[lo]:  # two parts of a bucket: each part's own pairs meet in a block of their own
                     ok &= o[:, None] != o[None, :]
                 x, y = np.nonzero(ok)
                 kept = survivors(marks[lo:hi], x, y)
@@ -281,14 +285,29 @@ def _open(scratch: Scratch, shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _across(scratch: Scratch, rows: DataFrame, marks: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of a bucket's rows in different components that survive the comparison of signatures."""
-    parts = rows.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
-    rows = rows.join(scratch.save(parts, "parts"), "bucket").join(marks, "rep")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # Rows of a bucket of one block stand once; others meet each part of their bucket.
-    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("bucket", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "rep", "component", "n_shingles", "marks", "bands")
-    dealt = rows.repartition(shuffle_partitions(scratch.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    """Pairs of a bucket's rows in different components that survive the comparison of signatures.
+
+    Only rows outside a bucket's largest component meet others: each part of them meets
+    itself and the later ones, and the parts of the largest component.
+    """
+    each = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    sizes = each.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
+    block = F.lit(BLOCK_ROWS)
+    parts = scratch.save(sizes.select(
+        "bucket", F.col("top.component").alias("largest"),
+        F.ceil((F.col("n") - F.col("top.c")) / block).cast("int").alias("others"), F.ceil(F.col("top.c") / block).cast("int").alias("inside"),
+    ), "parts")
+    rows = rows.join(parts, "bucket").withColumn("of", F.when(F.col("component") == F.col("largest"), -F.col("inside")).otherwise(F.col("others")))
+    # A part of the largest component has a number below 0.
+    rows = rows.withColumn("own", F.expr("cast(if(of < 0, -1 - pmod(xxhash64(rep), -of), pmod(xxhash64(rep), of)) as int)"))
+    at = F.expr(
+        "explode(if(own < 0, transform(sequence(0, others - 1), q -> struct(q as i, -1 - 2 * own as j)), concat("
+        "transform(sequence(0, others - 1), q -> struct(least(q, own) as i, 2 * greatest(q, own) as j)),"
+        "transform(sequence(0, inside - 1), q -> struct(own as i, 2 * q + 1 as j)))))"
+    )
+    dealt = rows.select("bucket", "own", "rep", "component", "n_shingles", at.alias("at")).join(marks, "rep")
+    dealt = dealt.select("bucket", "at.i", "at.j", "own", "rep", "component", "n_shingles", "marks", "bands")
+    dealt = dealt.repartition(shuffle_partitions(scratch.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return dealt.mapInArrow(_compare_blocks(percent, miss), "a long, b long")
 
 
@@ -312,18 +331,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = THRESHO
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, percent: int = THRESHOLD_PERCENT, miss: float = MISS) -> DataFrame:
-    """``docs`` with one row of each component: that of the least doc_id, null last, then the least hash of the row."""
+    """``docs`` with one row of each component: that of the least doc_id, null last, then the least hash of the row.
+
+    Rows without words are components of their own and all stay.
+    """
+    row = free_name(docs, "_row")
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        kept = near_duplicates(spark, docs, percent, miss).where("kept").select(F.col("doc_id").alias("_id"))
-        return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left_semi")
+        kept = near_duplicates(spark, docs, percent, miss).where("kept").select(F.col("doc_id").alias(row))
+        return docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col(row), "left_semi")
     scratch = Scratch(spark, "near")
-    rows = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    keyed = rows.select(F.col("_row").alias("doc_id"), "text")
-    found = _near(scratch, keyed, _featured(scratch, keyed), percent, miss).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*docs.columns), "_row")
-    ranked = rows.select("_row", order.alias("_order")).join(found, "_row")
-    kept = ranked.groupBy("component_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
-    return rows.join(kept.hint("shuffle_hash"), "_row", "left_semi").drop("_row")
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    keyed = rows.select(F.col(row).alias("doc_id"), "text")
+    found = _near(scratch, keyed, _featured(scratch, keyed), percent, miss).select(F.col("doc_id").alias("at"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), F.xxhash64(*columns_of(docs)), row)
+    ranked = rows.select(F.col(row).alias("at"), order.alias("order")).join(found, "at")
+    kept = ranked.groupBy("component_id").agg(F.min_by("at", "order").alias(row)).select(row)
+    return rows.join(kept.hint("shuffle_hash"), row, "left_semi").drop(row)
 
 
 def _featured(scratch: Scratch, docs: DataFrame) -> DataFrame:
@@ -338,7 +361,8 @@ def _near(scratch: Scratch, docs: DataFrame, made: DataFrame, percent: int, miss
     reps = scratch.save(own.drop("set_key"), "reps")
 
     rows = reps.select("rep", "n_shingles", F.explode("bands").alias("bucket"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    # A table of its own, so that the join with a hot bucket's rows can be split.
+    sizes = scratch.save(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     shared = scratch.save(rows.join(sizes, "bucket"), "shared")
     near = NearPairs(scratch, docs, reps.select("rep", "marks"), percent, miss)
     stars = scratch.save(_stars(scratch, shared), "stars")
