@@ -11,8 +11,9 @@ many documents hold a line and which of them keeps it.
 Defined results: a null or empty text is one empty line; documents with a null
 doc_id keep all lines and count for none; rows with the same doc_id count as
 documents of their own and all keep the lines that this doc_id owns; an empty
-table gives an empty result; other columns are passed on, those with the names
-of the added columns are replaced.
+table gives an empty result; a long text is one row of its hashes; a line that stands
+twice in the document that owns it stays twice; other columns are passed on, those
+with the names of the added columns are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACES, Scratch, shuffle_partitions, slices
+from .common import SPACES, Scratch, free_name, shuffle_partitions, slices
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -121,13 +122,13 @@ class LineRuns:
         return self._merged(self.live())
 
 
-def _drop_lines(min_chars: int, names: list[str]):
+def _drop_lines(min_chars: int, names: list[str], drop: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in slices(batches):
             columns = dict(zip(batch.schema.names, batch.columns))
-            drops = columns["_drop"]
+            drops = columns[drop]
             pairs = drops.flatten()
             packed = np.stack([pairs.field(x).to_numpy(zero_copy_only=False) for x in ("hi", "lo")], 1).astype("<i8").tobytes()
             sizes = drops.value_lengths().fill_null(0).to_pylist()
@@ -153,7 +154,8 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` without the lines it drops, with ``n_lines, n_dropped``; keys in ``min_docs`` documents stay in the largest doc_id alone."""
     scratch = Scratch(spark, "lines")
-    docs = docs.drop("n_lines", "n_dropped", "_drop", "_id")
+    docs = docs.drop("n_lines", "n_dropped")
+    own, drop = free_name(docs, "_id"), free_name(docs, "_drop")
     cuts = docs.select(F.percentile_approx("doc_id", [(i + 1) / batches for i in range(batches - 1)]).alias("cuts")).first()["cuts"] or []
     # The count of cuts below a doc_id; batch 0 holds the largest ids.
     batch = F.lit(len(set(cuts)))
@@ -170,8 +172,8 @@ def dedup_lines(
     for name in runs.live():
         spark.sql(f"DROP TABLE {name}")
     gone = lines.join(common, ["hi", "lo"]).where("doc_id <> top")
-    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("_drop")).withColumnRenamed("doc_id", "_id")
+    gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias(drop)).withColumnRenamed("doc_id", own)
     # Only the short lists of hashes are hashed in memory; the texts are not sorted.
-    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col(own), "left").drop(own)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_drop_lines(min_chars, schema.names), schema)
+    return joined.mapInArrow(_drop_lines(min_chars, schema.names, drop), schema)

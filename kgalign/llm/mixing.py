@@ -12,9 +12,10 @@ share all words by weight; none exceeds ``max_repeats`` times its source's size,
 and what is over is shared again by weight.
 
 Defined results: a null text has no words; documents without words are never
-taken; the order inside a source is the hash of doc_id and text, so it does not
-depend on the input's order, and equal rows are interchangeable; an empty table
-gives an empty result. Up to ``MAX_SOURCES`` sources are a list, held by the driver
+taken; a long text lies in as many blocks as it needs; the order inside a source is the
+hash of doc_id and text, so it does not depend on the input's order, and rows with the
+same doc_id and text, a null doc_id among them, are interchangeable; an empty table
+gives an empty result; other columns are ignored, or passed on by ``mixed_documents``. Up to ``MAX_SOURCES`` sources are a list, held by the driver
 and every chunk of the schedule; more are a table, with the same results.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, Scratch, running_sum, shuffle_partitions, word_count
+from .common import WORD, Scratch, free_name, running_sum, shuffle_partitions, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -234,13 +235,13 @@ def mix_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK_WORDS
     return _mixed(scratch, scratch.save(rows, "rows"), block).drop("_row")
 
 
-def _cut(names: list[str]):
+def _cut(names: list[str], size_name: str, taken_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = re.compile(WORD)
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns))
             index, texts = [], []
-            for i, (text, size, taken) in enumerate(zip(*(columns[x].to_pylist() for x in ("text", "_size", "_taken")))):
+            for i, (text, size, taken) in enumerate(zip(*(columns[x].to_pylist() for x in ("text", size_name, taken_name)))):
                 index += [i] * (taken // size)
                 texts += [text] * (taken // size)
                 if rest := taken % size:
@@ -259,8 +260,9 @@ def _cut(names: list[str]):
 def mixed_documents(spark: SparkSession, docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself: each document as often as it is taken, the last time cut after the words taken."""
     scratch = Scratch(spark, "mixing")
-    rows = scratch.save(docs.withColumns({"_row": F.monotonically_increasing_id(), "_words": word_count(F.col("text"))}), "rows")
-    taken = _mixed(scratch, rows.select("_row", "doc_id", "source", F.col("_words").alias("size"), F.xxhash64("text").alias("_text")), block)
-    taken = taken.where("taken > 0").select("_row", F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    row, words, size, cut = (free_name(docs, n) for n in ("_row", "_words", "_size", "_taken"))
+    rows = scratch.save(docs.withColumns({row: F.monotonically_increasing_id(), words: word_count(F.col("text"))}), "rows")
+    taken = _mixed(scratch, rows.select(F.col(row).alias("_row"), "doc_id", "source", F.col(words).alias("size"), F.xxhash64("text").alias("_text")), block)
+    taken = taken.where("taken > 0").select(F.col("_row").alias(row), F.col("size").alias(size), F.col("taken").alias(cut))
     schema = T.StructType(docs.schema.fields)
-    return rows.drop("_words").join(taken.hint("shuffle_hash"), "_row").mapInArrow(_cut(schema.names), schema)
+    return rows.drop(words).join(taken.hint("shuffle_hash"), row).mapInArrow(_cut(schema.names, size, cut), schema)
