@@ -16,6 +16,7 @@ from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
+from .sql import ORACLES
 from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 
@@ -39,7 +40,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return read_token_files(*write_token_files(spark, docs, tokenizer_path("byte_bpe_50k.json"), special_as_text=False))
+    return read_token_files(spark, write_token_files(spark, docs, tokenizer_path("byte_bpe_50k.json")))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +66,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False, special_as_text=False)
+    return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,4 +100,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

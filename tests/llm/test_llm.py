@@ -55,11 +55,11 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def _ids(path, text, end):
+def _ids(path, text, end, special_as_text=False):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], dtype="<u4")
 
 
@@ -73,7 +73,8 @@ def test_sharding(spark, docs, odd, none):
     for r in rows:
         raw = (text[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 16, zlib.crc32(raw))
-    assert sharding.shard_documents(spark, odd, shards=2).count() == 5
+    got = sharding.shard_documents(spark, odd, shards=2).collect()
+    assert sorted(r.slot for r in got) == [0, 0, 1, 1, 2] and sorted((r.doc_id or 0, r.size) for r in got) == [(0, 64), (1, 26), (1, 64), (1, 64), (2, 64)]
     assert sharding.shard_documents(spark, none).count() == 0
 
 
@@ -98,8 +99,12 @@ def test_line_dedup(spark, docs, odd, none):
             parts = (texts[r.doc_id] or "").split("\n")
             stay = [p for p in parts if len(key(p)) < 20 or len(held[key(p)]) < 3 or max(held[key(p)]) == r.doc_id]
             assert (r.n_lines, r.n_dropped, r.text, r.key) == (len(parts), len(parts) - len(stay), "\n".join(stay), "clash")
-    got = [(r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(spark, odd).collect()]
-    assert sorted(n for _, n in got) == [0, 0, 0, 1, 1] or sorted(n for _, n in got) == [0, 0, 0, 0, 0]
+    # The line stands in three rows with an id; the largest doc_id, 2, keeps it, and so does the row without an id.
+    got = Counter((r.doc_id, r.n_dropped, r.text) for r in line_dedup.dedup_lines(spark, odd).collect())
+    text = "some words that are said again and again in here"
+    assert got == Counter({(1, 1, ""): 2, (1, 0, "other text"): 1, (None, 0, text): 1, (2, 0, text): 1})
+    clash = spark.createDataFrame([(1, "x", "mine", 5)], "doc_id long, text string, _drop string, _id int")
+    assert [tuple(r) for r in line_dedup.dedup_lines(spark, clash).select("_drop", "_id", "text").collect()] == [("mine", 5, "x")]
     assert line_dedup.dedup_lines(spark, none).count() == 0
 
 
@@ -190,7 +195,10 @@ def test_mixing(spark, docs, odd, none):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
     made = mixing.mixed_documents(spark, docs, block=16).collect()
     assert Counter({i: n for i, n in ((r.doc_id, r.taken) for r in rows) if n}) == sum((Counter({r.doc_id: len(WORD.findall(r.text))}) for r in made), Counter())
-    assert mixing.mix_documents(spark, odd).count() == 5 and mixing.mix_documents(spark, none).count() == 0
+    got = sorted((r.doc_id or 0, r["size"], r.source_size) for r in mixing.mix_documents(spark, odd).collect())
+    assert got == [(0, 10, 20), (1, 2, 22), (1, 10, 22), (1, 10, 22), (2, 10, 20)] and mixing.mix_documents(spark, none).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "s", "mine", 7)], "doc_id long, text string, source string, _row string, _words int")
+    assert [tuple(r) for r in mixing.mixed_documents(spark, clash).collect()] == [(1, "a b", "s", "mine", 7)]
 
 
 def test_schedule_gives_every_source_its_slots(spark):
@@ -233,6 +241,39 @@ def test_quality(spark, docs, none):
     assert got[9].lost_words == got[9].n_words and quality.quality_rules(none).count() == 0
 
 
+def _bad_line(line):
+    n = len(WORD.findall(line))
+    if not n:
+        return False
+    marks, alone = len(re.findall(r"[#*$%&|<>]+|!!+", line)), len(re.findall(quality.NAVIGATION, line))
+    phrases = re.search(quality.BOILERPLATE, line, re.IGNORECASE | re.ASCII)
+    unmarked = n >= 60 and not any(c in line for c in quality.SENTENCE_MARKS)
+    links = len(re.findall(r"https?://|www\.", line))
+    return marks * 100 > 30 * n or unmarked or alone >= 2 or links * 2 >= n or (n <= 25 and bool(phrases))
+
+
+def test_quality_verdict(spark):
+    good = " ".join(f"word{i}" + ("." if i % 9 == 8 else "") for i in range(60)) + "."
+    words = " ".join(f"salad{i}" for i in range(70))
+    texts = [
+        good, good + "\nAll rights reserved.", f"{good}\n{words}", f"{good}\nHome | News | About", f"{words}\n{good}\r", good + "\n" + "x$ y# z " * 25,
+        f"{good}\nhttp://a.example/b www.example.com/c", f"{good}\nAlle Rechte vorbehalten", f"{good}\n\n \nTous droits réservés\nend",
+        words.replace("salad9", "salad9,"), "short", None, good.replace(".", "。"),
+    ]
+    odd = [(None, good + "\nread more"), (0, good)]
+    df = spark.createDataFrame([*enumerate(texts), *odd], "doc_id long, text string").withColumns({
+        "at": F.lit("mine"), "ws": F.lit(7), "_hashes": F.lit("h"), "_q_hint": F.lit("q"), "a.b": F.lit("dot"), "kept": F.lit("replaced"),
+    })
+    rows = quality.quality_rules(df).collect()
+    assert len(rows) == len(texts) + 2 and all((r["at"], r.ws, r._hashes, r._q_hint, r["a.b"]) == ("mine", 7, "h", "q", "dot") for r in rows)
+    for r in rows:
+        lines = [(x, _bad_line(x), len(WORD.findall(x))) for x in (r.text or "").split("\n")]
+        lost = sum(n for _, bad, n in lines if bad)
+        assert r.lost_words == lost and r.kept == (not r.base_failed and 2 * lost <= r.n_words)
+        assert r.clean_text == (None if r.text is None else "\n".join(x for x, bad, _ in lines if not bad))
+    assert {r.doc_id: r.kept for r in rows if r.doc_id} | {0: True} == {i: i not in (2, 4, 5, 10, 11) for i in range(13)}
+
+
 def test_chat(spark):
     control = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 0, "user", "a\\<|b<\\|c\\\\" + control), (1, 1, "assis\ntant<\\n>", None), (1, 2, "assistant", control), (1, 3, "user", "bye"), (2, 0, None, "q"), (2, 0, None, "q"), (None, 1, "assistant", ""), (3, None, "assistant", "z" * 3000)]
@@ -265,13 +306,41 @@ def test_rans(n):
 
 def test_token_files(spark, docs, odd, none):
     path, at = tokenizer_path("byte_bpe_50k.json"), 0
-    got = {r.doc_id: r for r in token_files.read_token_files(*token_files.write_token_files(spark, docs, path, block_tokens=500)).collect()}
+    folder = token_files.write_token_files(spark, docs, path, block_tokens=500)
+    # Another session needs the folder alone.
+    got = {r.doc_id: r for r in token_files.read_token_files(spark.newSession(), folder).collect()}
     for i, t in enumerate(_texts()):
         ids = _ids(path, t, 0)
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
-    assert token_files.read_token_files(*token_files.write_token_files(spark, odd, path)).count() == 5
-    assert token_files.read_token_files(*token_files.write_token_files(spark, none, path)).count() == 0
+    rows = sorted(((r.doc_id or 0), r.start, r.n_tokens) for r in token_files.read_token_files(spark, token_files.write_token_files(spark, odd, path)).collect())
+    sizes = [len(_ids(path, t, 0)) for t in ("some words that are said again and again in here", "other text")]
+    assert [r[0] for r in rows] == [0, 1, 1, 1, 2] and sorted(r[2] for r in rows) == sorted([sizes[0]] * 4 + [sizes[1]])
+    assert [r[1] for r in rows] == [sum(r[2] for r in rows[:i]) for i in range(5)]
+    assert token_files.read_token_files(spark, token_files.write_token_files(spark, none, path)).count() == 0
+    as_text = {r.doc_id: r for r in token_files.read_token_files(spark, token_files.write_token_files(spark, docs, path, special_as_text=True)).collect()}
+    assert all(r.n_tokens == len(_ids(path, _texts()[i], 0, True)) for i, r in as_text.items())
+
+
+def test_unknown_vocabularies_go_to_the_library(spark, tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    from kgalign.llm.token_ids import WordIds
+
+    rules = json.loads(open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8").read())
+    rules["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(rules), encoding="utf-8")
+    library, own = Tokenizer.from_file(str(path)), WordIds(str(path))
+    for t in ("plain words here", "a  b\nc", "", None):
+        assert own.encode(t) == np.array(library.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert own.encode("plain words") != WordIds(tokenizer_path("byte_bpe_50k.json")).encode("plain words")
+    assert token_files._id_type(1 << 16) == "<u2" and token_files._id_type((1 << 16) + 1) == "<u4"
+    wide = np.array([0, 99_999, 70_000, 0], dtype=np.uint32)
+    model = rans.Model.of_counts(np.bincount(wide, minlength=400_000))
+    assert model.bits == 20 and (rans.decode_block(model, rans.encode_block(model, wide, [(1, 4)]))[1] == wide).all()
 
 
 def test_packing(spark, docs, odd, none):
@@ -290,7 +359,9 @@ def test_packing(spark, docs, odd, none):
             assert r.offset == end
             end += r.length
         assert end <= 64
-    assert {r.doc_id for r in packing.pack_documents(spark, odd, path).collect()} == {1, 2, None}
+    got = Counter((r.doc_id, r.start, r.length) for r in packing.pack_documents(spark, odd, path).collect())
+    sizes = [len(_ids(path, t, 1)) for t in ("some words that are said again and again in here", "other text")]
+    assert sum(n * k for (_, _, n), k in got.items()) == 4 * sizes[0] + sizes[1] and {i for i, _, _ in got} == {1, 2, None}
     assert packing.pack_documents(spark, none, path).count() == 0
 
 
@@ -320,7 +391,7 @@ def test_cut_lengths():
         assert sum(length for length, _ in cut) == n and all(length * k <= 2048 for length, k in cut)
 
 
-def test_token_counts(spark, docs, none):
+def test_token_counts(spark, docs, odd, none):
     path = tokenizer_path("byte_bpe_50k.json")
     initial, later = token_counts.byte_level_pieces(path)
 
@@ -337,6 +408,9 @@ def test_token_counts(spark, docs, none):
         words = (_texts()[r.doc_id] or "").encode().split()
         assert (r.n_words, r.n_tokens) == (len(words), sum(brute(w, initial, later) for w in words))
     assert token_counts.count_tokens(spark, none, path).count() == 0
+    text = "some words that are said again and again in here"
+    got = Counter((r.doc_id, r.n_words, r.source, r.key) for r in token_counts.count_tokens(spark, odd, path).collect())
+    assert got == Counter({(1, 10, "s", ""): 2, (1, 2, "s", ""): 1, (None, 10, None, ""): 1, (2, 10, None, ""): 1}) and len(text.split()) == 10
     rng = random.Random(1)
     for _ in range(500):
         first, rest = ({bytes(rng.choices(b"ab", k=rng.randint(1, 4))) for _ in range(4)} for _ in range(2))
@@ -344,24 +418,154 @@ def test_token_counts(spark, docs, none):
         assert token_counts.LongestMatch(first, rest).count(word) == brute(word, first, rest)
 
 
-@pytest.mark.parametrize("cell_rows", [4, 10_000])
-def test_embeddings(spark, cell_rows):
+#: One level of cells, many cells, two levels.
+@pytest.mark.parametrize("options", [{}, {"cell_rows": 4}, {"cell_rows": 4, "exact": True}, {"cell_rows": 2, "max_cells": 3, "exact": True}])
+def test_embeddings(spark, options):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 8))
     x[20:40] = x[:20] + rng.normal(size=(20, 8)) * 0.12
     x[40:45] = x[0]
     rows = [(i, [float(v) for v in row], i % 2 if i < 40 else 0) for i, row in enumerate(x)]
-    rows += [(60, None, 0), (61, [0.0] * 8, 0), (62, [None] * 8, 0), (63, [float("nan")] * 8, 0), (64, rows[0][1], None), (65, [1.0, 2.0], 0)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    rows += [(60, None, 0), (61, [0.0] * 8, 0), (62, [None] * 8, 0), (63, [float("nan")] * 8, 0), (64, rows[0][1], None), (65, [1.0, 2.0], 0), (66, [2.0, 4.0], 0), (67, [], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"coarse": F.lit("clash"), "cid": F.lit(1)})
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    linked = lambda i, j: i < 60 and j < 60 and i != j and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.98
-    want = _smallest(66, linked)
-    for r in embeddings.near_vectors(spark, df, cell_rows=cell_rows).collect():
+    near = lambda i, j: i < 60 and j < 60 and rows[i][2] == rows[j][2] and unit[i] @ unit[j] >= 0.98
+    linked = lambda i, j: i != j and ({i, j} == {65, 66} or near(i, j))
+    want = _smallest(68, linked)
+    for r in embeddings.near_vectors(spark, df, **options).collect():
         i = r.vec_id
-        assert (r.n_links, r.component_id, r.kept) == (sum(linked(i, j) for j in range(66)), want[i], want[i] == i)
+        assert (r.n_links, r.component_id, r.kept) == (sum(linked(i, j) for j in range(68)), want[i], want[i] == i)
     assert embeddings.near_vectors(spark, df.limit(0)).count() == 0
 
 
+def test_embeddings_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (None, [1.0, 0.01], 0), (None, [0.01, 1.0], 0), (None, [-1.0, 0.0], 0), (7, [1.0, 0.02], 0)]
+    got = Counter(tuple(r) for r in embeddings.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == Counter({(1, 3, 1, True): 2, (1, 1, 1, True): 1, (None, 3, 1, False): 1, (None, 1, 1, False): 1, (None, 0, None, False): 1, (7, 3, 1, False): 1})
+
+
+@pytest.mark.parametrize("n", [2, 500])
+def test_cells_are_trained_at_any_size(spark, n, monkeypatch):
+    seen, train = [], embeddings.train_cells
+    monkeypatch.setattr(embeddings, "train_cells", lambda *a, **b: seen.append(train(*a, **b)) or seen[-1])
+    x = np.random.default_rng(n).normal(size=(n, 16))
+    rows = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    assert embeddings.near_vectors(spark, rows).count() == n
+    assert [c.shape for c in seen[0].values()] == [(2, 16)] and np.allclose(np.linalg.norm(seen[0][16], axis=1), 1)
+
+
+def test_recall_of_the_default_margin(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = rng.normal(size=(600, 64))
+    step -= (step * x).sum(axis=1, keepdims=True) * x
+    y = x * 0.981 + step / np.linalg.norm(step, axis=1, keepdims=True) * (1 - 0.981**2) ** 0.5  # just above the threshold
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(np.concatenate((x, y)))]
+    got = embeddings.near_vectors(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cell_rows=20)
+    assert got.where("n_links = 1").count() == 1200  # all of 600 planted pairs, in 60 cells
+
+
+def test_components_end_where_all_is_settled(spark):
+    from kgalign.llm.common import Scratch, components
+
+    n = 400
+    order = list(range(n))
+    random.Random(2).shuffle(order)
+    chain = [(order[i], order[i + 1]) for i in range(n - 1)] + [(1000, 1000), (2001, 2000), (2001, 2002)]
+    got = components(Scratch(spark, "t"), spark.createDataFrame(chain, "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {i: 0 for i in range(n)} | {2000: 2000, 2001: 2000, 2002: 2000} and len(got) == n + 3
+
+
+def test_long_texts_are_hashed_by_chunks(monkeypatch):
+    from kgalign.llm import shingles
+
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdé ", k=rng.randint(1, 9))) for _ in range(4000)]
+    texts = [" ".join(words), "\n" + "x" * 3000 + " y " + " ".join(words[:50]) + " " * 600, "z" * 2500, " " * 3000, "a b " + "q" * 1500, "ab" * 700 + " c d e f g"]
+    whole = list(shingles.shingle_sets(texts))
+    monkeypatch.setattr(shingles, "CHUNK_BYTES", 500)
+    assert all(len(x) == len(y) and (x == y).all() for x, y in zip(whole, shingles.shingle_sets(texts)))
+    assert [len(s) for s in whole] == [len(s) for s in _sets(texts)]
+
+
+def test_near_dedup_of_open_buckets_in_parts(spark, monkeypatch):
+    """Strangers that share buckets with a large group, in blocks of few rows: groups are whole, and no stranger joins."""
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 4)
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(50):
+        w = list(base)
+        for _ in range(2 if i < 30 else rng.randint(3, 7)):
+            w[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = _sets(texts)
+    want = _smallest(len(sets), lambda i, j: 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]))
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(set(want)) > 1 and {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, rows).collect()} == dict(enumerate(want))
+
+
+def test_sharding_cuts_few_links(spark):
+    """Cut links before (by hash) and after propagation, of groups far smaller than a shard."""
+    rng = random.Random(1)
+    rows = [(i, f"group {rng.randrange(60)}" if i < 300 else f"own {i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    started = {r.doc_id: r.s for r in df.select("doc_id", sharding._start("doc_id", 6).alias("s")).collect()}
+    placed = {r.doc_id: r["shard"] for r in sharding.shard_documents(spark, df, shards=6).collect()}
+    text = dict(rows)
+    cut = lambda where: sum(where[i] != where[j] for i in range(300) for j in range(i) if text[i] == text[j])
+    assert cut(placed) * 5 < cut(started) and set(Counter(placed.values()).values()) == {150}
+
+
+def test_hot_keys_meet_tables(spark):
+    """A join that may have a hot key reads a table on both sides, so that adaptive execution can split it."""
+    import inspect
+
+    assert 'scratch.save(sizes.where("n > 1 and lo <> hi")' in inspect.getsource(sharding.propagate)
+    assert 'scratch.save(rows.groupBy("bucket")' in inspect.getsource(near_dedup._near)
+
+
+def test_chat_ignores_other_columns(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "q", "x"), (1, 1, "assistant", "a", "y")], "conv_id long, turn long, role string, text string, turns string")
+    assert [r.loss_chars for r in chat.chat_digest(chat.format_conversations(rows)).collect()] == [1]
+
+
+PIPELINE_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, kept string"
+
+
+def _pipeline_docs(spark):
+    prose = lambda k: " ".join(f"{k}word{i}" + ("." if i % 9 == 8 else "") for i in range(70)) + "."
+    a, b, shared = prose("a"), prose("b"), "A line that many documents hold in common."
+    texts = [(1, a), (1, a), (2, a), (None, b), (None, b), (3, None), (4, ""), (5, "too short"), *((10 + i, f"{prose(f'c{i}')}\n{shared}") for i in range(4))]
+    return spark.createDataFrame([(i, t, "en", None if (i or 0) % 2 else "s", 0, "clash", "clash") for i, t in texts], PIPELINE_SCHEMA)
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    """Nulls, repeated ids and rows, ties and clashing names; each stage on what it is given."""
+    import corpus_pipeline as p
+
+    docs = _pipeline_docs(spark)
+    got = p.quality(spark, docs, "")
+    assert got.columns == p.COLUMNS and Counter(r.doc_id for r in got.collect()) == Counter({1: 2, 2: 1, None: 2, **{10 + i: 1 for i in range(4)}})
+    lines = {r.doc_id: r.text for r in p.lines(spark, docs.where("doc_id >= 10"), "").collect()}
+    assert {i for i, t in lines.items() if "in common" in t} == {13} and set(lines) == {10, 11, 12, 13}
+    near = p.near(spark, docs, "")
+    assert near.columns == p.COLUMNS and Counter(r.doc_id for r in near.collect()) == Counter({1: 1, None: 1, 3: 1, 4: 1, 5: 1, **{10 + i: 1 for i in range(4)}})
+    mixed = p.mix(spark, docs, "")
+    assert mixed.columns == p.COLUMNS and {r.doc_id for r in mixed.collect()} <= {1, 2, None, 5, 10, 11, 12, 13}
+    packed = p.pack(spark, docs, "").collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_stages_with_empty_tables(spark):
+    import corpus_pipeline as p
+
+    none = _pipeline_docs(spark).limit(0)
+    for _, stage in p.STAGES:
+        assert stage(spark, none, "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline
