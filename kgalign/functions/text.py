@@ -26,6 +26,11 @@ UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 WORD = r"([\p{L}\p{N}_]+)"
 
 
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def strip_brackets(c: Column) -> Column:
     """A quoted literal up to its last quote; else without a leading ``<`` and a trailing ``>``."""
     literal = F.regexp_replace(c, r'(?s)\A(".*")[^"]*\z', "$1")
@@ -81,7 +86,7 @@ def from_one_line(c: Column) -> Column:
 
 def clean_answer(c: Column) -> Column:
     """A model's answer on one line: no line breaks, no tabs, trimmed."""
-    return F.replace(F.trim(F.translate(c, "\r\n", "")), F.lit("\t"), F.lit(" "))
+    return F.replace(stripped(F.translate(c, "\r\n", "")), F.lit("\t"), F.lit(" "))
 
 
 def last_field(c: Column) -> Column:
@@ -97,13 +102,14 @@ def python_quoted(c: Column) -> Column:
     return F.when(double, F.concat(F.lit('"'), body, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(body, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-#: Prompts by kind; ``{name}`` is filled in and the entity's text follows, but for ``name``.
+#: Prompts by kind; ``{name}`` is filled in where it stands, and the entity's text follows, but for ``name``.
 PROMPTS = {
     "english": 'Explain the entity or code "{name}" in English in fewer than 150 words, from what you know and these details:\n',
     "simple": "Explain {name} in English in fewer than 150 words. Details:\n",
     "short": 'Explain the entity or code "{name}" in fewer than 50 words, from what you know and these details:\n',
     "distinct": 'Describe "{name}" in English in fewer than 150 words, so that it stands out from its neighbours. Given are its attributes, then its relations:\n',
     "name": 'Explain the entity or code "{name}" in English in fewer than 150 words.',
+    "summary": "Turn this loose text into a short, well-written summary: keep its key points, and add what you know where that helps. The text:\n",
 }
 
 
@@ -114,9 +120,9 @@ def prompt_kind(input_info: str, instruct: str, answer_english: bool) -> str:
 
 
 def prompt(name: Column, text: Column, kind: str, prompts: dict[str, str] = PROMPTS) -> Column:
-    head, tail = prompts[kind].split("{name}")
+    head, *tail = prompts[kind].split("{name}")
     details = F.lit("") if kind == "name" else from_one_line(F.coalesce(text, F.lit("")))
-    return F.concat(F.lit(head), name, F.lit(tail), details)
+    return F.concat(F.lit(head), *[part for t in tail for part in (name, F.lit(t))], details)
 
 
 def chat_messages(system: str, user: Column) -> Column:

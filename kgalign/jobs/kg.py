@@ -18,33 +18,41 @@ def _node(kind: str, key: str):
     return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
 
 
+def _triples(df: DataFrame, *facts: tuple) -> DataFrame:
+    """``subj, pred, obj, pos`` of one table, read once: each fact is ``(subject, predicate, object, position)`` of a row."""
+    each = [F.struct(s.alias("subj"), F.lit(p).alias("pred"), o.alias("obj"), at.cast("long").alias("pos")) for s, p, o, at in facts]
+    return df.select(F.inline(F.array(*each)))
+
+
 def relation_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``subj, pred, obj, pos`` of orders, customers, suppliers, nations, regions and parts."""
     t = lambda name: table(spark, sf_dir, name)
     line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    parts = [
-        (t("orders"), _node("order", "o_orderkey"), "placed_by", _node("customer", "o_custkey"), F.col("o_orderkey")),
-        (t("customer"), _node("customer", "c_custkey"), "in_nation", _node("nation", "c_nationkey"), F.lit(T12) + F.col("c_custkey")),
-        (t("supplier"), _node("supplier", "s_suppkey"), "in_nation", _node("nation", "s_nationkey"), F.lit(2 * T12) + F.col("s_suppkey")),
-        (t("nation"), _node("nation", "n_nationkey"), "in_region", _node("region", "n_regionkey"), F.lit(3 * T12) + F.col("n_nationkey")),
-        (t("lineitem"), _node("order", "l_orderkey"), "contains", _node("part", "l_partkey"), F.lit(4 * T12) + line),
-        (t("lineitem"), _node("part", "l_partkey"), "supplied_by", _node("supplier", "l_suppkey"), F.lit(5 * T12) + line),
+    rows = [
+        _triples(t("orders"), (_node("order", "o_orderkey"), "placed_by", _node("customer", "o_custkey"), F.col("o_orderkey"))),
+        _triples(t("customer"), (_node("customer", "c_custkey"), "in_nation", _node("nation", "c_nationkey"), F.lit(T12) + F.col("c_custkey"))),
+        _triples(t("supplier"), (_node("supplier", "s_suppkey"), "in_nation", _node("nation", "s_nationkey"), F.lit(2 * T12) + F.col("s_suppkey"))),
+        _triples(t("nation"), (_node("nation", "n_nationkey"), "in_region", _node("region", "n_regionkey"), F.lit(3 * T12) + F.col("n_nationkey"))),
+        _triples(
+            t("lineitem"),
+            (_node("order", "l_orderkey"), "contains", _node("part", "l_partkey"), F.lit(4 * T12) + line),
+            (_node("part", "l_partkey"), "supplied_by", _node("supplier", "l_suppkey"), F.lit(5 * T12) + line),
+        ),
     ]
-    rows = [df.select(s.alias("subj"), F.lit(p).alias("pred"), o.alias("obj"), at.cast("long").alias("pos")) for df, s, p, o, at in parts]
     return reduce(DataFrame.unionByName, rows)
 
 
 def attribute_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``subj, pred, obj, pos`` with quoted values."""
-    t = lambda name: table(spark, sf_dir, name)
     parts = [
-        (t("customer"), "customer", "c_custkey", {"name": "c_name", "segment": "c_mktsegment"}, 0),
-        (t("part"), "part", "p_partkey", {"name": "p_name", "brand": "p_brand", "type": "p_type"}, T12),
-        (t("orders"), "order", "o_orderkey", {"priority": "o_orderpriority", "status": "o_orderstatus"}, 2 * T12),
+        ("customer", "customer", "c_custkey", {"name": "c_name", "segment": "c_mktsegment"}, 0),
+        ("part", "part", "p_partkey", {"name": "p_name", "brand": "p_brand", "type": "p_type"}, T12),
+        ("orders", "order", "o_orderkey", {"priority": "o_orderpriority", "status": "o_orderstatus"}, 2 * T12),
     ]
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     rows = [
-        df.select(_node(kind, key).alias("subj"), F.lit(p).alias("pred"), F.concat(F.lit('"'), c, F.lit('"')).alias("obj"), (F.lit(base + i) + F.col(key) * 10).cast("long").alias("pos"))
-        for df, kind, key, columns, base in parts for i, (p, c) in enumerate(columns.items())
+        _triples(table(spark, sf_dir, t), *[(_node(kind, key), p, quoted(c), F.lit(base + i) + F.col(key) * 10) for i, (p, c) in enumerate(columns.items())])
+        for t, kind, key, columns, base in parts
     ]
     return reduce(DataFrame.unionByName, rows)
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import enrich, graph, matching, resolve, splits, texts, tokens, vectors
 from ..sources import files
+from ..storage import new_folder, written
 from .kg import ATTR, REL, attribute_triples, ordered, relation_triples, table
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,13 +43,13 @@ _HOST = "http://data.example.org/"
 
 @_query("n_triples", f"""SELECT doc_id AS pos, '{_HOST}doc/'||doc_id AS subj, '{_HOST}source' AS pred, '"'||source||'"' AS obj, 'kept' AS kind FROM documents
 UNION ALL SELECT doc_id, '{_HOST}doc/'||doc_id, '{_HOST}lang', '{_HOST}lang/'||lang, 'kept' FROM documents
-UNION ALL SELECT doc_id, NULL, NULL, '<only> two', 'reject' FROM documents""")
+UNION ALL SELECT doc_id, NULL, NULL, unnest(['<only> two', '<no> <object> .', '<no> <object>  . ']), 'reject' FROM documents""")
 def n_triples(spark, d):
     docs, p = table(spark, d, "documents"), F.col("doc_id").cast("string")
     lines = docs.select(F.col("doc_id").alias("pos"), F.explode(F.array(
         F.concat(F.lit(f"<{_HOST}doc/"), p, F.lit(f'> <{_HOST}source> "'), "source", F.lit('"@en .')),
         F.concat(F.lit(f"<{_HOST}doc/"), p, F.lit(f"> <{_HOST}lang> <{_HOST}lang/"), "lang", F.lit("> . ")),
-        F.concat(F.lit("# comment "), p), F.lit("<only> two"),
+        F.concat(F.lit("# comment "), p), F.lit("<only> two"), F.lit("<no> <object> ."), F.lit("<no> <object>  . "),
     )).alias("value"))
     good, bad = files.parse_n_triples(lines)
     good = files.compressed(good, ())
@@ -57,11 +59,18 @@ def n_triples(spark, d):
     )
 
 
-@_query("relation_lines", f"WITH {REL} SELECT subj, pred, replace(obj, '_', ' ') AS obj, pos FROM rel")
+@_query("relation_lines", f"""WITH {REL} SELECT subj, pred, replace(obj, '_', ' ') AS obj, pos, 'kept' AS kind FROM rel
+UNION ALL SELECT subj||chr(9)||pred||chr(9)||' ', NULL, NULL, pos, 'reject' FROM rel WHERE pred = 'in_nation'""")
 def relation_lines(spark, d):
     rel = relation_triples(spark, d)
-    line = F.concat(F.lit(f"<{_HOST}"), "subj", F.lit(">\t"), "pred", F.lit(f"\t{_HOST}"), "obj")
-    return files.parse_relation_lines(rel.select(line.alias("value"), "pos"), (_HOST,))[0]
+    line = F.concat(F.lit(f"\t<{_HOST}"), "subj", F.lit(">\t"), "pred", F.lit(f"\t{_HOST}"), "obj", F.lit(" \t\r"))
+    # A line that ends in white space has no empty object: it is too short.
+    short = rel.where("pred = 'in_nation'").select(F.concat("subj", F.lit("\t"), "pred", F.lit("\t ")).alias("value"), "pos")
+    good, bad = files.parse_relation_lines(rel.select(line.alias("value"), "pos").unionByName(short), (_HOST,))
+    nothing = F.lit(None).cast("string")
+    return good.withColumn("kind", F.lit("kept")).unionByName(
+        bad.select(F.col("value").alias("subj"), nothing.alias("pred"), nothing.alias("obj"), "pos", F.lit("reject").alias("kind"))
+    )
 
 
 @_query("attribute_lines", f"WITH {ATTR} SELECT subj, pred, obj, pos FROM attr")
@@ -116,16 +125,16 @@ def rebased_ids(spark, d):
 
 
 @_query("one_line_texts", r"""SELECT doc_id, replace(text, chr(10), '\n') AS flat, replace(replace(replace(text, chr(10), '\n'), '\n', chr(10)), '\t', chr(9)) AS back,
-replace(trim(replace(replace(text, chr(13), ''), chr(10), ''), ' '), chr(9), ' ') AS answer, string_split(text, chr(9))[-1] AS last_part FROM documents""")
+replace(trim(replace(replace(text, chr(13), ''), chr(10), ''), ' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)), chr(9), ' ') AS answer, rtrim(lang) AS padded, string_split(text, chr(9))[-1] AS last_part FROM documents""")
 def one_line_texts(spark, d):
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", X.one_line(t).alias("flat"), X.from_one_line(X.one_line(t)).alias("back"), X.clean_answer(t).alias("answer"), X.last_field(t).alias("last_part"))
+    return table(spark, d, "documents").select("doc_id", X.one_line(t).alias("flat"), X.from_one_line(X.one_line(t)).alias("back"), X.clean_answer(t).alias("answer"), X.clean_answer(F.concat(F.lit("\t \r\n"), "lang", F.lit(" \t\n"))).alias("padded"), X.last_field(t).alias("last_part"))
 
 
 def _prompt_sql(kind: str, name: str, text: str) -> str:
-    head, tail = (s.replace("'", "''").replace("\n", "'||chr(10)||'") for s in X.PROMPTS[kind].split("{name}"))
+    head, *tail = (s.replace("'", "''").replace("\n", "'||chr(10)||'") for s in X.PROMPTS[kind].split("{name}"))
     details = "" if kind == "name" else rf"||replace(replace(coalesce({text}, ''), '\n', chr(10)), '\t', chr(9))"
-    return f"'{head}'||{name}||'{tail}'{details}"
+    return f"'{head}'" + "".join(f"||{name}||'{t}'" for t in tail) + details
 
 
 @_query("prompts", "SELECT conv_id, turn, " + ", ".join(f"{_prompt_sql(k, 'role', 'text')} AS {k}_prompt" for k in X.PROMPTS) + " FROM conversations")
@@ -178,21 +187,34 @@ def fact_order(spark, d):
 _SHORT = "(SELECT subj, pred, pos, rank, CASE WHEN count(*) OVER (PARTITION BY subj) > 10 AND length(obj[2:-2]) > 20 THEN NULL ELSE obj[2:-2] END AS obj FROM facts)"
 
 
-@_query("property_table", f"""WITH {ATTR}, {ordered('attr', 'facts')}, s AS {_SHORT}, k AS (SELECT subj, pred, min(rank) AS r, count(obj) AS n, coalesce(string_agg(obj, ', ' ORDER BY rank), '') AS vals FROM s GROUP BY ALL)
-SELECT subj, pred, row_number() OVER (PARTITION BY subj ORDER BY r) AS key_rank, vals, n FROM k""")
+_IDS = """n AS (SELECT subj AS name, 1 AS stage, pos, 1 AS side FROM attr UNION ALL SELECT subj, 2, pos, 2 FROM rel UNION ALL SELECT obj, 2, pos, 3 FROM rel),
+ids AS (SELECT row_number() OVER (ORDER BY num, name) - 1 AS ent_id, name AS subj FROM (SELECT name, min(row(stage, pos, side)) AS num FROM n GROUP BY name))"""
+
+
+@_query("property_table", f"""WITH {REL}, {ATTR}, {_IDS}, {ordered('attr', 'facts')}, s AS {_SHORT}, k AS (SELECT subj, pred, min(rank) AS r, count(obj) AS n, coalesce(string_agg(obj, ', ' ORDER BY rank), '') AS vals FROM s GROUP BY ALL),
+t AS (SELECT subj, pred, row_number() OVER (PARTITION BY subj ORDER BY r) AS key_rank, vals, n FROM k)
+SELECT ent_id, subj, pred, key_rank, vals, n FROM ids LEFT JOIN t USING (subj)""")
 def property_table(spark, d):
-    t = graph.property_table(attribute_triples(spark, d))
-    return t.select("subj", "pred", F.col("key_rank").cast("long").alias("key_rank"), F.array_join("vals", ", ").alias("vals"), "n")
+    """Every entity, also those without an attribute."""
+    rel, attr = written(relation_triples(spark, d)), written(attribute_triples(spark, d))
+    t = graph.property_table(attr, entities=graph.dictionary(graph.entity_names(attr, rel)))
+    return t.select("ent_id", "subj", "pred", F.col("key_rank").cast("long").alias("key_rank"), F.array_join("vals", ", ").alias("vals"), "n")
 
 
-@_query("relation_table", f"""WITH {REL}, {ordered('rel', 'facts')}, k AS (SELECT subj, pred, min(rank) AS r, count(*) AS n, string_agg(obj, ' and ' ORDER BY rank) AS vals FROM facts GROUP BY ALL),
-i AS (SELECT obj AS subj, pred, subj AS obj, row_number() OVER (PARTITION BY obj, pred ORDER BY pos, subj) AS num, count(*) OVER (PARTITION BY obj, pred) AS n FROM rel)
-SELECT subj, pred, vals, n FROM k UNION ALL SELECT subj, pred||'-inv', string_agg(obj, ' and ' ORDER BY num), max(n) FROM i WHERE num <= 3 GROUP BY subj, pred""")
+@_query("property_header", f"""WITH {ATTR}, p AS (SELECT pred AS name, min(pos) AS pos, count(DISTINCT subj) / count(*) AS f FROM attr GROUP BY pred), r AS (SELECT name, row_number() OVER (ORDER BY pos, name) - 1 AS id, f FROM p)
+SELECT id, name, 'all' AS kind FROM r UNION ALL SELECT id, name, 'functional' FROM r WHERE f > 0.9""")
+def property_header(spark, d):
+    attr = written(attribute_triples(spark, d))
+    return graph.property_header(attr).withColumn("kind", F.lit("all")).unionByName(graph.property_header(attr, 0.9).withColumn("kind", F.lit("functional")))
+
+
+@_query("relation_table", f"""WITH {REL}, {ordered('rel', 'facts')}, o AS (SELECT subj, pred, obj, rank, min(rank) OVER (PARTITION BY subj, pred) AS r FROM facts),
+i AS (SELECT obj AS subj, pred||'-inv' AS pred, subj AS obj, pos, min(pos) OVER (PARTITION BY obj, pred) AS r FROM rel)
+SELECT subj, pred, 'out' AS direction, dense_rank() OVER (PARTITION BY subj ORDER BY r) AS key_rank, row_number() OVER (PARTITION BY subj, pred ORDER BY rank) AS place, obj, count(*) OVER (PARTITION BY subj, pred) AS n FROM o
+UNION ALL SELECT subj, pred, 'in', dense_rank() OVER (PARTITION BY subj ORDER BY r, pred), row_number() OVER (PARTITION BY subj, pred ORDER BY pos, obj), obj, count(*) OVER (PARTITION BY subj, pred) FROM i""")
 def relation_table(spark, d):
-    rel = relation_triples(spark, d)
-    out = graph.keyed(graph.ordered_facts(rel)).select("subj", "pred", F.array_join("vals", " and ").alias("vals"), "n")
-    back = graph.capped_in_edges(rel).groupBy("subj", "pred", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "obj"))).alias("v"))
-    return out.unionByName(back.select("subj", F.concat("pred", F.lit("-inv")).alias("pred"), F.array_join(F.transform("v", lambda x: x["obj"]), " and ").alias("vals"), "n"))
+    t = graph.relation_table(written(relation_triples(spark, d)))
+    return t.withColumns({"key_rank": F.col("key_rank").cast("long"), "place": F.col("place").cast("long")})
 
 
 # --- tokens ------------------------------------------------------------------------------------
@@ -203,11 +225,11 @@ def token_frequencies(spark, d):
     return tokens.token_frequencies(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")))
 
 
-@_query("token_ids", f"""WITH w AS (SELECT conv_id * 1000 + turn AS id, {_WORDS} AS ws FROM conversations), e AS (SELECT id, unnest(ws) AS token, unnest(range(len(ws))) AS num FROM w),
+@_query("token_ids", f"""WITH w AS (SELECT doc_id AS id, {_WORDS} AS ws FROM documents), e AS (SELECT id, unnest(ws) AS token, unnest(range(len(ws))) AS num FROM w),
 f AS (SELECT token, min(row(e.id, num)) AS first0 FROM e GROUP BY token), v AS (SELECT token, row_number() OVER (ORDER BY first0, token) - 1 AS tid FROM f)
 SELECT w.id, coalesce(string_agg(CAST(tid AS VARCHAR), ' ' ORDER BY num), '') AS token_ids FROM w LEFT JOIN e ON w.id = e.id LEFT JOIN v USING (token) GROUP BY w.id""")
 def token_ids(spark, d):
-    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("content"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     names = rows.select("id", F.posexplode(X.words(F.col("content"))).alias("at", "name")).select("name", F.struct("id", "at").alias("pos"))
     return tokens.token_ids(rows, graph.dictionary(names)).select("id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("token_ids"))
 
@@ -301,8 +323,7 @@ def link_split(spark, d):
 _ENTITIES = "ents AS (SELECT DISTINCT name FROM (SELECT subj AS name FROM rel UNION ALL SELECT obj FROM rel UNION ALL SELECT subj FROM attr))"
 
 
-def _entities(spark, d):
-    rel, attr = relation_triples(spark, d), attribute_triples(spark, d)
+def _entities(rel, attr):
     return rel.select(F.col("subj").alias("name")).union(rel.select("obj")).union(attr.select("subj")).distinct()
 
 
@@ -313,7 +334,8 @@ p AS (SELECT subj, coalesce(string_agg(pred||': '||vals, ', ' ORDER BY r) FILTER
 SELECT name, CASE WHEN shown IS NULL THEN name||'. ' WHEN shown <> '' AND names <> '' THEN '"'||name||'" has the following attributes: '||shown||'. Besides, "'||name||'" has other attributes such as '||names||'. '
 WHEN shown <> '' THEN '"'||name||'" has the following attributes: '||shown||'. ' ELSE '"'||name||'" has the following attributes: '||names||'. ' END AS content FROM ents LEFT JOIN p ON name = subj""")
 def attribute_text(spark, d):
-    return texts.attribute_text(_entities(spark, d), attribute_triples(spark, d))
+    attr = written(attribute_triples(spark, d))
+    return texts.attribute_text(_entities(relation_triples(spark, d), attr), attr)
 
 
 _RELATION_TEXT = rf"""{ordered('rel', 'facts')},
@@ -328,7 +350,8 @@ WHEN len(regexp_extract_all(o.t, '[\p{{L}}\p{{N}}_]+')) < 50 THEN o.t||coalesce(
 
 @_query("relation_text", f"WITH {REL}, {ATTR}, {_ENTITIES}, {_RELATION_TEXT} SELECT name, content FROM rt")
 def relation_text(spark, d):
-    return texts.relation_text(_entities(spark, d), relation_triples(spark, d))
+    rel = written(relation_triples(spark, d))
+    return texts.relation_text(_entities(rel, attribute_triples(spark, d)), rel)
 
 
 def _dict_sql(keys: int) -> str:
@@ -338,17 +361,29 @@ def _dict_sql(keys: int) -> str:
 (SELECT *, row_number() OVER (PARTITION BY subj, pred ORDER BY obj IS NULL, rank) AS num FROM sh) GROUP BY subj, pred QUALIFY row_number() OVER (PARTITION BY subj ORDER BY min(rank)) <= {keys}) GROUP BY subj)"""
 
 
-@_query("attribute_relation_text", f"""WITH {REL}, {ATTR}, {_ENTITIES}, {ordered('attr', 'facts')}, sh AS {_SHORT}, own AS {_dict_sql(10)}, near AS {_dict_sql(3)}, {ordered('rel', 'rf')},
+def _attribute_relation_sql(prefer: bool) -> str:
+    first = "has NULLS LAST, side, r, pred" if prefer else "side, r, pred"
+    return f"""WITH {REL}, {ATTR}, {_ENTITIES}, {ordered('attr', 'facts')}, sh AS {_SHORT}, own AS {_dict_sql(10)}, near AS {_dict_sql(3)}, {ordered('rel', 'rf')},
 ok AS (SELECT subj, pred, obj, 0 AS side, min(rank) OVER (PARTITION BY subj, pred) AS r, row_number() OVER (PARTITION BY subj, pred ORDER BY rank) AS num FROM rf),
 ik AS (SELECT obj AS subj, pred, subj AS obj, 1 AS side, min(pos) OVER (PARTITION BY obj, pred) AS r, row_number() OVER (PARTITION BY obj, pred ORDER BY pos, subj) AS num FROM rel),
-e AS (SELECT *, dense_rank() OVER (PARTITION BY subj ORDER BY side, r, pred) AS key_rank FROM (SELECT * FROM ok UNION ALL SELECT * FROM ik) WHERE num <= 2),
+ak AS (SELECT *, max(CASE WHEN obj IN (SELECT subj FROM attr) THEN 1 END) OVER (PARTITION BY subj, side, pred) AS has FROM (SELECT * FROM ok UNION ALL SELECT * FROM ik)),
+e AS (SELECT *, dense_rank() OVER (PARTITION BY subj ORDER BY {first}) AS key_rank FROM ak WHERE num <= 2),
 c AS (SELECT e.* FROM e LEFT JOIN own USING (subj) WHERE key_rank <= CASE WHEN n > 5 THEN 3 ELSE 4 END),
 l AS (SELECT c.subj, key_rank, CASE WHEN side = 0 THEN '-> '||pred||' -> ' ELSE '<- '||pred||' <- ' END||string_agg(obj||coalesce(' ('||dict||')', ''), ', ' ORDER BY num)||chr(10) AS line FROM c LEFT JOIN near ON obj = near.subj GROUP BY c.subj, key_rank, side, pred),
 t AS (SELECT subj, string_agg(line, '' ORDER BY key_rank) AS body FROM l GROUP BY subj)
 SELECT name, CASE WHEN body IS NULL THEN name||'.' ELSE replace('Entity ['||name||']'||coalesce(' has attributes: ('||dict||')'||chr(10), chr(10))||'Relations: '||chr(10)||body, chr(10), '\\n') END AS content
-FROM ents LEFT JOIN t ON name = t.subj LEFT JOIN own ON name = own.subj""")
-def attribute_relation_text(spark, d):
-    return texts.attribute_relation_text(_entities(spark, d), attribute_triples(spark, d), relation_triples(spark, d))
+FROM ents LEFT JOIN t ON name = t.subj LEFT JOIN own ON name = own.subj"""
+
+
+@_query("attribute_relation_text", _attribute_relation_sql(False))
+def attribute_relation_text(spark, d, prefer_attributed=False):
+    rel, attr = written(relation_triples(spark, d)), written(attribute_triples(spark, d))
+    return texts.attribute_relation_text(_entities(rel, attr), attr, rel, prefer_attributed)
+
+
+@_query("attributed_relation_text", _attribute_relation_sql(True))
+def attributed_relation_text(spark, d):
+    return attribute_relation_text(spark, d, True)
 
 
 @_query("resumed_texts", "SELECT d.doc_id AS id, d.n_chars FROM documents d WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -418,7 +453,8 @@ def mapped_vectors(spark, d):
 @_query("gram_matrix", """WITH e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) SELECT a.i AS row, b.i AS col, round(sum(a.v * b.v), 6) AS v FROM e a JOIN e b USING (vec_id) GROUP BY a.i, b.i""")
 def gram_matrix(spark, d):
     g = vectors.gram(table(spark, d, "embeddings"))
-    return g.select("row", F.col("col").cast("long").alias("col"), F.round("v", 6).alias("v"))
+    each = g.mapInArrow(vectors.unpacked, "row long, vals array<double>").select("row", F.posexplode("vals").alias("col", "v"))
+    return each.select("row", F.col("col").cast("long").alias("col"), F.round("v", 6).alias("v"))
 
 
 for _metric, _expr in {
@@ -485,6 +521,18 @@ def hard_entities(spark, d):
     return splits.hard_entities(rows, 0.3).withColumn("difficulty", F.round("difficulty", 6))
 
 
+@_query("easy_entities", f"{_LISTS} SELECT src AS id, round({_DIFFICULTY}, 6) AS difficulty FROM l QUALIFY row_number() OVER (ORDER BY round({_DIFFICULTY}, 9), src) <= floor((SELECT count(*) FROM l) * 0.3)")
+def easy_entities(spark, d):
+    rows = _lists(spark, d).select(F.col("src").alias("id"), F.round(matching.difficulty(), 9).alias("difficulty"))
+    return splits.hard_entities(rows, 0.3, "easy").withColumn("difficulty", F.round("difficulty", 6))
+
+
+@_query("random_entities", f"{_LISTS} SELECT src AS id, round({_DIFFICULTY}, 6) AS difficulty FROM l QUALIFY row_number() OVER (ORDER BY md5('42:'||src), src) <= floor((SELECT count(*) FROM l) * 0.3)")
+def random_entities(spark, d):
+    rows = _lists(spark, d).select(F.col("src").alias("id"), F.round(matching.difficulty(), 9).alias("difficulty"))
+    return splits.hard_entities(rows, 0.3, "random").withColumn("difficulty", F.round("difficulty", 6))
+
+
 @_query("candidate_names", f"WITH {_VECS}, p AS (SELECT src, tgt, row_number() OVER (PARTITION BY src ORDER BY v DESC, tgt) AS place FROM sim QUALIFY place <= 10) SELECT src AS key, string_agg('vec/'||tgt, ' ' ORDER BY place) AS names FROM p GROUP BY src")
 def candidate_names(spark, d):
     names = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("name"))
@@ -492,18 +540,37 @@ def candidate_names(spark, d):
     return resolve.candidate_names(rows, names).select("key", F.array_join("names", " ").alias("names"))
 
 
-@_query("reduced_vectors")
+@_query("reduced_vectors", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), k AS (SELECT id, id + j AS other FROM e, range(1, 6) q(j))
+SELECT k.id, k.other, round(list_cosine_similarity(a.e, b.e), 6) AS product FROM k JOIN e a ON k.id = a.id JOIN e b ON k.other = b.id""")
 def reduced_vectors(spark, d):
-    v = vectors.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 16)
-    # Signs are arbitrary, so squares are shown.
-    return v.select("id", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"), F.size("embedding").alias("dims"))
+    """Signs of directions are arbitrary, products are not: at full rank they are the cosines of the vectors given."""
+    v = written(vectors.reduced(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), 64))
+    pairs = v.select("id", F.col("embedding").alias("x"), F.explode(F.expr("transform(sequence(1, 5), j -> id + j)")).alias("other"))
+    pairs = pairs.join(v.select(F.col("id").alias("other"), F.col("embedding").alias("y")), "other")
+    return pairs.select("id", "other", F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6).alias("product"))
+
+
+_HASHED = f"""WITH w AS (SELECT doc_id AS id, unnest({_WORDS}) AS word FROM documents), h AS (SELECT id, CAST('0x'||md5('0:'||word)[:8] AS BIGINT) AS h FROM w),
+v AS (SELECT id, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL)"""
 
 
-@_query("encoded_texts")
+@_query("encoded_texts", f"{_HASHED} SELECT id, k AS place, CAST(x AS BIGINT) AS value FROM v WHERE x <> 0")
 def encoded_texts(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    v = vectors.encoded(docs, vectors.hashed_encoder())
-    return v.select("id", F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    v = vectors.encoded(docs, vectors.hashed_encoder()).select("id", F.posexplode("embedding").alias("place", "value"))
+    return v.where("value <> 0").select("id", F.col("place").cast("long").alias("place"), F.col("value").cast("long").alias("value"))
+
+
+@_query("stacked_vectors", "SELECT vec_id AS id, 1 + vec_id % 2 AS kg, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings")
+def stacked_vectors(spark, d):
+    source, target, _ = _sides_of_vectors(spark, d)
+    return vectors.stacked(source, target).select("id", F.col("kg").cast("long").alias("kg"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
+@_query("stacked_texts", "SELECT doc_id AS id, 1 AS kg, text AS content FROM documents UNION ALL SELECT conv_id, 2, text FROM conversations WHERE turn = 0")
+def stacked_texts(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    return vectors.stacked(docs, table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("id"), F.col("text").alias("content")))
 
 
 @_query("binary_metrics", r"""WITH r AS (SELECT toxic, CASE WHEN regexp_matches(text, '(?i)\b(trash|idiot|stupid|worthless|disgusting)\b') THEN 1 ELSE 0 END AS o FROM labels JOIN documents USING (doc_id)),
@@ -519,24 +586,97 @@ def binary_metrics(spark, d):
 # --- models -------------------------------------------------------------------------------------------
 
 
-def _shout(question: str) -> str:
+def _end(question: str) -> str:
     """A stand-in for a model: fails where the details are long."""
     if len(question) > 2000:
         raise RuntimeError("too long")
-    return question[-20:].upper()
+    return f"\t{question[-20:]}!\n"
 
 
 def _count(question: str) -> str:
     return f"{len(question)} characters"
 
 
-@_query("enriched_texts")
+@_query("enriched_texts", f"""WITH q AS (SELECT doc_id AS id, 'doc/'||doc_id AS name, {_prompt_sql("short", "'doc/'||doc_id", "text")} AS q FROM documents), a AS (SELECT *, chr(9)||right(q, 20)||'!' AS answer FROM q)
+SELECT id, name, CASE WHEN length(q) > 2000 THEN length(q)||' characters' ELSE replace(trim(replace(replace(answer, chr(13), ''), chr(10), ''), ' '||chr(9)||chr(11)||chr(12)), chr(9), ' ') END AS content FROM a""")
 def enriched_texts(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"))
-    good, _ = enrich.with_fallback(docs, _shout, _count, kind="short", tries=2)
+    good, _ = enrich.with_fallback(docs, _end, _count, kind="short", tries=2)
     return good
 
 
+@_query("summarized_texts", f"""WITH q AS (SELECT doc_id AS id, {_prompt_sql("summary", "''", "text")} AS q FROM documents)
+SELECT id, CASE WHEN length(q) <= 2000 THEN replace(trim(replace(replace(chr(9)||right(q, 20)||'!', chr(13), ''), chr(10), ''), ' '||chr(9)||chr(11)||chr(12)), chr(9), ' ') END AS summary, CASE WHEN length(q) > 2000 THEN 'error' ELSE 'ok' END AS status FROM q""")
+def summarized_texts(spark, d):
+    return enrich.summarized(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")), _end, tries=1).drop("content")
+
+
 @_query("upper_lines", "SELECT doc_id AS pos, upper(lang)||'!' AS value FROM documents")
 def upper_lines(spark, d):
     return enrich.each_line(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("lang").alias("value")), lambda v: v.upper() + "!")
+
+
+# --- files ----------------------------------------------------------------------------------------------
+
+
+@_query("id_triple_files", "SELECT l_orderkey AS h, l_linenumber AS r, l_partkey AS t, 'hrt' AS kind FROM lineitem UNION ALL SELECT o_orderkey, 0, o_custkey, 'htr' FROM orders UNION ALL SELECT n_nationkey, NULL, NULL, 'reject' FROM nation")
+def id_triple_files(spark, d):
+    """Folders in folders are read whole; both orders of columns; lines that are no numbers are rejects."""
+    n = new_folder(spark, "files")
+    row = lambda *c: F.concat_ws("\t", *[F.col(x).cast("string") if isinstance(x, str) else x for x in c]).alias("value")
+    table(spark, d, "lineitem").select(row("l_orderkey", "l_linenumber", "l_partkey")).write.text(f"{n}/hrt/a/b")
+    table(spark, d, "nation").select(row("n_nationkey", F.lit("x"), "n_regionkey")).write.text(f"{n}/hrt/c")
+    table(spark, d, "orders").select(row("o_orderkey", "o_custkey", F.lit("0"))).write.text(f"{n}/htr/a")
+    (one, bad), (two, none) = (files.parse_id_triples(files.read_lines(spark, f"{n}/{order}"), order) for order in ("hrt", "htr"))
+    gone = bad.unionByName(none).select(F.substring_index("value", "\t", 1).cast("long").alias("h"), F.lit(None).cast("long").alias("r"), F.lit(None).cast("long").alias("t"))
+    parts = [x.select("h", "r", "t", F.lit(kind).alias("kind")) for x, kind in ((one, "hrt"), (two, "htr"), (gone, "reject"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@_query("tsv_files", r"""SELECT doc_id AS id, '"'||source||'" \x' AS name, replace(replace(text, chr(10), '\n'), chr(9), ' ') AS content FROM documents""")
+def tsv_files(spark, d):
+    """Quotes and backslashes survive a round trip."""
+    path = new_folder(spark, "files")
+    flat = F.replace(X.one_line(F.col("text")), F.lit("\t"), F.lit(" "))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit('"'), "source", F.lit('" \\x')).alias("name"), flat.alias("content"))
+    files.write_tsv(docs, path)
+    return files.read_tsv(spark, path, "id long, name string, content string")
+
+
+@_query("dictionary_files", "SELECT c_custkey AS id, c_name AS name, 'id first' AS kind FROM customer UNION ALL SELECT c_custkey, c_name, 'name first' FROM customer")
+def dictionary_files(spark, d):
+    names, out = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), []
+    for name_first in (False, True):
+        path = new_folder(spark, "files")
+        files.write_dictionary(names, path, name_first)
+        out.append(files.read_dictionary(spark, path, name_first)[0].withColumn("kind", F.lit("name first" if name_first else "id first")))
+    return out[0].unionByName(out[1])
+
+
+@_query("candidate_files", f"{_LISTS} SELECT src AS key, list_sum(list_transform(x, lambda v: round(v, 6))) AS total, round({_DIFFICULTY}, 6) AS difficulty, len(x) AS n FROM l")
+def candidate_files(spark, d):
+    """Nested records as JSON lines, written in the order of difficulty."""
+    path = new_folder(spark, "files")
+    rows = _lists(spark, d).select(F.col("src").alias("ref"), "candidates", "cand_sims", matching.difficulty().alias("difficulty"))
+    files.write_candidates(rows, path)
+    back = files.read_rows(spark, path, files.CANDIDATE)
+    total = F.aggregate("cand_sims", F.lit(0.0), lambda a, x: a + F.round(x, 6))
+    return back.select(F.col("ref").alias("key"), total.alias("total"), F.round("difficulty", 6).alias("difficulty"), F.size("candidates").cast("long").alias("n"))
+
+
+@_query("json_map_files", "SELECT conv_id||'/'||turn AS key, role||': '||text AS value FROM conversations")
+def json_map_files(spark, d):
+    """One JSON object for each conversation, keyed by turn."""
+    path = new_folder(spark, "files")
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = table(spark, d, "conversations").select("conv_id", F.struct(key.alias("key"), F.concat("role", F.lit(": "), "text").alias("value")).alias("e"))
+    rows.groupBy("conv_id").agg(F.to_json(F.map_from_entries(F.collect_list("e"))).alias("value")).select("value").write.text(path)
+    return files.read_json_map(spark, path, T.StringType(), whole=False)
+
+
+@_query("vector_files", "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, 2 AS kg FROM embeddings WHERE vec_id % 2 = 1")
+def vector_files(spark, d):
+    path = new_folder(spark, "files")
+    source, target, _ = _sides_of_vectors(spark, d)
+    files.write_vectors(vectors.stacked(source, target), path)
+    return files.read_vectors(spark, path, 2).select("id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"), F.lit(2).alias("kg"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_answer, prompt
+from ..functions.text import PROMPTS, clean_answer, prompt
 from ..storage import workers_find_package, written
 
 
@@ -17,11 +17,13 @@ def still_to_do(texts: DataFrame, done: DataFrame) -> DataFrame:
     return texts.join(done.select("id"), "id", "left_anti")
 
 
-def enriched(texts: DataFrame, model: Callable[[str], str], kind: str = "distinct", tries: int = 5, workers: int | None = None) -> DataFrame:
+def enriched(
+    texts: DataFrame, model: Callable[[str], str], kind: str = "distinct", tries: int = 5, workers: int | None = None, prompts: dict[str, str] = PROMPTS
+) -> DataFrame:
     """``id, name, content, answer, status`` for ``texts(id, name, content)``.
 
-    ``model(prompt)`` may raise: it is tried again, then the row's status is
-    ``error``. ``workers`` bounds the concurrent calls. The result is written at
+    ``prompts[kind]`` is the question's template. ``model(prompt)`` may raise: it is tried
+    again, then the row's status is ``error``. ``workers`` bounds the concurrent calls. The result is written at
     once, so that no later step calls the model again.
     """
     workers_find_package(texts.sparkSession)
@@ -43,12 +45,18 @@ def enriched(texts: DataFrame, model: Callable[[str], str], kind: str = "distinc
                 [*batch.columns[:3], pa.array(answers, pa.string()), pa.array(status, pa.string())], names=["id", "name", "content", "answer", "status"]
             )
 
-    asked = texts.select("id", "name", "content", prompt(F.col("name"), F.col("content"), kind).alias("prompt"))
+    asked = texts.select("id", "name", "content", prompt(F.col("name"), F.col("content"), kind, prompts).alias("prompt"))
     asked = asked.repartition(workers) if workers else asked
     out = asked.mapInArrow(run, "id long, name string, content string, answer string, status string")
     return written(out.withColumn("answer", clean_answer(F.col("answer"))))
 
 
+def summarized(texts: DataFrame, model: Callable[[str], str], template: str = PROMPTS["summary"], **options) -> DataFrame:
+    """``id, content, summary, status`` for ``texts(id, content)``: the template, then the text, is what the model is asked."""
+    rows = texts.select("id", F.lit("").alias("name"), "content")
+    return enriched(rows, model, "summary", prompts={"summary": template}, **options).select("id", "content", F.col("answer").alias("summary"), "status")
+
+
 def with_fallback(texts: DataFrame, first: Callable, second: Callable, **options) -> tuple[DataFrame, DataFrame]:
     """``id, name, content`` of all answers and what both models failed on: failed rows go once more, to ``second``."""
     one = enriched(texts, first, **options)

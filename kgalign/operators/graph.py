@@ -78,8 +78,10 @@ def blocks(pairs: DataFrame, key: str) -> DataFrame:
 
 def ordered_facts(triples: DataFrame) -> DataFrame:
     """``triples`` with ``rank`` within the subject: functionality descending, then predicate and object by first appearance."""
-    preds = functionality(triples).join(triples.groupBy("pred").agg(F.min("pos").alias("_pred_at")), "pred")
-    objs = triples.groupBy("obj").agg(F.min("pos").alias("_obj_at"))
+    each = triples.groupBy("pred", "subj").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
+    preds = each.groupBy("pred").agg((F.count("*") / F.sum("n")).alias("functionality"), F.min("at").alias("_pred_at"))
+    # A table of its own, so that the join with a hub's many facts can be split.
+    objs = written(triples.groupBy("obj").agg(F.min("pos").alias("_obj_at")))
     known = triples.join(preds, "pred").join(objs, "obj")
     w = Window.partitionBy("subj").orderBy(F.desc("functionality"), "_pred_at", "pred", "_obj_at", "obj", "pos")
     return known.withColumn("rank", F.row_number().over(w)).drop("_pred_at", "_obj_at")
@@ -111,12 +113,47 @@ def short_values(facts: DataFrame, many: int = 10, longest: int = 20) -> DataFra
     return facts.withColumn("obj", F.when((n > many) & (F.length("obj") > longest), None).otherwise(F.col("obj")))
 
 
-def property_table(attributes: DataFrame, least_functionality: float | None = None) -> DataFrame:
-    """Attributes by entity and property, in order: ``subj, pred, key_rank, vals, n``."""
+def property_table(attributes: DataFrame, least_functionality: float | None = None, entities: DataFrame | None = None) -> DataFrame:
+    """Attributes by entity and property, in order: ``subj, pred, key_rank, vals, n``.
+
+    With ``entities(id, name)`` also ``ent_id``, and a row without a property for each entity that has none.
+    """
     facts = ordered_facts(attributes).withColumn("obj", unquote(F.col("obj")))
+    facts = short_values(facts)
     if least_functionality is not None:
         facts = facts.where(F.col("functionality") > least_functionality)
-    return keyed(short_values(facts))
+    table = keyed(facts)
+    if entities is None:
+        return table
+    names = entities.select(F.col("id").alias("ent_id"), F.col("name").alias("subj"))
+    return names.join(table, "subj", "left").select("ent_id", "subj", "pred", "key_rank", "vals", "n")
+
+
+def property_header(attributes: DataFrame, least_functionality: float | None = None) -> DataFrame:
+    """``id, name`` of the properties, by first appearance; those at or below ``least_functionality`` are left out."""
+    names = dictionary(attributes.select(F.col("pred").alias("name"), "pos"))
+    if least_functionality is None:
+        return names
+    kept = functionality(attributes).where(F.col("functionality") > least_functionality).select(F.col("pred").alias("name"))
+    return names.join(kept, "name", "left_semi").select("id", "name")
+
+
+def relation_table(relations: DataFrame) -> DataFrame:
+    """Neighbours by entity and relation: ``subj, pred, direction, key_rank, place, obj, n``, one row for each.
+
+    Out-edges in the order of facts, in-edges (``-inv``) in file order, none left out. In-edges are numbered by
+    range, so that a hub's pass no single task; they stay rows, for a hub's list fits none.
+    """
+    of_key, of_subject = Window.partitionBy("subj", "pred"), Window.partitionBy("subj")
+    out = ordered_facts(relations).withColumns({"_first": F.min("rank").over(of_key), "n": F.count("*").over(of_key), "place": F.row_number().over(of_key.orderBy("rank"))})
+    out = out.withColumns({"key_rank": F.dense_rank().over(of_subject.orderBy("_first")), "direction": F.lit("out")})
+    back = adjacency(relations).where("direction = 'in'")
+    back = dense_ids(back, ["subj", "pred", "pos", "obj"], "_at")
+    keys = back.groupBy("subj", "pred").agg(F.count("*").alias("n"), F.min("_at").alias("_start"), F.min("pos").alias("_first"))
+    keys = written(keys.withColumn("key_rank", F.row_number().over(of_subject.orderBy("_first", "pred"))))
+    back = back.join(keys, ["subj", "pred"]).withColumn("place", (F.col("_at") - F.col("_start") + 1).cast("int"))
+    names = ["subj", "pred", "direction", "key_rank", "place", "obj", "n"]
+    return out.select(*names).unionByName(back.select(*names))
 
 
 def capped_in_edges(relations: DataFrame, neighbours: int = 3) -> DataFrame:

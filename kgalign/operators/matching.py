@@ -32,13 +32,35 @@ def similarity(x, y, metric: str = "inner"):
         unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
         return unit(x) @ unit(y).T
     if metric == "euclidean":
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T)
-        return 1 - np.sqrt(np.maximum(square, 0))
+        both = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
+        square = np.maximum(both - 2 * (x @ y.T), 0)
+        # Where little is left of the sum, it is made of the differences themselves: equal vectors have distance 0.
+        i, j = np.nonzero(square < both / 64)
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            square[a, b] = ((x[a] - y[b]) ** 2).sum(1)
+        return 1 - np.sqrt(square)
     if metric == "manhattan":
         return 1 - np.stack([np.abs(y - row).sum(1) for row in x]) if len(x) else np.zeros((0, len(y)))
     raise ValueError(f"unknown metric {metric}")
 
 
+def pair_similarity(x, y, metric: str = "inner"):
+    """``similarity`` of each row of ``x`` with the same row of ``y``."""
+    import numpy as np
+
+    if metric == "inner":
+        return (x * y).sum(1)
+    if metric == "cosine":
+        unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+        return (unit(x) * unit(y)).sum(1)
+    if metric == "euclidean":
+        return 1 - np.sqrt(((x - y) ** 2).sum(1))
+    if metric == "manhattan":
+        return 1 - np.abs(x - y).sum(1)
+    raise ValueError(f"unknown metric {metric}")
+
+
 def _pack(rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -136,7 +158,10 @@ def with_neighbourhood(source: DataFrame, target: DataFrame, k: int, metric: str
 
 
 def gold_ranks(source: DataFrame, target: DataFrame, gold: DataFrame, metric: str = "inner", block_rows: int = BLOCK_ROWS, csls_k: int = 0) -> DataFrame:
-    """``src, tgt, ground_rank`` of ``gold(src, tgt)``: how many targets come before the gold one, by counting, without a sort."""
+    """``src, tgt, ground_rank`` of ``gold(src, tgt)``: how many targets come before the gold one, by counting, without a sort.
+
+    The gold similarities come from joins of the two vectors; one pass over all pairs counts.
+    """
     import numpy as np
 
     left, right = source, target
@@ -147,15 +172,20 @@ def gold_ranks(source: DataFrame, target: DataFrame, gold: DataFrame, metric: st
     def corrected(sims, a, b):
         return np.round(2 * sims - a["r"][:, None] - b["r"][None, :], PLACES) if csls_k else sims
 
-    def of_gold(sims, a, b):
-        at = {t: i for i, t in enumerate(b["ids"].tolist())}
-        rows = [i for i, g in enumerate(a["gold"].tolist()) if g in at]
-        sims = corrected(sims, a, b)
-        return {"src": a["ids"][rows], "s": [float(sims[i, at[a["gold"][i]]]) for i in rows]}
-
-    sources, targets = packed(aimed, block_rows), packed(right, block_rows)
-    own = blockwise(sources, targets, of_gold, "src long, s double", metric)
-    scored = aimed.join(written(own).select(F.col("src").alias("id"), "s"), "id").select(*aimed.columns, "s")
+    def of_gold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.array(batch.column(k).to_pylist(), dtype=np.float64) for k in (2, 3))
+                s = np.round(pair_similarity(x, y, metric), PLACES)
+                if csls_k:
+                    s = np.round(2 * s - batch.column(4).to_numpy() - batch.column(5).to_numpy(), PLACES)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s)], names=["id", "gold", "s"])
+
+    aims = right.select(F.col("id").alias("gold"), F.col("embedding").alias("aim"), *([F.col("r").alias("aim_r")] if csls_k else []))
+    pairs = aimed.join(aims, "gold").select("id", "gold", "embedding", "aim", *(["r", "aim_r"] if csls_k else []))
+    own = pairs.mapInArrow(of_gold, "id long, gold long, s double")
+    scored = aimed.join(own, ["id", "gold"]).select(*aimed.columns, "s")
+    targets = packed(right, block_rows)
 
     def count(sims, a, b):
         sims, s = corrected(sims, a, b), a["s"][:, None]

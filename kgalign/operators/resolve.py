@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import written
+
 
 def resolve_triples(triples: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``subj, pred, obj`` of id triples ``h, r, t``, and the id triples with an unknown id.
@@ -70,7 +72,8 @@ def cleaned_links(links: DataFrame, mode: str = "reference") -> DataFrame:
         first = links.groupBy("src").agg(F.min(F.struct("pos", "tgt")).alias("x")).select("src", "x.tgt", "x.pos")
         first = first.groupBy("tgt").agg(F.min(F.struct("pos", "src")).alias("x"))
         return first.select("x.src", "tgt", "x.pos")
-    last = links.groupBy("src").agg(F.max("pos").alias("_last"))
+    # A table of its own, so that the joins with a hot head or tail can be split.
+    last = written(links.groupBy("src").agg(F.max("pos").alias("_last")))
     by_head = links.join(last, "src").where("pos < _last").select("src", "tgt")
     by_tail = links.join(last.withColumnRenamed("src", "tgt"), "tgt").where("pos < _last").select("src", "tgt")
     return links.join(by_head.unionByName(by_tail).distinct(), ["src", "tgt"], "left_anti")

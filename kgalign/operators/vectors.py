@@ -42,8 +42,13 @@ def mapped(vectors: DataFrame, matrix, normalize: bool = False) -> DataFrame:
     return vectors.select("id", "embedding").mapInArrow(_mapped(spark.sparkContext.broadcast(matrix), normalize), "id long, embedding array<double>")
 
 
-def gram(vectors: DataFrame):
-    """The d x d sum of outer products as ``row, col, v``, from one partial matrix for each task."""
+def stacked(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Rows of both graphs, texts or vectors, with ``kg``: 1 or 2."""
+    return first.withColumn("kg", F.lit(1)).unionByName(second.withColumn("kg", F.lit(2)))
+
+
+def gram(vectors: DataFrame) -> DataFrame:
+    """The d x d sum of outer products, ``row, vals``: each task makes a partial matrix, whose rows meet as bytes."""
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,42 +59,57 @@ def gram(vectors: DataFrame):
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
             at = np.arange(len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["row", "vals"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([v.tobytes() for v in total], pa.binary())], names=["row", "part"])
+
+    def summed(key: tuple, parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(p) for p in parts.column("part").to_pylist())
+        return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "vals": pa.array([total.tobytes()], pa.binary())})
 
     workers_find_package(vectors.sparkSession)
-    parts = vectors.select("embedding").mapInArrow(run, "row long, vals array<double>")
-    rows = parts.select("row", F.posexplode("vals").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v"))
-    return rows
+    parts = vectors.select("embedding").mapInArrow(run, "row long, part binary")
+    return parts.groupBy("row").applyInArrow(summed, "row long, vals binary")
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``row, vals`` of ``gram`` with their numbers as arrays."""
+    import numpy as np
+
+    for batch in batches:
+        vals = [np.frombuffer(v).tolist() for v in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vals, pa.list_(pa.float64()))], names=["row", "vals"])
 
 
 def reduced(vectors: DataFrame, dims: int) -> DataFrame:
     """The ``dims`` main directions of all vectors (not centred), rows of unit length."""
     import numpy as np
 
-    cells = gram(vectors).collect()  # d x d numbers
-    d = max((r["row"] for r in cells), default=-1) + 1
+    found = gram(vectors).collect()  # d rows of d numbers
+    d = len(found)
     g = np.zeros((d, d))
-    for r in cells:
-        g[r["row"], r["col"]] = r["v"]
+    for r in found:
+        g[r["row"]] = np.frombuffer(r["vals"])
     values, directions = np.linalg.eigh((g + g.T) / 2)
     keep = np.argsort(-values)[: min(dims, d)]
     return mapped(vectors, directions[:, keep], normalize=True)
 
 
 def hashed_encoder(dims: int = 64, seed: int = 0) -> Callable[[list[str]], list]:
-    """A stand-in for a language model: signed hashes of words, summed."""
+    """A stand-in for a language model: the first 32 bits of each word's md5 give a place and a sign, and all are summed."""
 
     def encode(texts: list[str]):
-        import zlib
+        from collections import Counter
+        from hashlib import md5
 
         import numpy as np
 
-        out = np.zeros((len(texts), dims))
+        out, known = np.zeros((len(texts), dims)), {}
         for i, text in enumerate(texts):
-            for word in (text or "").split(" "):
+            for word, n in Counter((text or "").split(" ")).items():
                 if word:
-                    h = zlib.crc32(f"{seed}:{word}".encode())
-                    out[i, h % dims] += 1 if h >> 31 else -1
+                    h = known.get(word)
+                    if h is None:
+                        h = known[word] = int.from_bytes(md5(f"{seed}:{word}".encode()).digest()[:4], "big")
+                    out[i, h % dims] += n if h >> 31 else -n
         return out
 
     return encode

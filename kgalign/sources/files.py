@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import PREFIXES, compress_uri, quote
+from ..functions.text import PREFIXES, compress_uri, quote, stripped
 
-N_TRIPLE = r"\A(\S+)\s+(\S+)\s+(.+?)\s*\.?\s*\z"
+#: The object is more than the final dot.
+N_TRIPLE = r"\A(\S+)\s+(\S+)\s+(?!\s*\.\s*\z)(.+?)\s*\.?\s*\z"
 CANDIDATE = T.StructType([
     T.StructField("ref", T.LongType()), T.StructField("ground_rank", T.IntegerType()), T.StructField("candidates", T.ArrayType(T.LongType())),
     T.StructField("cand_sims", T.ArrayType(T.DoubleType())), T.StructField("difficulty", T.DoubleType()),
@@ -48,7 +49,7 @@ def _fields(lines: DataFrame) -> DataFrame:
 
 
 def parse_relation_lines(lines: DataFrame, prefixes: tuple[str, ...] = PREFIXES) -> tuple[DataFrame, DataFrame]:
-    rows = _fields(lines.withColumn("value", F.trim("value")))
+    rows = lines.withColumn("f", F.split(stripped(F.col("value")), "\t"))
     rows = rows.select("*", *[compress_uri(F.get("f", F.lit(i)), prefixes).alias(n) for i, n in enumerate(("subj", "pred", "obj"))])
     return _fit(rows, F.size("f") >= 3, ["subj", "pred", "obj"])
 
@@ -64,14 +65,14 @@ def parse_attribute_lines(lines: DataFrame, prefixes: tuple[str, ...] = PREFIXES
 
 
 def parse_link_lines(lines: DataFrame, prefixes: tuple[str, ...] = PREFIXES) -> tuple[DataFrame, DataFrame]:
-    rows = _fields(lines.withColumn("value", F.trim("value")))
+    rows = lines.withColumn("f", F.split(stripped(F.col("value")), "\t"))
     rows = rows.select("*", *[compress_uri(F.get("f", F.lit(i)), prefixes).alias(n) for i, n in enumerate(("src", "tgt"))])
     return _fit(rows, F.size("f") >= 2, ["src", "tgt"])
 
 
 def parse_name_lines(lines: DataFrame, prefixes: tuple[str, ...] | None = PREFIXES) -> tuple[DataFrame, DataFrame]:
     """``id, name``: the first and last column; names as they are with ``prefixes=None``."""
-    rows = _fields(lines.withColumn("value", F.trim("value")))
+    rows = lines.withColumn("f", F.split(stripped(F.col("value")), "\t"))
     last = F.element_at("f", -1)
     rows = rows.select("*", F.expr("try_cast(f[0] as bigint)").alias("id"), (compress_uri(last, prefixes) if prefixes is not None else last).alias("name"))
     return _fit(rows, F.col("id").isNotNull() & (F.size("f") >= 2), ["id", "name"])
@@ -85,17 +86,26 @@ def parse_id_triples(lines: DataFrame, order: str = "hrt") -> tuple[DataFrame, D
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated, no quoting: double quotes in a text survive."""
-    df.write.option("sep", "\t").option("quote", "").option("escape", "\\").csv(path)
+    """Tab-separated, no quoting: double quotes in a text survive. Null and empty are both an empty field, which is read as null."""
+    df.write.option("sep", "\t").option("quote", "").option("escape", "\\").option("emptyValue", "").csv(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("escape", "\\").csv(path)
 
 
-def write_dictionary(names: DataFrame, path: str) -> None:
-    """``name, id`` as ``id <tab> name``."""
-    write_tsv(names.select("id", "name"), path)
+def write_dictionary(names: DataFrame, path: str, name_first: bool = False) -> None:
+    """``id, name`` as ``id <tab> name``, or the other way round."""
+    write_tsv(names.select("name", "id") if name_first else names.select("id", "name"), path)
+
+
+def read_dictionary(spark: SparkSession, path: str, name_first: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``id, name`` as they are, of ``id <tab> name`` lines or of ``name <tab> id`` lines, and the lines that are neither."""
+    rows = read_lines(spark, path).withColumn("f", F.split(F.regexp_replace("value", r"[\r\n]+\z", ""), "\t"))
+    number, name = F.get("f", F.lit(1 if name_first else 0)), F.get("f", F.lit(0 if name_first else 1))
+    rows = rows.select("*", number.try_cast("long").alias("id"), name.alias("name"))
+    good, bad = _fit(rows, F.col("id").isNotNull() & (F.size("f") == 2), ["id", "name"])
+    return good.drop("pos"), bad
 
 
 def write_rows(df: DataFrame, path: str) -> None:
@@ -108,13 +118,13 @@ def read_rows(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
-    """Candidate records as JSON lines, easiest first."""
+    """Candidate records as JSON lines, least difficulty first."""
     candidates.orderBy("difficulty").write.json(path)
 
 
-def read_json_map(spark: SparkSession, path: str, value: T.DataType = CANDIDATE) -> DataFrame:
-    """One JSON object keyed by name or id: rows ``key, value``."""
-    whole = spark.read.text(path, wholetext=True)
+def read_json_map(spark: SparkSession, path: str, value: T.DataType = CANDIDATE, whole: bool = True) -> DataFrame:
+    """JSON objects keyed by name or id, each a whole file, which must fit a row, or with ``whole=False`` a line: rows ``key, value``."""
+    whole = spark.read.text(path, wholetext=whole)
     return whole.select(F.explode(F.from_json("value", T.MapType(T.StringType(), value))))
 
 

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kgalign import storage
 from kgalign.operators import enrich, graph, matching, resolve, splits, texts, tokens, vectors
 
 
@@ -46,6 +47,55 @@ def test_relation_text(spark):
     assert got == {"a": f'"a{opening}its r is b. ', "b": f'"b{opening}a and c and d\'s r are "b". ', "z": "z."}
 
 
+def test_relation_table_leaves_nothing_out(spark):
+    t = spark.createDataFrame([(x, "r", "hub", i) for i, x in enumerate("dcba")] + [("a", "q", "z", 9)], "subj string, pred string, obj string, pos long")
+    got = {(r.subj, r.pred, r.direction, r.key_rank, r.place): (r.obj, r.n) for r in graph.relation_table(t).collect()}
+    want = {("hub", "r-inv", "in", 1, i + 1): (x, 4) for i, x in enumerate("dcba")} | {("z", "q-inv", "in", 1, 1): ("a", 1)}
+    want |= {(x, "r", "out", 1, 1): ("hub", 1) for x in "dcba"} | {("a", "q", "out", 2, 1): ("z", 1)}
+    assert got == want
+
+
+def test_property_table_of_all_entities(spark):
+    t = spark.createDataFrame([("a", "p", '"1"', 0), ("a", "p", '"2"', 1), ("a", "q", '"3"', 2)], "subj string, pred string, obj string, pos long")
+    ents = spark.createDataFrame([(0, "a"), (1, "alone")], "id long, name string")
+    got = [tuple(r) for r in graph.property_table(t, entities=ents).orderBy("ent_id", "key_rank").collect()]
+    assert got == [(0, "a", "q", 1, ["3"], 1), (0, "a", "p", 2, ["1", "2"], 2), (1, "alone", None, None, None, None)]
+    assert [tuple(r) for r in graph.property_header(t).orderBy("id").collect()] == [(0, "p"), (1, "q")]
+    assert [tuple(r) for r in graph.property_header(t, 0.9).collect()] == [(1, "q")]
+
+
+def test_neighbours_with_attributes_first(spark):
+    rel = [("e", f"r{i}", f"n{i}", i) for i in range(5)] + [("x", "back", "e", 9)]
+    rel = spark.createDataFrame(rel, "subj string, pred string, obj string, pos long")
+    attr = spark.createDataFrame([("n4", "p", '"it\'s"', 0), ("x", "p", '"w"', 1)], "subj string, pred string, obj string, pos long")
+    ents = spark.createDataFrame([("e",)], "name string")
+    text = lambda **o: texts.attribute_relation_text(ents, attr, rel, **o).first().content
+    assert text() == "Entity [e]\\nRelations: \\n-> r0 -> n0\\n-> r1 -> n1\\n-> r2 -> n2\\n-> r3 -> n3\\n"
+    assert text(prefer_attributed=True) == "Entity [e]\\nRelations: \\n-> r4 -> n4 ({'p': \"it's\"})\\n<- back <- x ({'p': 'w'})\\n-> r0 -> n0\\n-> r1 -> n1\\n"
+
+
+def _scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_texts_read_their_triples_a_few_times(spark):
+    t = spark.createDataFrame([("a", "r", "b", 0)], "subj string, pred string, obj string, pos long")
+    ents = storage.written(t.select(F.col("subj").alias("name")))
+    assert _scans(texts.relation_text(ents, t)) <= 12 and _scans(texts.attribute_relation_text(ents, t, t)) <= 20
+
+
+def test_what_steps_leave_can_be_removed(spark):
+    import os
+
+    root = f"{storage.shared_folder(spark)}/kgalign/{spark.sparkContext.applicationId}"
+    kept = storage.written(spark.range(3))
+    with storage.temporary(spark):
+        gone = storage.written(spark.range(5))
+        before = set(os.listdir(root))
+        assert gone.count() == 5
+    assert len(before - set(os.listdir(root))) == 1 and kept.count() == 3
+
+
 def test_links(spark):
     rows = [("a", "x"), ("a", "y"), ("b", "x"), ("c", "z"), ("c", "z"), ("d", "b"), ("b", "w")]
     links = spark.createDataFrame([(s, t, i) for i, (s, t) in enumerate(rows)], "src string, tgt string, pos long")
@@ -95,6 +145,24 @@ def test_matching_against_numpy(spark, metric, csls):
         assert ranks == {i: int(((s[i] > s[i, i]) | ((s[i] == s[i, i]) & (np.arange(11) < i))).sum()) for i in range(11)}
 
 
+def test_equal_vectors_have_euclidean_similarity_one_in_any_block(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = np.concatenate((x, x[::-1], x + 1e-7))
+    whole = matching.similarity(x, y, "euclidean")
+    assert (whole[np.arange(40), np.arange(40)] == 1).all() and (whole[np.arange(40), 79 - np.arange(40)] == 1).all()
+    exact = 1 - np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
+    assert np.abs(whole - exact).max() < 1e-14
+    for n in (1, 7):
+        parts = np.concatenate([matching.similarity(x[i : i + n], y, "euclidean") for i in range(0, 40, n)])
+        assert (np.round(parts, 12) == np.round(whole, 12)).mean() > 0.999 and (parts[whole > 0.9] == whole[whole > 0.9]).all()
+    got = matching.top_candidates(_vectors(spark, x, 0), _vectors(spark, y[:80], 100), 2, "euclidean", 7).collect()
+    assert {(r.src, r.place): (r.tgt, r.sim) for r in got} == {(i, p): (t, 1.0) for i in range(40) for p, t in ((1, 100 + i), (2, 179 - i))}
+    for metric in ("inner", "cosine", "euclidean", "manhattan"):
+        assert np.allclose(matching.pair_similarity(x, y[:40], metric), np.diag(matching.similarity(x, y[:40], metric)), atol=1e-14)
+
+
 def test_metrics_and_lists(spark):
     ranks = spark.createDataFrame([(0,), (4,), (9,), (20,)], "ground_rank long")
     m = matching.ranking_metrics(ranks).first()
@@ -112,6 +180,10 @@ def test_vectors(spark):
     x[5] = 0
     got = {r.id: np.array(r.embedding) for r in vectors.reduced(_vectors(spark, x, 0), 4).collect()}
     z = np.stack([got[i] for i in range(20)])
+    parts = {r.row: np.frombuffer(r.vals) for r in vectors.gram(_vectors(spark, x, 0)).collect()}
+    assert np.allclose(np.stack([parts[i] for i in range(6)]), x.T @ x)
+    both = vectors.stacked(_vectors(spark, x[:2], 0), _vectors(spark, x[:3], 0))
+    assert {r.kg: r["count"] for r in both.groupBy("kg").count().collect()} == {1: 2, 2: 3}
     _, d = np.linalg.eigh(x.T @ x)
     w = x @ d[:, ::-1][:, :4]
     w = w / np.where((n := np.linalg.norm(w, axis=1, keepdims=True)) > 1e-9, n, 1)
@@ -135,6 +207,8 @@ def test_enrichment(spark):
     good, bad = enrich.with_fallback(t, _fails_on_x, lambda q: "second", kind="simple")
     assert {r.id: r.content for r in good.collect()} == {1: "second", 2: "fine"} and bad.count() == 0
     assert [r.id for r in enrich.still_to_do(t, good.where("id = 1")).collect()] == [2]
+    rows = enrich.summarized(t.select("id", "content"), lambda q: q.upper() if q.endswith("y") else _fails_on_x("Details:x"), template="Say: ", tries=2)
+    assert {r.id: (r.content, r.summary, r.status) for r in rows.collect()} == {1: ("x", None, "error"), 2: ("y", "SAY: Y", "ok")}
     assert [r.value for r in enrich.each_line(t.selectExpr("id as pos", "name as value"), str.upper).orderBy("pos").collect()] == ["A", "B"]
 
 

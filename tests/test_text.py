@@ -44,15 +44,56 @@ def test_python_quoted(spark, value, want):
 
 
 def test_rejects(spark):
-    lines = spark.createDataFrame([("# c", 0), ("<a> <b> .", 1), ("<a> <b> <c>", 2), ("a b", 3)], "value string, pos long")
+    lines = spark.createDataFrame([("# c", 0), ("<a> <b> .", 1), ("<a> <b> <c>", 2), ("a b", 3), ("<a> <b>  . ", 4), ("<a> <b>\t<c> .", 5), ("", 6), ('<a> <b> "x . y"@en .', 7)], "value string, pos long")
     good, bad = files.parse_n_triples(lines)
-    assert {r.pos for r in good.collect()} >= {2} and {r.pos for r in bad.collect()} == {3}
-    good, bad = files.parse_relation_lines(spark.createDataFrame([("a\tb\tc", 0), ("a\tb", 1)], "value string, pos long"))
-    assert good.count() == 1 and bad.first().value == "a\tb"
+    assert {r.pos: r.obj for r in good.collect()} == {2: "<c>", 5: "<c>", 7: '"x . y"@en'} and {r.pos for r in bad.collect()} == {1, 3, 4, 6}
+    lines = [("a\tb\tc", 0), ("a\tb", 1), ("a\tb\t", 2), (" \ta\tb\tc\t \r", 3), ("", 4), (None, 5)]
+    good, bad = files.parse_relation_lines(spark.createDataFrame(lines, "value string, pos long"))
+    assert [(r.subj, r.pred, r.obj) for r in good.orderBy("pos").collect()] == [("a", "b", "c")] * 2
+    assert {r.pos: r.value for r in bad.collect()} == {1: "a\tb", 2: "a\tb\t", 4: "", 5: None}
+    good, bad = files.parse_link_lines(spark.createDataFrame([("a\tb\t\n", 0), ("a\t", 1)], "value string, pos long"))
+    assert [(r.src, r.tgt) for r in good.collect()] == [("a", "b")] and [r.pos for r in bad.collect()] == [1]
     good, bad = files.parse_name_lines(spark.createDataFrame([("7\tx\ty", 0), ("q\ty", 1)], "value string, pos long"))
     assert good.first()[:2] == (7, "y") and bad.count() == 1
 
 
+@pytest.mark.parametrize("value, want", [("\tans\t", "ans"), (" a\tb\r\n", "a b"), ("\n", ""), (None, None)])
+def test_clean_answer(spark, value, want):
+    assert _one(spark, value, X.clean_answer) == want
+
+
+def test_dictionaries_both_ways(spark, tmp_path):
+    names = spark.createDataFrame([(0, "http://a/b_c"), (1, 'say "x"'), (2, "")], "id long, name string")
+    for name_first in (False, True):
+        path = str(tmp_path / str(name_first))
+        files.write_dictionary(names.coalesce(1), path, name_first)
+        assert {r.id: r.name for r in files.read_dictionary(spark, path, name_first)[0].collect()} == {0: "http://a/b_c", 1: 'say "x"', 2: ""}
+    good, bad = files.read_dictionary(spark, str(tmp_path / "True"))
+    assert good.count() == 0 and bad.count() == 3
+
+
+def test_folders_and_id_triples(spark, tmp_path):
+    """Small files like the shipped ones, for machines without them."""
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x").write_text("3\t0\t4\n5\tq\t6\n", encoding="utf-8")
+    (tmp_path / "a").write_text("1\t0\t2\n", encoding="utf-8")
+    good, bad = files.parse_id_triples(files.read_lines(spark, str(tmp_path)), "htr")
+    assert [(r.h, r.t, r.r) for r in good.orderBy("pos").collect()] == [(1, 0, 2), (3, 0, 4)] and [r.value for r in bad.collect()] == ["5\tq\t6"]
+    ents = files.parse_name_lines(spark.createDataFrame([("1\thttp://dbpedia.org/resource/A_b", 0), ("3\tx", 1), ("2\ty", 2)], "value string, pos long"))[0].drop("pos")
+    rels = spark.createDataFrame([(0, "r")], "id long, name string")
+    known, unknown = resolve.resolve_triples(files.parse_id_triples(files.read_lines(spark, str(tmp_path)))[0], ents, rels)
+    assert [(r.subj, r.pred, r.obj) for r in known.collect()] == [("A b", "r", "y")] and [(r.h, r.t) for r in unknown.collect()] == [(3, 4)]
+
+
+def test_rows_and_candidates(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0, [1, 2], [0.5, 0.25], 3.0), (2, 4, [], [], 1.0)], files.CANDIDATE)
+    files.write_candidates(rows.repartition(2), str(tmp_path / "c"))
+    assert sorted(map(tuple, files.read_rows(spark, str(tmp_path / "c"), files.CANDIDATE).collect())) == sorted(map(tuple, rows.collect()))
+    parts = sorted(p for p in os.listdir(tmp_path / "c") if p.startswith("part") and os.path.getsize(tmp_path / "c" / p))
+    lines = [line for p in parts for line in (tmp_path / "c" / p).read_text().splitlines()]
+    assert [1.0, 3.0] == [float(x.split('"difficulty":')[1].rstrip("}")) for x in lines]
+
+
 def test_files_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([(1, 'say "x"', "a\\b")], "id long, name string, content string")
     files.write_tsv(rows, str(tmp_path / "t"))
