@@ -59,6 +59,7 @@ class WordIds(dict):
         self.model = self.tokenizer.model
         letters = byte_letters()
         self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
+        self.space, self.line = self.bytes[ord(" ")], self.bytes[ord("\n")]
         self.lower = rules == _WORD_ENDS
         self.safe = re.compile(f"[{_SAFE}]*" if rules in (_BYTE_LEVEL, _WORD_ENDS) else "").fullmatch
         if self.lower:  # white space is dropped; single digits
@@ -76,7 +77,8 @@ class WordIds(dict):
                 self.old_short, self.short = self.short, {}
             ids = self.old_short.get(piece)
             if ids is None:
-                ids = array("I", [t.id for t in self.model.tokenize(piece.translate(self.bytes))]).tobytes()
+                letters = piece.replace(" ", self.space).replace("\n", self.line) if piece.isascii() else piece.translate(self.bytes)
+                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             self.short[piece] = ids
         return ids
 
@@ -86,7 +88,9 @@ class WordIds(dict):
             self.old = dict(self)
             self.clear()
         ids = self.old.get(word)
-        if ids is None:
+        if ids is None and word.isalpha():  # letters alone are one piece
+            ids = self._piece(word if self.lower else " " + word)
+        elif ids is None:
             ids = b"".join(map(self._piece, self.pieces(word if self.lower or word[:1] == "\n" else " " + word)))
         self[word] = ids
         return ids
