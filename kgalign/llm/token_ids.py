@@ -31,7 +31,7 @@ _WORD_ENDS = {
     ]},
 }
 #: Entries of a worker's store; when it is full, it becomes the old one, of which what is met again is kept.
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -70,16 +70,21 @@ class WordIds(dict):
         self.old: dict[str, bytes] = {}
         self.old_short: dict[str, bytes] = {}
 
+    def _merged(self, piece: str) -> bytes:
+        letters = piece.replace(" ", self.space).replace("\n", self.line) if piece.isascii() else piece.translate(self.bytes)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
         ids = self.short.get(piece)
         if ids is None:
-            if len(self.short) >= MAX_WORDS:
+            # Letters that are known as a word stand in the larger store alone.
+            word = piece if self.lower else piece[1:] if piece[0] == " " else ""
+            if word.isalpha() and (ids := self.get(word)) is not None:
+                return ids
+            if len(self.short) >= MAX_WORDS // 2:
                 self.old_short, self.short = self.short, {}
             ids = self.old_short.get(piece)
-            if ids is None:
-                letters = piece.replace(" ", self.space).replace("\n", self.line) if piece.isascii() else piece.translate(self.bytes)
-                ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            self.short[piece] = ids
+            self.short[piece] = ids = self._merged(piece) if ids is None else ids
         return ids
 
     def __missing__(self, word: str) -> bytes:
@@ -89,7 +94,7 @@ class WordIds(dict):
             self.clear()
         ids = self.old.get(word)
         if ids is None and word.isalpha():  # letters alone are one piece
-            ids = self._piece(word if self.lower else " " + word)
+            ids = self._merged(word if self.lower else " " + word)
         elif ids is None:
             ids = b"".join(map(self._piece, self.pieces(word if self.lower or word[:1] == "\n" else " " + word)))
         self[word] = ids
