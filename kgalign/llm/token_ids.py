@@ -95,6 +95,8 @@ class WordIds(dict):
         ids = self.old.get(word)
         if ids is None and word.isalpha():  # letters alone are one piece
             ids = self._merged(word if self.lower else " " + word)
+        elif ids is None and word[-1:] in ".,;:!?" and word[:-1].isalpha():  # and a mark after them is another
+            ids = self[word[:-1]] + self._piece(word[-1])
         elif ids is None:
             ids = b"".join(map(self._piece, self.pieces(word if self.lower or word[:1] == "\n" else " " + word)))
         self[word] = ids
