@@ -162,8 +162,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     for r in known:
         freq[r["id"]] = r["freq"]
     parts = blocks.groupBy("part").agg(F.sum("tokens").alias("n"))
-    # One row for each part of the file.
+    # One row for each part of the file, so as many as there were tasks that wrote: small beside the decoded rows, which need not be dealt.
     parts = parts.selectExpr("part", "coalesce(sum(n) over (order by part rows between unbounded preceding and 1 preceding), 0) as before")
     read = _read_blocks(spark.sparkContext.broadcast(freq))
     rows = blocks.select("part", "block").mapInArrow(read, "part int, doc_id long, begin long, n_tokens long, ids_crc32 long")
-    return rows.join(parts, "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", "ids_crc32")
