@@ -341,6 +341,10 @@ def test_unknown_vocabularies_go_to_the_library(spark, tmp_path):
     wide = np.array([0, 99_999, 70_000, 0], dtype=np.uint32)
     model = rans.Model.of_counts(np.bincount(wide, minlength=400_000))
     assert model.bits == 20 and (rans.decode_block(model, rans.encode_block(model, wide, [(1, 4)]))[1] == wide).all()
+    # States that floating-point numbers don't hold.
+    widest = np.arange(0, 1 << 21, 700, dtype=np.uint32)
+    model = rans.Model.of_counts(np.bincount(widest, minlength=1 << 21))
+    assert model.bits == 23 and (rans.decode_block(model, rans.encode_block(model, widest, [(1, len(widest))]))[1] == widest).all()
 
 
 def test_packing(spark, docs, odd, none):
