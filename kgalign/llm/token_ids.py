@@ -30,8 +30,10 @@ _WORD_ENDS = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ]},
 }
-#: Entries of a worker's store; when it is full, it becomes the old one, of which what is met again is kept.
-MAX_WORDS = 600_000
+#: A run of these after letters is one piece.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Entries of a worker's store, each of about 230 bytes; when it is full, it becomes the old one, of which what is met again is kept.
+MAX_WORDS = 800_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -95,8 +97,8 @@ class WordIds(dict):
         ids = self.old.get(word)
         if ids is None and word.isalpha():  # letters alone are one piece
             ids = self._merged(word if self.lower else " " + word)
-        elif ids is None and word[-1:] in ".,;:!?" and word[:-1].isalpha():  # and a mark after them is another
-            ids = self[word[:-1]] + self._piece(word[-1])
+        elif ids is None and (letters := word.rstrip(_MARKS)).isalpha():  # and the marks after them are another
+            ids = self[letters] + self._piece(word[len(letters) :])
         elif ids is None:
             ids = b"".join(map(self._piece, self.pieces(word if self.lower or word[:1] == "\n" else " " + word)))
         self[word] = ids
