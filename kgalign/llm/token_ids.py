@@ -32,7 +32,7 @@ _WORD_ENDS = {
 }
 #: A run of these after letters is one piece.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries of a worker's store, each of about 230 bytes; when it is full, it becomes the old one, of which what is met again is kept.
+#: Entries of a worker's store, each of about 140 bytes; when it is full, it becomes the old one, of which what is met again is kept.
 MAX_WORDS = 800_000
 
 
