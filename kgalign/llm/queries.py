@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import chat_digest, format_conversations
+from .clusters import centroid_clusters
 from .common import Scratch, table
 from .embeddings import near_vectors
+from .filter_audit import audit_filters
 from .line_dedup import dedup_lines
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
@@ -77,6 +79,14 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digest(examples)
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(spark, table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # beside the package; it imports this module
 
@@ -95,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
         "op9_packing": op9_packing,
         "op10_chat_formatting": op10_chat_formatting,
+        "op11_centroid_clusters": op11_centroid_clusters,
+        "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }
 

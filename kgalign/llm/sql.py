@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from . import quality as Q
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -67,6 +69,44 @@ coalesce(n_repeat_words, 0) AS n_repeat_words, lost, len(ws) < {Q.MIN_WORDS} OR
 FROM d JOIN x USING (doc_id) LEFT JOIN r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * lost <= {Q.MAX_LOST_PERCENT} * n_words AS kept FROM b"""
 
+def _clusters(k: int, rounds: int, dims: int) -> str:
+    """Rounds are unrolled. ``v`` has a row for each component of each vector, ``c<r>`` one for each of each centroid after round ``r``."""
+    nearest = "SELECT {id}, cluster, distance FROM (SELECT vec_id, cluster, CAST(sum((x - c) * (x - c)) AS BIGINT) AS distance FROM v JOIN {c} USING (num) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, cluster) = 1"
+    out = f"""WITH kept AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(64 * x) AS BIGINT)) AS q FROM embeddings
+WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+v AS (SELECT vec_id, unnest(q) AS x, unnest(range({dims})) AS num FROM kept),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS cluster FROM kept QUALIFY cluster < {k}),
+c0 AS (SELECT cluster, num, x AS c FROM first JOIN v USING (vec_id))"""
+    for r in range(rounds):
+        out += f""",
+a{r} AS ({nearest.format(id='vec_id', c=f'c{r}')}),
+s{r} AS (SELECT cluster, num, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM v JOIN a{r} USING (vec_id) GROUP BY ALL),
+c{r + 1} AS (SELECT c{r}.cluster, c{r}.num, CASE WHEN n IS NULL THEN c ELSE (s - (s % n + n) % n) // n END AS c FROM c{r} LEFT JOIN s{r} ON c{r}.cluster = s{r}.cluster AND c{r}.num = s{r}.num)"""
+    return out + f""",
+a AS ({nearest.format(id='vec_id', c=f'c{rounds}')}),
+h AS (SELECT cluster, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY num)) AS centroid_sha256 FROM c{rounds} GROUP BY cluster)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a JOIN h USING (cluster)"""
+
+
+CLUSTERS = _clusters(16, 3, 64)
+
+#: Orders as rows, one for each of their steps: the letter there, and the letters before it.
+_STEPS = ", ".join(f"('{''.join(o)}', {i + 1}, '{o[i]}', '{''.join(o[:i])}')" for o in permutations("ABCDE") for i in range(5))
+_SET = ", ".join(f"CASE WHEN fails_{c} THEN '{c}' ELSE '' END" for c in "ABCDE")
+FILTER_AUDIT = f"""WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+f AS (SELECT doc_id, part, len(ws) < 50 AS fails_A, 100 * len(list_distinct(ws)) < 65 * len(ws) AS fails_B, 100 * (length(text) - length(translate(text, '{_UPPER}', ''))) > 5 * length(text) AS fails_C,
+regexp_matches(text, '[#$%&*|]') AS fails_D, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS fails_E FROM d),
+m AS (SELECT part, concat({_SET}) AS fails, coalesce(good, false) AS good, coalesce(bad, false) AS bad FROM f LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id) USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (bad) AS t FROM m GROUP BY ALL),
+s(filter_order, step, letter, before) AS (VALUES {_STEPS}),
+r AS (SELECT filter_order, step, letter, c.*, contains(fails, letter) AS fail, length(translate(fails, before, '')) < length(fails) AS gone FROM s, c),
+e AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter, sum(n) FILTER (NOT fail AND NOT gone) AS kept, sum(n) FILTER (fail AND NOT gone) AS removed, sum(n) FILTER (fail AND gone) AS redundant,
+sum(n) FILTER (fails = letter) AS unique_fails, sum(g) FILTER (fail AND NOT gone) AS good_lost, sum(t) FILTER (fail AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))},
+CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM e"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY, "op8_embedding_near_dedup": NEAR_VECTORS, "op10_chat_formatting": CHAT,
+    "op11_centroid_clusters": CLUSTERS, "op13_filter_audit": FILTER_AUDIT,
 }
