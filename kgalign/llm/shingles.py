@@ -123,3 +123,27 @@ def shingle_sets(texts: list[str | None]) -> Iterator[np.ndarray]:
             size += len(data) + 1
         if chunk:
             yield from _chunk_sets(chunk)
+
+
+def word_keys(texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of each text's words, A-Z lower-cased, in order."""
+    chunk, size = [], 0
+
+    def hashed():
+        words, starts = _word_hashes(np.frombuffer(b"\n".join(chunk).lower() + b"\n", dtype=np.uint8))
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(t) + 1 for t in chunk)])).tolist()
+        return [words[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+
+    with np.errstate(over="ignore"):
+        for text in texts:
+            data = (text or "").encode()
+            if chunk and size + len(data) + 1 > CHUNK_BYTES:
+                yield from hashed()
+                chunk, size = [], 0
+            if len(data) >= CHUNK_BYTES:
+                yield _long_text_words(data.lower())
+                continue
+            chunk.append(data)
+            size += len(data) + 1
+        if chunk:
+            yield from hashed()
