@@ -7,12 +7,17 @@ vectors at homes A and B, the distances of the one beyond B's plane and of the o
 beyond A's sum up to no more than the length of their difference along the planes'
 normal; so one of the two is within half of it, and guests within half the chord
 ``sqrt(2 - 2 * threshold)`` find every pair: that is ``exact``. By default guests are
-those within ``SPREAD`` standard deviations of that half, for a difference that
-points anywhere: chord / 2 * SPREAD / sqrt(dimensions). A pair at the threshold is
-then missed with probability 6e-7, and cells have few guests however many they are.
+those within ``SPREAD`` standard deviations of that half, as far as it is less. How far a difference of
+that length reaches along the normal of two centroids is taken from the data: the largest of its shares when
+differences are spread as those within cells, as those of all rows of the sample, or alike in
+all directions. So vectors of low rank, whose differences have few directions, are shown as in
+``exact``. A pair at the threshold is missed where its difference lies more than ``SPREAD``
+deviations along the normal; differences of quite another kind than these three (all along one
+direction that the data hardly use) need ``exact``.
 
 Where one level of centroids would be too many to broadcast, there are two: coarse
-cells, then cells within each, trained and assigned where their rows are. Cells are
+cells, then cells within each, trained and assigned where their rows are. The ``MAX_LENGTHS`` most frequent
+lengths of vectors have broadcast centroids; those of any other length are one coarse cell. Cells are
 cut in blocks; a block product yields counts of links and, instead of pairs, a
 spanning set of links of its connected vectors, so that the output grows with the
 vectors. A pair that meets in several cells counts in the least of them.
@@ -24,8 +29,9 @@ are vectors of their own; a null vec_id links as any other but is never a compon
 name or kept, and a group of nulls alone has a null component; an empty table gives
 an empty result; other columns are ignored.
 
-Documented bounds: SAMPLE rows of a length train its cells; MAX_CELLS centroids are
-broadcast, and are the most cells of a coarse cell.
+Documented bounds: SAMPLE rows of a length, or of a coarse cell, train its cells; MAX_CELLS centroids of a length, and MAX_NUMBERS
+numbers in all of them, are broadcast (three times: as they are and in two scales); MAX_CELLS are also the most cells of a
+coarse cell. Spreads are taken from d x d sums of MAX_SPREAD numbers in all; lengths beyond that are shown as in ``exact``.
 """
 
 from __future__ import annotations
@@ -42,6 +48,11 @@ from .common import Scratch, components
 THRESHOLD = 0.98
 CELL_ROWS = 2048
 MAX_CELLS = 4096
+MAX_LENGTHS = 64
+#: Numbers in all broadcast centroids, and in the sums of products that tell how differences are spread.
+MAX_NUMBERS, MAX_SPREAD = 1 << 21, 1 << 22
+#: Bytes of vectors that a worker holds as a matrix.
+PART_BYTES = 1 << 25
 SAMPLE = 100_000
 ROUNDS = 5
 BLOCK_ROWS = 2048
@@ -86,63 +97,127 @@ def _moved(centroids, total):
     return np.where(norm > 0, total / np.where(norm > 0, norm, 1), centroids)
 
 
+def _nearest(x, c):
+    """The nearest centroid of each row, a few rows at a time."""
+    import numpy as np
+
+    rows = max(1, (1 << 21) // len(c))
+    return np.concatenate([(x[i : i + rows] @ c.T).argmax(axis=1) for i in range(0, len(x), rows)]) if len(x) else np.zeros(0, dtype=np.int64)
+
+
+def _cell_sums(x, c):
+    """The sum of the rows at each centroid, and their number."""
+    import numpy as np
+
+    at, total = _nearest(x, c), np.zeros_like(c)
+    np.add.at(total, at, x)
+    return total, np.bincount(at, minlength=len(c))
+
+
+def scaled_centroids(c, products, totals, counts) -> list:
+    """Centroids in scales in which the square of two ones' distance is the share of a difference's square along their normal, times their distance's.
+
+    One scale is that of differences as between rows of a cell, one of those as between any rows.
+    ``products`` is the sum of the rows' outer products, ``totals`` and ``counts`` are their sums and numbers by cell.
+    """
+    import numpy as np
+
+    n, out = max(1, counts.sum()), []
+    mean = totals.sum(axis=0) / n
+    some = totals / np.sqrt(np.maximum(counts, 1))[:, None]
+    for scatter in ((products - some.T @ some) / n, products / n - np.outer(mean, mean)):
+        values, directions = np.linalg.eigh((scatter + scatter.T) / 2)
+        values = np.maximum(values, 0)
+        whole = values.sum()
+        out.append(c @ (directions * np.sqrt(values / whole)) if whole > 1e-12 else c)
+    return out
+
+
 def train_cells(scratch: Scratch, classes: DataFrame, cells: dict[int, int], sample: int = SAMPLE, rounds: int = ROUNDS) -> dict:
-    """Unit centroids of each length, ``cells[dim]`` at most, from a bounded sample of ``classes(dim, key, unit)``."""
+    """Of each length of ``cells`` its unit centroids, ``cells[dim]`` at most, from a bounded sample of ``classes(dim, key, unit)``.
+
+    ``dim -> [centroids, then these in two scales]``; a length too large for its spread has the centroids alone.
+    """
     import numpy as np
 
-    sizes = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}  # one row for each length of vectors
+    listed = classes.where(F.col("dim").isin(list(cells)))
+    sizes = {r["dim"]: r["count"] for r in listed.groupBy("dim").count().collect()}  # one row for each length listed
     every = F.coalesce(*[F.when(F.col("dim") == d, -(-n // sample)) for d, n in sizes.items()], F.lit(1))
-    drawn = classes.where(F.pmod(F.xxhash64("key"), every) == 0).select("dim", F.xxhash64("key", F.lit(3)).alias("h"), "unit")
+    drawn = listed.where(F.pmod(F.xxhash64("key"), every) == 0).select("dim", F.xxhash64("key", F.lit(3)).alias("h"), "unit")
     drawn = scratch.save(drawn, "sample")
     centroids = {}
     for dim in sizes:
         first = drawn.where(F.col("dim") == dim).orderBy("h", "unit").limit(cells[dim]).collect()
         centroids[dim] = np.array([np.frombuffer(r["unit"]) for r in first]).reshape(-1, dim)
-    for _ in range(rounds):
-        now = scratch.spark.sparkContext.broadcast(centroids)
+    spread, room = set(), MAX_SPREAD
+    for dim in sorted(sizes, key=lambda d: -sizes[d]):
+        if dim * dim <= room:
+            spread.add(dim)
+            room -= dim * dim
+    out = {}
+    for last in [False] * rounds + [True]:
+        now = scratch.spark.sparkContext.broadcast((centroids, spread if last else set()))
 
         def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            total = {dim: np.zeros_like(c) for dim, c in now.value.items()}
+            held, of_spread = now.value
+            found = {dim: [np.zeros_like(c), np.zeros(len(c), dtype=np.int64)] for dim, c in held.items()}
+            products = {dim: np.zeros((dim, dim)) for dim in of_spread}
             for batch in batches:
                 dims = batch.column(0).to_numpy()
                 for dim in np.unique(dims).tolist():
                     x = _matrix(batch.column(1).take(pa.array(np.flatnonzero(dims == dim))), dim)
-                    np.add.at(total[dim], (x @ now.value[dim].T).argmax(axis=1), x)
-            for dim, t in total.items():
-                at = np.flatnonzero(np.abs(t).sum(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([dim] * len(at), pa.int32()), pa.array(at), pa.array([t[i].tobytes() for i in at], pa.binary())], names=["dim", "cell", "total"]
-                )
-
-        new = {dim: np.zeros_like(c) for dim, c in centroids.items()}
-        # As many rows as there are centroids, for each of 8 tasks.
-        for row in drawn.select("dim", "unit").coalesce(8).mapInArrow(sums, "dim int, cell long, total binary").toLocalIterator():
-            new[row["dim"]][row["cell"]] += np.frombuffer(row["total"])
-        centroids = {dim: _moved(c, new[dim]) for dim, c in centroids.items()}
-    return centroids
-
-
-def margin(threshold: float, dim: int, exact: bool) -> float:
-    """How far beyond a bisecting plane a vector may lie to be a guest."""
-    half = sqrt(max(0.0, 2 - 2 * threshold)) / 2
-    return half if exact else min(half, half * SPREAD / sqrt(dim))
+                    for whole, part in zip(found[dim], _cell_sums(x, held[dim])):
+                        whole += part
+                    if dim in products:
+                        products[dim] += x.T @ x
+            for dim, (t, n) in found.items():
+                at = np.flatnonzero(n)
+                rows = [(dim, int(i), int(n[i]), t[i].tobytes()) for i in at]
+                rows += [(dim, -1 - i, 0, v.tobytes()) for i, v in enumerate(products.get(dim, ()))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=["dim", "cell", "n", "total"])
+
+        totals, counts = {d: np.zeros_like(c) for d, c in centroids.items()}, {d: np.zeros(len(c), dtype=np.int64) for d, c in centroids.items()}
+        products = {d: np.zeros((d, d)) for d in spread}
+        # As many rows as there are centroids and, in the last turn, directions, for each of 8 tasks.
+        for row in drawn.select("dim", "unit").coalesce(8).mapInArrow(sums, "dim int, cell long, n long, total binary").toLocalIterator():
+            dim, cell, part = row["dim"], row["cell"], np.frombuffer(row["total"])
+            if cell < 0:
+                products[dim][-1 - cell] += part
+            else:
+                totals[dim][cell] += part
+                counts[dim][cell] += row["n"]
+        if last:
+            out = {d: [c, *(scaled_centroids(c, products[d], totals[d], counts[d]) if d in spread else [])] for d, c in centroids.items()}
+        else:
+            centroids = {d: _moved(c, totals[d]) for d, c in centroids.items()}
+    return out
 
 
-def cells_of(x, c, most: float):
-    """``row, cell, home``: each row of ``x`` in its home and in the cells it visits, by row, then cell."""
+def cells_of(x, cells: list, threshold: float, exact: bool):
+    """``row, cell, home``: each row of ``x`` in its home and in the cells it visits, by row, then cell; ``cells`` as of ``train_cells``."""
     import numpy as np
 
-    rows, cells, homes = [], [], []
-    for part in np.array_split(np.arange(len(x)), len(x) * len(c) // (1 << 21) + 1):
+    half, (c, *scales) = (2 - 2 * threshold) / 4, cells  # the square of half the chord
+    rows, at, homes = [], [], []
+    for part in np.array_split(np.arange(len(x)), len(x) * len(c) // (1 << 20) + 1):
         p = x[part] @ c.T
         best = p.argmax(axis=1)
         short = p[np.arange(len(part)), best][:, None] - p
-        r, k = np.nonzero(short <= most * 2 + 1e-9)  # no gap between centroids is over 2
-        gap = np.sqrt(((c[best[r]] - c[k]) ** 2).sum(axis=1))
-        near = (short[r, k] <= most * gap + 1e-9) | (k == best[r])
-        r, k = r[near], k[near]
-        rows.append(part[r]), cells.append(k), homes.append(best[r])
-    return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
+        home, of = np.unique(best, return_inverse=True)
+        gap = np.maximum(2 - 2 * (c[home] @ c.T), 0)  # squares of distances between centroids
+        reach = gap
+        if not exact and scales:
+            share = gap / x.shape[1]
+            for s in scales:
+                norm = (s * s).sum(axis=1)
+                share = np.maximum(share, norm[home][:, None] + norm[None, :] - 2 * (s[home] @ s.T))
+            reach = np.minimum(gap, SPREAD * SPREAD * share)
+        near = short <= np.sqrt(half * reach)[of] + 1e-9
+        near[np.arange(len(part)), best] = True
+        r, k = np.nonzero(near)
+        rows.append(part[r]), at.append(k), homes.append(best[r])
+    return np.concatenate(rows), np.concatenate(at), np.concatenate(homes)
 
 
 PLACED = "cid long, label string, dim int, m long, unit binary, coarse int, visits array<int>, fine int, home int, shown array<int>"
@@ -158,8 +233,8 @@ def _placed(columns: list, row, cell, home):
     return [c.take(at) for c in columns], cells, pa.array(home.astype(np.int32)), pa.array(shown, pa.list_(pa.int32()))
 
 
-def _assign(cells, threshold: float, exact: bool, coarse: bool):
-    """Rows ``cid, label, dim, m, unit`` in the cells of the broadcast centroids, as coarse cells or as the only ones."""
+def _assign(cells, threshold: float, exact: bool, coarse: set):
+    """Rows ``cid, label, dim, m, unit`` in the cells of the broadcast centroids: coarse cells for lengths of ``coarse``, else the only ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -167,40 +242,46 @@ def _assign(cells, threshold: float, exact: bool, coarse: bool):
         for batch in batches:
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
-                own = batch.take(pa.array(np.flatnonzero(dims == dim)))
-                found = cells_of(_matrix(own.column(4), dim), cells.value[dim], margin(threshold, dim, exact))
-                columns, cell, home, shown = _placed(own.columns, *found)
-                zero, one = pa.array(np.zeros(len(cell), np.int32)), pa.array([[0]] * len(cell), pa.list_(pa.int32()))
-                more = [cell, shown, zero, zero, one] if coarse else [zero, one, cell, home, shown]
-                yield pa.RecordBatch.from_arrays([*columns, *more], names=[c.split(" ")[0] for c in PLACED.split(", ")])
+                every = np.flatnonzero(dims == dim)
+                rows = max(256, PART_BYTES // (8 * dim))
+                for i in range(0, len(every), rows):
+                    own = batch.take(pa.array(every[i : i + rows]))
+                    found = cells_of(_matrix(own.column(4), dim), cells.value[dim], threshold, exact)
+                    columns, cell, home, shown = _placed(own.columns, *found)
+                    zero, one = pa.array(np.zeros(len(cell), np.int32)), pa.array([[0]] * len(cell), pa.list_(pa.int32()))
+                    more = [cell, shown, zero, zero, one] if dim in coarse else [zero, one, cell, home, shown]
+                    yield pa.RecordBatch.from_arrays([*columns, *more], names=[c.split(" ")[0] for c in PLACED.split(", ")])
 
     return run
 
 
 def _train_fine(rounds: int):
-    """Centroids of a coarse cell from its sample ``dim, coarse, cells, h, unit``: one row ``dim, coarse, centroids``."""
+    """Centroids of a coarse cell from its sample ``dim, coarse, cells, h, unit``: one row ``dim, coarse, centroids``, all scales after each other."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        import numpy as np
-
         dim, coarse = (k.as_py() for k in key)
         table = table.sort_by([("h", "ascending"), ("unit", "ascending")])
         x = _matrix(table.column("unit"), dim)
         c = x[: table.column("cells")[0].as_py()]
         for _ in range(rounds):
-            total = np.zeros_like(c)
-            np.add.at(total, (x @ c.T).argmax(axis=1), x)
-            c = _moved(c, total)
-        return pa.table({"dim": pa.array([dim], pa.int32()), "coarse": pa.array([coarse], pa.int32()), "centroids": pa.array([c.tobytes()], pa.binary())})
+            c = _moved(c, _cell_sums(x, c)[0])
+        held = [c, *(scaled_centroids(c, x.T @ x, *_cell_sums(x, c)) if dim * dim <= MAX_SPREAD else [])]
+        return pa.table({
+            "dim": pa.array([dim], pa.int32()), "coarse": pa.array([coarse], pa.int32()), "scales": pa.array([len(held)], pa.int32()),
+            "centroids": pa.array([b"".join(v.tobytes() for v in held)], pa.binary()),
+        })
 
     return run
 
 
 def _assign_fine(threshold: float, exact: bool):
     def run(key: tuple, rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        import numpy as np
+
         dim = key[0].as_py()
         rows = rows.select([c.split(" ")[0] for c in PLACED.split(", ")]).combine_chunks()
-        found = cells_of(_matrix(rows.column("unit"), dim), _matrix(centroids.column("centroids"), dim), margin(threshold, dim, exact))
+        cells = np.split(_matrix(centroids.column("centroids"), dim), centroids.column("scales")[0].as_py())
+        found = cells_of(_matrix(rows.column("unit"), dim), cells, threshold, exact)
         columns, cell, home, shown = _placed([c.combine_chunks() for c in rows.columns[:7]], *found)
         return pa.Table.from_arrays([*columns, cell, home, shown], names=rows.column_names)
 
@@ -212,14 +293,14 @@ def _fine_cells(scratch: Scratch, placed: DataFrame, threshold: float, exact: bo
     cell = ["dim", "coarse"]
     counts = placed.groupBy(*cell, "label").agg(F.count("*").alias("n")).groupBy(*cell).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
     cells = F.least(F.ceil(F.col("most") / F.lit(cell_rows)), F.lit(max_cells)).cast("int").alias("cells")
-    counts = counts.select(*cell, cells, F.ceil(F.col("n") / F.lit(SAMPLE)).alias("every"), F.ceil(F.col("n") / F.lit(1 << 16)).cast("int").alias("parts"))
+    part_rows, sample = F.greatest(F.lit(256), F.floor(F.lit(PART_BYTES / 8) / F.col("dim"))), F.greatest(F.lit(256), F.least(F.lit(SAMPLE), F.floor(F.lit(4 * PART_BYTES / 8) / F.col("dim"))))
+    counts = counts.select(*cell, cells, F.ceil(F.col("n") / sample).cast("long").alias("every"), F.ceil(F.col("n") / part_rows).cast("int").alias("parts"))
     counts = scratch.save(counts, "coarse")
     drawn = placed.join(counts, cell).where("pmod(xxhash64(cid), every) = 0").select(*cell, "cells", F.xxhash64("cid", F.lit(3)).alias("h"), "unit")
-    trained = drawn.groupBy(*cell).applyInArrow(_train_fine(ROUNDS), "dim int, coarse int, centroids binary")
+    trained = drawn.groupBy(*cell).applyInArrow(_train_fine(ROUNDS), "dim int, coarse int, scales int, centroids binary")
     trained = scratch.save(trained, "fine")
     rows = placed.join(counts.select(*cell, "parts"), cell).withColumn("part", F.expr("pmod(xxhash64(cid, 5), parts)").cast("int"))
-    each = trained.join(counts, cell, "right").select(*cell, "centroids", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    each = each.where("centroids is not null")
+    each = trained.join(counts, cell).select(*cell, "scales", "centroids", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     return rows.groupBy(*cell, "part").cogroup(each.groupBy(*cell, "part")).applyInArrow(_assign_fine(threshold, exact), PLACED)
 
 
@@ -285,6 +366,7 @@ def _block(threshold: float):
 
 def near_vectors(
     spark: SparkSession, rows: DataFrame, threshold: float = THRESHOLD, cell_rows: int = CELL_ROWS, exact: bool = False, max_cells: int = MAX_CELLS,
+    max_lengths: int = MAX_LENGTHS,
 ) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept`` of ``rows(vec_id, embedding, label)``.
 
@@ -298,14 +380,22 @@ def near_vectors(
     classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     # Only rows of a label meet, so a label's largest count says how many cells are wanted.
     counts = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.max("count").alias("most"), F.sum("count").alias("n"))
-    wanted = {r["dim"]: min(r["n"], max(2, ceil(r["most"] / cell_rows))) for r in counts.collect()}  # one row for each length of vectors
-    two = max(wanted.values(), default=0) > max_cells
-    centroids = train_cells(scratch, classes, {d: max(2, ceil(sqrt(k))) if two else k for d, k in wanted.items()}) if wanted else {}
-    shared = spark.sparkContext.broadcast(centroids)
-    placed = classes.select("cid", "label", "dim", "m", "unit").mapInArrow(_assign(shared, threshold, exact, two), PLACED)
+    first = scratch.save(counts, "lengths").orderBy(F.desc("n"), "dim").limit(max_lengths + 1).collect()
+    listed, others = first[:max_lengths], len(first) > max_lengths
+    wanted = {r["dim"]: min(r["n"], max(2, ceil(r["most"] / cell_rows))) for r in listed}
+    held = {d: min(max_cells, max(2, MAX_NUMBERS // (d * len(listed)))) for d in wanted}
+    coarse = {d for d, k in wanted.items() if k > held[d]}
+    centroids = train_cells(scratch, classes, {d: min(held[d], max(2, ceil(sqrt(k)))) if d in coarse else k for d, k in wanted.items()}) if wanted else {}
+    shared, five = spark.sparkContext.broadcast(centroids), ["cid", "label", "dim", "m", "unit"]
+    known = F.col("dim").isin(list(wanted))
+    placed = classes.where(known).select(*five).mapInArrow(_assign(shared, threshold, exact, coarse), PLACED)
+    if others:
+        zero, one = F.lit(0), F.array(F.lit(0))
+        placed = placed.unionByName(classes.where(~known).select(*five, zero.alias("coarse"), one.alias("visits"), zero.alias("fine"), zero.alias("home"), one.alias("shown")))
     placed = scratch.save(placed, "placed")
-    if two:
-        placed = scratch.save(_fine_cells(scratch, placed, threshold, exact, cell_rows, max_cells), "placed")
+    if coarse or others:
+        single = F.col("dim").isin([d for d in wanted if d not in coarse])
+        placed = scratch.save(placed.where(single).unionByName(_fine_cells(scratch, placed.where(~single), threshold, exact, cell_rows, max_cells)), "placed")
     cell = ["label", "dim", "coarse", "fine"]
     parts = placed.groupBy(*cell).agg(F.ceil(F.count("*") / F.lit(BLOCK_ROWS)).cast("int").alias("parts"))
     held = placed.join(scratch.save(parts, "parts"), cell).withColumn("own", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))

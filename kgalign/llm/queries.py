@@ -13,6 +13,7 @@ from .common import Scratch, table
 from .embeddings import near_vectors
 from .filter_audit import audit_filters
 from .line_dedup import dedup_lines
+from .lm_scoring import score_texts
 from .mixing import mix_documents
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -67,6 +68,14 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark, table(spark, sf_dir, "embeddings"))
 
 
+def near_vectors_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``embeddings`` and of each vector a copy with one component changed, by more or less: some are linked, some just not."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
+    change = (F.col("vec_id") % 5 + 1) * 0.05
+    moved = F.transform("embedding", lambda x, i: F.when(i == F.col("vec_id") % 64, x + change).otherwise(x))
+    return near_vectors(spark, rows.unionByName(rows.withColumns({"vec_id": -F.col("vec_id") - 1, "embedding": moved})))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), with_ids=False)
 
@@ -83,6 +92,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_clusters(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -103,9 +116,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_counts": op6_token_counts,
         "op7_quality_rules": op7_quality_rules,
         "op8_embedding_near_dedup": op8_embedding_near_dedup,
+        "near_vectors_planted": near_vectors_planted,
         "op9_packing": op9_packing,
         "op10_chat_formatting": op10_chat_formatting,
         "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_lm_scoring": op12_lm_scoring,
         "op13_filter_audit": op13_filter_audit,
         "pipeline": pipeline,
     }

@@ -32,11 +32,14 @@ link AS (SELECT x.doc_id AS a, y.doc_id AS b FROM e x JOIN e y USING (shingle) W
 {_REACH}
 SELECT doc_id, len(set) AS n_shingles, least(doc_id, coalesce(least.least, doc_id)) AS component_id, doc_id <= coalesce(least.least, doc_id) AS kept FROM s LEFT JOIN least ON node = doc_id"""
 
-NEAR_VECTORS = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+_NEAR = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM {{rows}} WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.98),
 n AS (SELECT a, count(*) AS n FROM link GROUP BY a), {_REACH}
 SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(least.least, vec_id)) AS component_id, vec_id <= coalesce(least.least, vec_id) AS kept
-FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON node = vec_id"""
+FROM {{rows}} LEFT JOIN n ON n.a = vec_id LEFT JOIN least ON node = vec_id"""
+NEAR_VECTORS = _NEAR.format(rows="embeddings")
+NEAR_PLANTED = _NEAR.format(rows="""(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings UNION ALL
+SELECT -vec_id - 1, list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: CASE WHEN i - 1 = vec_id % 64 THEN x + (vec_id % 5 + 1) * CAST(0.05 AS DOUBLE) ELSE x END), label FROM embeddings)""")
 
 _ESCAPED = r"replace(replace({}, '\', '\\'), '<|', '<\|')"
 CHAT = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -107,6 +110,6 @@ SELECT part, filter_order, step, {', '.join(f'CAST(coalesce({c}, 0) AS BIGINT) A
 CAST(coalesce(sum(removed) OVER (PARTITION BY part, letter), 0) AS BIGINT) AS shapley FROM e"""
 
 ORACLES = {
-    "op2_line_dedup": LINE_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY, "op8_embedding_near_dedup": NEAR_VECTORS, "op10_chat_formatting": CHAT,
+    "op2_line_dedup": LINE_DEDUP, "op4_near_dedup": NEAR_DEDUP, "op7_quality_rules": QUALITY, "op8_embedding_near_dedup": NEAR_VECTORS, "near_vectors_planted": NEAR_PLANTED, "op10_chat_formatting": CHAT,
     "op11_centroid_clusters": CLUSTERS, "op13_filter_audit": FILTER_AUDIT,
 }

@@ -455,7 +455,7 @@ def test_cells_are_trained_at_any_size(spark, n, monkeypatch):
     x = np.random.default_rng(n).normal(size=(n, 16))
     rows = spark.createDataFrame([(i, [float(v) for v in r], 0) for i, r in enumerate(x)], "vec_id long, embedding array<double>, label int")
     assert embeddings.near_vectors(spark, rows).count() == n
-    assert [c.shape for c in seen[0].values()] == [(2, 16)] and np.allclose(np.linalg.norm(seen[0][16], axis=1), 1)
+    assert [c[0].shape for c in seen[0].values()] == [(2, 16)] and np.allclose(np.linalg.norm(seen[0][16][0], axis=1), 1)
 
 
 def test_recall_of_the_default_margin(spark):
@@ -470,6 +470,55 @@ def test_recall_of_the_default_margin(spark):
     assert got.where("n_links = 1").count() == 1200  # all of 600 planted pairs, in 60 cells
 
 
+def _spectrum(rng, n, kind):
+    """Unit vectors of 64 dimensions, and how their near copies differ."""
+    if isinstance(kind, int):
+        basis = np.linalg.qr(rng.normal(size=(64, kind)))[0].T
+        draw = lambda m: rng.normal(size=(m, kind)) @ basis
+    else:
+        scale = np.arange(1, 65) ** -0.75 if kind == "power" else np.ones(64)
+        draw = lambda m: rng.normal(size=(m, 64)) * scale
+    return draw(n), draw
+
+
+@pytest.mark.parametrize("kind", [2, 3, 6, "power", "alike"])
+def test_recall_follows_the_spread_of_the_data(spark, kind):
+    """Links found by the default margin, of vectors on a plane, in few dimensions, of a falling spectrum and without one; pairs are planted with differences like the data's."""
+    rng = np.random.default_rng(12)
+    n = 1500
+    x, draw = _spectrum(rng, n, kind)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step = draw(n)
+    step -= (step * x).sum(axis=1, keepdims=True) * x
+    y = x * 0.9805 + step / np.linalg.norm(step, axis=1, keepdims=True) * (1 - 0.9805**2) ** 0.5
+    v = np.concatenate((x, y))
+    rows = spark.createDataFrame([(i, [float(t) for t in r], 0) for i, r in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    linked = unit @ unit.T >= 0.98
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r for r in embeddings.near_vectors(spark, rows, cell_rows=60).collect()}
+    found = np.array([got[i].n_links for i in range(2 * n)])
+    assert (found <= linked.sum(axis=1)).all() and found.sum() >= 0.999 * linked.sum() >= 0.999 * 2 * n
+
+
+def test_many_lengths_of_vectors(spark):
+    """More lengths than have broadcast centroids, and one of them in two levels."""
+    rng = np.random.default_rng(13)
+    rows, at = [], 0
+    for dim, n in ((5, 90), (6, 40), *((d, 6) for d in range(7, 20))):
+        x = rng.normal(size=(n, dim))
+        x[n // 2 :] = x[: n - n // 2] * 3 + rng.normal(size=(n - n // 2, dim)) * 0.05
+        rows += [(at + i, [float(v) for v in r], "s") for i, r in enumerate(x)]
+        at += n
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    linked = lambda i, j: i != j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.98
+    want = _smallest(len(rows), linked)
+    for options in ({"max_lengths": 2}, {"max_lengths": 2, "cell_rows": 4, "max_cells": 5}):
+        got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_vectors(spark, df, exact=True, **options).collect()}
+        assert got == {i: (sum(linked(i, j) for j in range(len(rows))), want[i]) for i in range(len(rows))}
+
+
 def test_components_end_where_all_is_settled(spark):
     from kgalign.llm.common import Scratch, components
 
@@ -597,4 +646,4 @@ def test_pipeline_stages(spark):
 
 
 def test_names():
-    assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in queries()}
+    assert {f"op{i}" for i in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in queries()}
