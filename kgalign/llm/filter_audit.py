@@ -141,7 +141,9 @@ def failures(scratch: Scratch, docs: DataFrame, labels: DataFrame) -> DataFrame:
     # Tables of their own, so that the joins with a hot text or doc_id can be split.
     least = slim.groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     known = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    rows = slim.join(scratch.save(least, "least"), "key", "left").join(scratch.save(known.where("good = 1 or toxic = 1"), "known"), "doc_id", "left")
+    # Both grow with the documents, so neither is to be broadcast, however small its file may look.
+    least, known = scratch.save(least, "least").hint("merge"), scratch.save(known.where("good = 1 or toxic = 1"), "known").hint("merge")
+    rows = slim.join(least, "key", "left").join(known, "doc_id", "left")
     copy = F.coalesce((F.col("doc_id") > F.col("least")).cast("int"), F.lit(0))
     return rows.select("part", (F.col("mask") + copy * 16).alias("mask"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("good", "toxic")])
 
