@@ -73,7 +73,7 @@ def near_vectors_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "label")
     change = (F.col("vec_id") % 5 + 1) * 0.05
     moved = F.transform("embedding", lambda x, i: F.when(i == F.col("vec_id") % 64, x + change).otherwise(x))
-    return near_vectors(spark, rows.unionByName(rows.withColumns({"vec_id": -F.col("vec_id") - 1, "embedding": moved})))
+    return near_vectors(spark, rows.unionByName(rows.withColumn("embedding", moved).withColumn("vec_id", -F.col("vec_id") - 1)))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
