@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, slices
 
 #: Length of the longest grams.
-ORDER = 3
+ORDER = 2
 #: Counts of a level are within a factor of this.
 BASE = 1.5
 BITS, PROBES = 12, 8
@@ -44,7 +44,9 @@ BITS, PROBES = 12, 8
 STRENGTH = 2.0
 #: Bytes of text for each part of the model; the most bytes of a model that is broadcast.
 PART_BYTES, MAX_BROADCAST = 8 << 20, 64 << 20
-PIECE, FLUSH = 1 << 17, 1 << 21
+PIECE, FLUSH = 1 << 17, 1 << 22
+#: Bytes of a gram's key beside its part.
+KEY_BYTES = 5
 _SEGMENT = "part int, bits binary, size long, top int, words binary, counts binary, tokens long"
 
 
@@ -130,8 +132,8 @@ class Segment:
         self.bits, self.size, self.top = np.frombuffer(bits, dtype=np.uint8), size, top
         self.words, self.counts = np.frombuffer(words, dtype="<u8"), np.frombuffer(counts, dtype="<i8")
 
-    def levels(self, keys):
-        return probe(self.bits, self.size, self.top, keys)
+    def levels(self, keys, parts: int):
+        return probe(self.bits, self.size, self.top, short_keys(keys, parts))
 
     def exact(self, keys):
         """Counts of those keys that are words, 0 for others."""
@@ -213,8 +215,27 @@ def part_of(keys, parts: int):
     return (keys >> np.uint64(1) >> np.uint64(63 - (parts.bit_length() - 1))).astype(np.int32)
 
 
+def short_keys(keys, parts: int):
+    """The first bits of keys after those that tell their part: KEY_BYTES bytes, whatever the number of parts, so that few grams of a part look alike."""
+    import numpy as np
+
+    return (keys << np.uint64(parts.bit_length() - 1)) >> np.uint64(64 - 8 * KEY_BYTES)
+
+
+def _packed(keys) -> bytes:
+    return keys.astype("<u8").view("u1").reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(data: bytes):
+    import numpy as np
+
+    out = np.zeros((len(data) // KEY_BYTES, 8), dtype=np.uint8)
+    out[:, :KEY_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEY_BYTES)
+    return out.view("<u8").ravel()
+
+
 def _gather(order: int, parts: int, piece: int):
-    """Counts of the grams of texts, packed by part: ``part, words, keys, counts``; ``words`` says that these are tokens."""
+    """Counts of the grams of texts, packed by part: ``part, words, keys, counts``; ``words`` says that these are tokens, and have whole keys; no counts are ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -227,9 +248,11 @@ def _gather(order: int, parts: int, piece: int):
                 if not lists:
                     continue
                 keys, counts = np.unique(np.concatenate(lists), return_counts=True)
-                part = part_of(keys, parts)
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-                rows += [(int(part[a]), words, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:])]
+                for some in (counts == 1, counts > 1):
+                    k, c = keys[some], counts[some].astype("<u4")
+                    part, short = part_of(k, parts), short_keys(k, parts)
+                    cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)])) if len(k) else [0]
+                    rows += [(int(part[a]), words, k[a:b].tobytes() if words else _packed(short[a:b]), c[a:b].tobytes() if c[a] > 1 else None) for a, b in zip(cut[:-1], cut[1:])]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary(), pa.binary()))], names=["part", "words", "keys", "counts"])
 
         for batch in slices(batches):
@@ -248,7 +271,7 @@ def _gather(order: int, parts: int, piece: int):
     return run
 
 
-def _fold(base: float, bits_each: int):
+def _fold(base: float, bits_each: int, parts: int):
     """A part's packed counts to its segment of the model."""
 
     def summed(keys, counts):
@@ -266,8 +289,11 @@ def _fold(base: float, bits_each: int):
         sides = []
         for side in (words, ~words):
             rows = table.take(pa.array(np.flatnonzero(side)))
-            sides.append(summed(*(np.frombuffer(b"".join(rows.column(c).to_pylist()), dtype=kind) for c, kind in (("keys", "<u8"), ("counts", "<u4")))))
-        keys, counts = (np.concatenate(x) for x in zip(*sides))
+            packed, told = rows.column("keys").to_pylist(), rows.column("counts").to_pylist()
+            keys = [np.frombuffer(k, dtype="<u8") if side is words else _unpacked(k) for k in packed]
+            counts = [np.ones(len(k), dtype="<u4") if c is None else np.frombuffer(c, dtype="<u4") for k, c in zip(keys, told)]
+            sides.append(summed(np.concatenate(keys or [np.zeros(0, "<u8")]), np.concatenate(counts or [np.zeros(0, "<u4")])))
+        keys, counts = np.concatenate((short_keys(sides[0][0], parts), sides[1][0])), np.concatenate((sides[0][1], sides[1][1]))
         bits, size, top = build_filter(keys, np.searchsorted(thresholds(base), counts, side="right"), bits_each)
         row = [key[0].as_py(), bits, size, top, sides[0][0].tobytes(), sides[0][1].astype("<i8").tobytes(), int(sides[0][1].sum())]
         types = (pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64())
@@ -281,7 +307,7 @@ def learn(scratch: Scratch, texts: DataFrame, order: int = ORDER, part_bytes: in
     n = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = 1 << max(0, ceil(n / part_bytes) - 1).bit_length()
     counts = texts.select("text").mapInArrow(_gather(order, parts, piece), "part int, words boolean, keys binary, counts binary")
-    return scratch.save(counts.groupBy("part").applyInArrow(_fold(BASE, bits_each), _SEGMENT), "model"), parts
+    return scratch.save(counts.groupBy("part").applyInArrow(_fold(BASE, bits_each, parts), _SEGMENT), "model"), parts
 
 
 class Scorer:
@@ -365,7 +391,7 @@ def _score_here(order: int, parts: int, model, piece: int):
                 cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
                 for a, b in zip(cut[:-1], cut[1:]):
                     if (segment := segments.get(int(part[a]))) is not None:
-                        levels[a:b], exact[a:b] = segment.levels(keys[a:b]), segment.exact(keys[a:b])
+                        levels[a:b], exact[a:b] = segment.levels(keys[a:b], parts), segment.exact(keys[a:b])
                 at += rows_
                 parts_of.append(scorer.scores(needed, levels, exact))
             if at:
@@ -400,17 +426,21 @@ def _ask(order: int, parts: int, piece: int):
     return run
 
 
-def _answer(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
+def _answer(parts: int):
     """The levels and exact counts of the keys asked of a part: ``chunk, part, levels, exact``."""
-    import numpy as np
 
-    chunks, levels, exact = asked.column("chunk").to_pylist(), [], []
-    segment = Segment(*(segments.column(c)[0].as_py() for c in ("bits", "size", "top", "words", "counts"))) if segments.num_rows else Segment(b"", 0, 0, b"", b"")
-    for data in asked.column("data").to_pylist():
-        keys = np.frombuffer(data, dtype="<u8")
-        levels.append(segment.levels(keys).tobytes()), exact.append(segment.exact(keys).astype("<i8").tobytes())
-    columns = {"chunk": pa.array(chunks, pa.int64()), "part": pa.array([key[0].as_py()] * len(chunks), pa.int32())}
-    return pa.table(columns | {"levels": pa.array(levels, pa.binary()), "exact": pa.array(exact, pa.binary())})
+    def run(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
+        import numpy as np
+
+        chunks, levels, exact = asked.column("chunk").to_pylist(), [], []
+        segment = Segment(*(segments.column(c)[0].as_py() for c in ("bits", "size", "top", "words", "counts"))) if segments.num_rows else Segment(b"", 0, 0, b"", b"")
+        for data in asked.column("data").to_pylist():
+            keys = np.frombuffer(data, dtype="<u8")
+            levels.append(segment.levels(keys, parts).tobytes()), exact.append(segment.exact(keys).astype("<i8").tobytes())
+        columns = {"chunk": pa.array(chunks, pa.int64()), "part": pa.array([key[0].as_py()] * len(chunks), pa.int32())}
+        return pa.table(columns | {"levels": pa.array(levels, pa.binary()), "exact": pa.array(exact, pa.binary())})
+
+    return run
 
 
 def _finish(order: int, tokens: int, distinct: int):
@@ -452,7 +482,7 @@ def score_texts(
     else:
         asked = scratch.save(rows.mapInArrow(_ask(order, parts, piece), "chunk long, part int, rows array<struct<row: long, doc_id: long, held_out: boolean, size: long>>, data binary"), "asked")
         keys = asked.where("part >= 0").select("part", "chunk", "data")
-        answers = keys.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answer, "chunk long, part int, levels binary, exact binary")
+        answers = keys.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answer(parts), "chunk long, part int, levels binary, exact binary")
         chunks = asked.where("part < 0").select("chunk", "rows", "data")
         found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(order, tokens, distinct), _FOUND)
         found = found.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]).drop("row")

@@ -140,7 +140,7 @@ def _texts(n=60):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"order": 1}, {"order": 2, "part_bytes": 500}, {"part_bytes": 500, "max_broadcast": 0}, {"piece": 7, "part_bytes": 5000}, {"piece": 7, "max_broadcast": 0}])
+@pytest.mark.parametrize("options", [{}, {"order": 1}, {"order": 3, "part_bytes": 500}, {"order": 3, "part_bytes": 500, "max_broadcast": 0}, {"piece": 7, "part_bytes": 5000}, {"piece": 7, "order": 3, "max_broadcast": 0}])
 def test_scores(spark, options):
     rows = _texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"held_out": F.lit("clash"), "score": F.lit(1)}).repartition(3)
