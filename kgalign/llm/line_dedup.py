@@ -6,7 +6,8 @@ to its own hashes and merge-joined with the live runs: hashes that no run holds
 (the anti-join) are added with their largest doc_id as owner, the others only
 add to the counts. Every ``fanout`` runs of a level are compacted to one of the
 next level, again by a merge join of co-located buckets. The last run says how
-many documents hold a line and which of them keeps it.
+many documents hold a line and which of them keeps it. The runs lie in the shared folder, beside
+the other steps' tables, and are dropped at the end, also of a run that fails.
 
 Defined results: a null or empty text is one empty line; documents with a null
 doc_id keep all lines and count for none; rows with the same doc_id count as
@@ -26,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import delete
 from .common import SPACES, Scratch, free_name, shuffle_partitions, slices
 
 MIN_CHARS = 20
@@ -66,17 +68,31 @@ def _hash_lines(min_chars: int):
 
 
 class LineRuns:
-    """Levelled runs ``(hi, lo, n, top)`` as bucketed tables in the warehouse."""
+    """Levelled runs ``(hi, lo, n, top)`` as bucketed tables below a folder that all executors share; dropped on leaving."""
 
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, folder: str, fanout: int = 2):
+        self.spark, self.folder, self.fanout = spark, folder, fanout
         self.buckets = shuffle_partitions(spark)
         self.levels: list[list[str]] = []
+        self.names: set[str] = set()
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for name in list(self.names):
+            self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, f"{self.folder}/{name}")
+        self.names.discard(name)
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         rows = rows.select("hi", "lo", "n", "top").repartition(self.buckets, "hi", "lo")
-        rows.write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").saveAsTable(name)
+        self.names.add(name)
+        rows.write.format("parquet").bucketBy(self.buckets, "hi", "lo").sortBy("hi", "lo").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def live(self) -> list[str]:
@@ -114,7 +130,7 @@ class LineRuns:
         old, self.levels[level] = self.levels[level], []
         name = self._write(self._merged(old))
         for x in old:
-            self.spark.sql(f"DROP TABLE {x}")
+            self._drop(x)
         self._push(level + 1, name)
 
     def merged(self) -> DataFrame:
@@ -164,13 +180,11 @@ def dedup_lines(
     hashed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     hashed = hashed.mapInArrow(_hash_lines(min_chars), "doc_id long, hi long, lo long")
     lines = scratch.save(hashed.withColumn("batch", batch), "lines", "batch")
-    runs = LineRuns(spark, fanout)
-    for b in range(len(set(cuts)) + 1):
-        new = lines.where(F.col("batch") == b).groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
-        runs.add(new)
-    common = scratch.save(runs.merged().where(F.col("n") >= min_docs).select("hi", "lo", "top"), "common")
-    for name in runs.live():
-        spark.sql(f"DROP TABLE {name}")
+    with LineRuns(spark, scratch.root, fanout) as runs:
+        for b in range(len(set(cuts)) + 1):
+            new = lines.where(F.col("batch") == b).groupBy("hi", "lo").agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+            runs.add(new)
+        common = scratch.save(runs.merged().where(F.col("n") >= min_docs).select("hi", "lo", "top"), "common")
     gone = lines.join(common, ["hi", "lo"]).where("doc_id <> top")
     gone = gone.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias(drop)).withColumnRenamed("doc_id", own)
     # Only the short lists of hashes are hashed in memory; the texts are not sorted.
