@@ -12,7 +12,8 @@ any store that Spark can reach. The frequency table lies beside it: a folder wit
 layout.
 
 Defined results: a null or empty text is the end id alone; rows with the same
-doc_id follow each other in the order of their ids' bytes; a null doc_id comes
+doc_id follow each other in the order of their first ids' bytes, then of a hash of all, so that also
+many rows of one doc_id, or without one, are dealt over all parts; a null doc_id comes
 first; an empty table gives an empty file; columns other than doc_id and text are
 ignored; a long text is one document of one block, however many ids it has.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..storage import new_folder
 from .common import Scratch, shuffle_partitions, slices
+from .token_ids import STORE_BYTES
 
 END_ID = 0
 BLOCK_TOKENS = 1 << 20
@@ -37,13 +39,13 @@ def _id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _tokenize(path: str, special_as_text: bool, kind: str):
+def _tokenize(path: str, special_as_text: bool, kind: str, store_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from .token_ids import word_ids
 
-        encode, end = word_ids(path, special_as_text).encode, END_ID.to_bytes(4, "little")
+        encode, end = word_ids(path, special_as_text, store_bytes).encode, END_ID.to_bytes(4, "little")
         for batch in slices(batches):
             ids = [np.frombuffer(encode(t) + end, dtype="<u4") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
@@ -122,12 +124,14 @@ def _read_blocks(freq):
 
 
 def write_token_files(
-    spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str | None = None, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = False
+    spark: SparkSession, docs: DataFrame, tokenizer_path: str, path: str | None = None, block_tokens: int = BLOCK_TOKENS, special_as_text: bool = False,
+    store_bytes: int = STORE_BYTES,
 ) -> str:
     """The folder written, ``path`` or one in the shared folder.
 
     ``blocks`` holds ``part, number, start, tokens, block``, ``frequencies`` the table ``id, freq`` shared by all blocks.
     A control string in a text is its one id, as the library encodes it by default, or with ``special_as_text`` like other text.
+    A worker remembers words in ``store_bytes`` about.
     """
     import numpy as np
     from tokenizers import Tokenizer
@@ -138,7 +142,7 @@ def write_token_files(
     path = path or new_folder(spark, "files")
     vocabulary = max([END_ID, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()]) + 1
     kind = _id_type(vocabulary)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text, kind), "doc_id long, ids binary")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text, kind, store_bytes), "doc_id long, ids binary")
     ids = scratch.save(ids, "ids")
     counts = np.zeros(vocabulary, dtype=np.int64)
     # At most one row for each id of the vocabulary.
@@ -146,7 +150,11 @@ def write_token_files(
         counts[row["id"]] = row["c"]
     freq = Model.of_counts(counts).freq.astype(np.int64)
     spark.createDataFrame([(i, int(freq[i])) for i in np.flatnonzero(freq).tolist()], "id int, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
-    dealt = ids.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # Rows equal in all of the order but the last are equal, so it doesn't matter how they are numbered.
+    order = ["doc_id", F.substring("ids", 1, 8), F.xxhash64("ids"), F.monotonically_increasing_id()]
+    dealt = ids.select("*", *[c.alias(f"order{i}") for i, c in enumerate(order[1:])])
+    order = ["doc_id", "order0", "order1", "order2"]
+    dealt = dealt.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     shape = "part int, number long, start long, tokens long, block binary"
     blocks = dealt.mapInArrow(_write_blocks(spark.sparkContext.broadcast(freq), block_tokens, kind), shape)
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")

@@ -18,8 +18,8 @@ from array import array
 #: Characters for which letters, digits and case are the same in every engine.
 _SAFE = "\n\x20-\x7eÀ-ÖØ-öø-ÿ"
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+# English endings that are pieces of their own; the steps before the merges in the two kinds of files, as they say them.
 _CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
-# The steps before the merges in the two kinds of files, as they say them.
 _BYTE_LEVEL = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}}
 _WORD_ENDS = {
     "normalizer": {"type": "Sequence", "normalizers": [
@@ -32,10 +32,12 @@ _WORD_ENDS = {
 }
 #: A run of these after letters is one piece.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries of a worker's store, each of about 140 bytes; when it is full, it becomes the old one, of which what is met again is kept.
-MAX_WORDS = 800_000
+#: Bytes of a worker's stores, as a bound, and of an entry. A full store becomes the old one, of which what is met again is kept; words
+#: and other pieces have one each, the second half as large: three times the entries of a store of words in all.
+STORE_BYTES, ENTRY_BYTES = 336 << 20, 140
 
 
+# The ranges of the byte-level alphabet.
 def byte_letters() -> dict[int, str]:
     """The byte-level alphabet: printable bytes stand for themselves, others for letters from 256 on."""
     kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -46,7 +48,7 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Ids (little-endian 32-bit) of texts; as a dict: of the pieces met so far."""
 
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, store_bytes: int = STORE_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -68,6 +70,7 @@ class WordIds(dict):
             self.pieces = re.compile(f"{_CONTRACTIONS}|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0-9]+").findall
         else:  # a space goes with what follows
             self.pieces = re.compile(f"{_CONTRACTIONS}| ?[{_LETTER}]+| ?[0-9]+| ?[^\\s{_LETTER}0-9]+|\\s+(?!\\S)|\\s+").findall
+        self.most = max(2, store_bytes // (3 * ENTRY_BYTES))
         self.short: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.old_short: dict[str, bytes] = {}
@@ -83,7 +86,7 @@ class WordIds(dict):
             word = piece if self.lower else piece[1:] if piece[0] == " " else ""
             if word.isalpha() and (ids := self.get(word)) is not None:
                 return ids
-            if len(self.short) >= MAX_WORDS // 2:
+            if len(self.short) >= self.most // 2:
                 self.old_short, self.short = self.short, {}
             ids = self.old_short.get(piece)
             self.short[piece] = ids = self._merged(piece) if ids is None else ids
@@ -91,7 +94,7 @@ class WordIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         """Ids of a word with the space before it, where the tokenizer keeps spaces."""
-        if len(self) >= MAX_WORDS:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         ids = self.old.get(word)
@@ -121,12 +124,12 @@ class WordIds(dict):
         return b"".join(map(self._piece, self.pieces(words[0]))) + b"".join(map(self.__getitem__, words[1:]))
 
 
-_loaded: dict[tuple[str, bool], WordIds] = {}
+_loaded: dict[tuple, WordIds] = {}
 
 
-def word_ids(path: str, special_as_text: bool = False) -> WordIds:
-    """One for each worker process, file and treatment of control strings."""
-    key = (path, special_as_text)
+def word_ids(path: str, special_as_text: bool = False, store_bytes: int = STORE_BYTES) -> WordIds:
+    """One for each worker process, file, treatment of control strings and size."""
+    key = (path, special_as_text, store_bytes)
     if key not in _loaded:
         _loaded[key] = WordIds(*key)
     return _loaded[key]

@@ -108,6 +108,29 @@ def test_line_dedup(spark, docs, odd, none):
     assert line_dedup.dedup_lines(spark, none).count() == 0
 
 
+def test_line_runs_leave_nothing_in_the_warehouse(spark, docs, monkeypatch):
+    from kgalign import storage
+
+    tables = lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    home = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")
+    line_dedup.dedup_lines(spark, docs).count()
+    assert not tables() and not (os.path.isdir(home) and any("line_run" in x for x in os.listdir(home)))
+    made, write = [], line_dedup.LineRuns._write
+
+    def fails(self, rows):
+        made.append((write(self, rows), self.folder))
+        if len(made) == 3:
+            assert tables() and all(os.path.isdir(f"{self.folder}/{name}".removeprefix("file:")) for name in self.names)
+            raise RuntimeError("lost")
+        return made[-1][0]
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_write", fails)
+    with pytest.raises(RuntimeError):
+        line_dedup.dedup_lines(spark, docs)
+    assert not tables() and not any(os.path.isdir(f"{folder}/{name}".removeprefix("file:")) for name, folder in made)
+    assert all(folder.startswith(storage.shared_folder(spark)) for _, folder in made)
+
+
 def _sets(texts):
     out = []
     for t in texts:
@@ -322,6 +345,22 @@ def test_token_files(spark, docs, odd, none):
     assert all(r.n_tokens == len(_ids(path, _texts()[i], 0, True)) for i, r in as_text.items())
 
 
+def test_rows_without_an_id_are_dealt_over_all_parts(spark, tmp_path):
+    """Nine of ten rows have no doc_id, and a third of all are equal; the files hold the rows in the order of ids and whole."""
+    rng = random.Random(2)
+    texts = ["the same text again"] * 300 + [" ".join(rng.choices(["a", "bc", "def", "The"], k=6)) for _ in range(600)]
+    rows = [(None if i % 10 else i, t) for i, t in enumerate(texts)]
+    path = tokenizer_path("byte_bpe_50k.json")
+    folder = token_files.write_token_files(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, store_bytes=1 << 14)
+    parts = [r["sum(tokens)"] for r in spark.read.parquet(f"{folder}/blocks").groupBy("part").sum("tokens").collect()]
+    assert len(parts) == 4 and max(parts) < 0.4 * sum(parts)
+    got = sorted((tuple(r) for r in token_files.read_token_files(spark, folder).collect()), key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
+    crc = lambda t: zlib.crc32(_ids(path, t, 0).tobytes())
+    assert Counter((r[0], r[3]) for r in got) == Counter((i, crc(t)) for i, t in rows)
+
+
 def test_unknown_vocabularies_go_to_the_library(spark, tmp_path):
     import json
 
