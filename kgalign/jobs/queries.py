@@ -163,6 +163,15 @@ def dictionary(spark, d):
     return graph.dictionary(graph.entity_names(attribute_triples(spark, d), relation_triples(spark, d)))
 
 
+@_query("dictionary_of_given_entities", f"""WITH {REL}, {ATTR}, n AS (SELECT 'nation/'||n_nationkey AS name, 0 AS stage, CAST(n_nationkey AS BIGINT) AS pos, 0 AS side FROM nation
+UNION ALL SELECT subj, 1, pos, 1 FROM attr UNION ALL SELECT subj, 2, pos, 2 FROM rel UNION ALL SELECT obj, 2, pos, 3 FROM rel),
+f AS (SELECT name, min(row(stage, pos, side)) AS num FROM n GROUP BY name) SELECT row_number() OVER (ORDER BY num, name) - 1 AS id, name FROM f""")
+def dictionary_of_given_entities(spark, d):
+    """Entities of a given list come first."""
+    given = table(spark, d, "nation").select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("name"), F.col("n_nationkey").alias("pos"))
+    return graph.dictionary(graph.entity_names(attribute_triples(spark, d), relation_triples(spark, d), given))
+
+
 @_query("adjacency", f"""WITH {REL}, a AS (SELECT subj, pred, obj, pos, 'out' AS direction FROM rel UNION ALL SELECT obj, pred||'-inv', subj, pos, 'in' FROM rel)
 SELECT subj, pred, direction, count(*) AS n, min(obj) AS first_obj FROM a GROUP BY ALL""")
 def adjacency(spark, d):
@@ -179,6 +188,13 @@ def word_blocks(spark, d):
     return graph.word_blocks(attribute_triples(spark, d)).groupBy("word").agg(F.count("*").alias("entities"), F.min("entity").alias("first_entity"))
 
 
+@_query("small_word_blocks", f"WITH {ATTR}, w AS (SELECT DISTINCT unnest({_WORDS}) AS word, subj FROM (SELECT subj, obj[2:-2] AS text FROM attr)) SELECT word, string_agg(subj, ' ' ORDER BY subj) AS entities FROM w GROUP BY word HAVING count(*) <= 40")
+def small_word_blocks(spark, d):
+    """Blocks of the words that at most 40 entities share, each a sorted list."""
+    pairs = graph.word_blocks(attribute_triples(spark, d), 40)
+    return graph.blocks(pairs, "word").select("word", F.array_join("entities", " ").alias("entities"))
+
+
 @_query("fact_order", f"WITH {REL}, {ordered('rel', 'facts')} SELECT subj, pred, obj, pos, rank FROM facts")
 def fact_order(spark, d):
     return graph.ordered_facts(relation_triples(spark, d)).select("subj", "pred", "obj", "pos", F.col("rank").cast("long").alias("rank"))
@@ -248,6 +264,18 @@ def resolved_triples(spark, d):
     return resolve.resolve_triples(ids, ents, rels)[0]
 
 
+@_query("unresolved_triples", "SELECT o_orderkey AS h, 0 AS r, o_custkey AS t FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+def unresolved_triples(spark, d):
+    """The triples of which an id is not in the dictionary: here those of one segment's customers."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
+    shift = 10**12
+    ents = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("name")).unionByName(
+        c.select((F.col("c_custkey") + shift).alias("id"), F.col("c_name").alias("name")))
+    rels = spark.createDataFrame([(0, "placed by")], "id long, name string")
+    ids = o.select(F.col("o_orderkey").alias("h"), F.lit(0).cast("long").alias("r"), (F.col("o_custkey") + shift).alias("t"))
+    return resolve.resolve_triples(ids, ents, rels)[1].withColumn("t", F.col("t") - shift)
+
+
 def _sides(spark, d):
     c = table(spark, d, "customer")
     left = c.select((F.col("c_custkey") - 1).alias("id"), F.col("c_name").alias("name"))
@@ -318,6 +346,12 @@ def link_split(spark, d):
     return splits.split_links(table(spark, d, "customer").select(F.col("c_name").alias("src"), F.upper("c_name").alias("tgt")))
 
 
+@_query("given_split", """SELECT c_name AS src, upper(c_name) AS tgt, 'train' AS part FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT c_name, upper(c_name), 'test' FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+def given_split(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_name").alias("src"), F.upper("c_name").alias("tgt"), "c_mktsegment")
+    return splits.given_split(c.where("c_mktsegment = 'BUILDING'"), c.where("c_mktsegment <> 'BUILDING'"))
+
+
 # --- texts -------------------------------------------------------------------------------------------
 
 _ENTITIES = "ents AS (SELECT DISTINCT name FROM (SELECT subj AS name FROM rel UNION ALL SELECT obj FROM rel UNION ALL SELECT subj FROM attr))"
@@ -597,14 +631,34 @@ def _count(question: str) -> str:
     return f"{len(question)} characters"
 
 
+def _short_count(question: str) -> str:
+    if len(question) > 4000:
+        raise RuntimeError("too long")
+    return _count(question)
+
+
+def _named_documents(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"))
+
+
 @_query("enriched_texts", f"""WITH q AS (SELECT doc_id AS id, 'doc/'||doc_id AS name, {_prompt_sql("short", "'doc/'||doc_id", "text")} AS q FROM documents), a AS (SELECT *, chr(9)||right(q, 20)||'!' AS answer FROM q)
 SELECT id, name, CASE WHEN length(q) > 2000 THEN length(q)||' characters' ELSE replace(trim(replace(replace(answer, chr(13), ''), chr(10), ''), ' '||chr(9)||chr(11)||chr(12)), chr(9), ' ') END AS content FROM a""")
 def enriched_texts(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"))
-    good, _ = enrich.with_fallback(docs, _end, _count, kind="short", tries=2)
+    """In two runs: the first stops after one chunk of three, the second asks only for the rest."""
+    docs, path = _named_documents(spark, d), new_folder(spark, "answers")
+    options = {"kind": "short", "tries": 2, "chunk_rows": docs.count() // 3 + 1}
+    enrich.with_fallback(docs, _end, _count, path, max_chunks=1, **options)
+    good, _ = enrich.with_fallback(docs, _end, _count, path, **options)
     return good
 
 
+@_query("failed_texts", f"""WITH q AS (SELECT doc_id AS id, 'doc/'||doc_id AS name, text AS content, {_prompt_sql("short", "'doc/'||doc_id", "text")} AS q FROM documents)
+SELECT id, name, content FROM q WHERE length(q) > 4000""")
+def failed_texts(spark, d):
+    """What both models failed on."""
+    return enrich.with_fallback(_named_documents(spark, d), _end, _short_count, kind="short", tries=1)[1]
+
+
 @_query("summarized_texts", f"""WITH q AS (SELECT doc_id AS id, {_prompt_sql("summary", "''", "text")} AS q FROM documents)
 SELECT id, CASE WHEN length(q) <= 2000 THEN replace(trim(replace(replace(chr(9)||right(q, 20)||'!', chr(13), ''), chr(10), ''), ' '||chr(9)||chr(11)||chr(12)), chr(9), ' ') END AS summary, CASE WHEN length(q) > 2000 THEN 'error' ELSE 'ok' END AS status FROM q""")
 def summarized_texts(spark, d):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unquote, words
-from ..storage import written
+from ..storage import free_name, written
 
 
 def functionality(triples: DataFrame) -> DataFrame:
@@ -21,14 +21,15 @@ def functional(triples: DataFrame, least: float = 0.9) -> DataFrame:
     return triples.join(kept, "pred", "left_semi")
 
 
-def dense_ids(rows: DataFrame, order: list[str], out: str = "id") -> DataFrame:
+def dense_ids(rows: DataFrame, order: list, out: str = "id") -> DataFrame:
     """``rows`` with a gapless number from 0 in ``order``: sorted by range, then counts of the ranges before."""
-    ordered = written(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
-    ranges = ordered.groupBy(F.shiftright("_m", 33).alias("_p")).agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    ranges = ranges.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = ordered.withColumn("_p", F.shiftright("_m", 33)).join(ranges, "_p")
-    return numbered.withColumn(out, (F.col("_before") + F.col("_m").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_m", "_p", "_before")
+    m, p, n = (free_name(rows, c) for c in ("_m", "_p", "_n"))
+    ordered = written(rows.orderBy(*order).withColumn(m, F.monotonically_increasing_id()))
+    ranges = ordered.groupBy(F.shiftright(m, 33).alias(p)).agg(F.count("*").alias(n))
+    before = Window.orderBy(p).rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    ranges = ranges.select(p, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n))
+    numbered = ordered.withColumn(p, F.shiftright(m, 33)).join(ranges, p)
+    return numbered.withColumn(out, (F.col(n) + F.col(m).bitwiseAND((1 << 33) - 1)).cast("long")).drop(m, p, n)
 
 
 def dictionary(names: DataFrame) -> DataFrame:
@@ -87,30 +88,61 @@ def ordered_facts(triples: DataFrame) -> DataFrame:
     return known.withColumn("rank", F.row_number().over(w)).drop("_pred_at", "_obj_at")
 
 
-def keyed(facts: DataFrame, max_keys: int | None = None, max_values: int | None = None) -> DataFrame:
-    """``subj, pred, key_rank, vals, n`` from ``subj, pred, obj, rank``: values in order, keys by their first fact.
+def first_keys(triples: DataFrame, max_keys: int | None = None, least_functionality: float | None = None) -> DataFrame:
+    """``subj, pred, key_rank, n, total``: a subject's predicates in the order of facts, ``max_keys`` at most; ``n`` facts of ``total``.
 
-    Values beyond ``max_values`` and keys beyond ``max_keys`` go before anything is
-    collected; ``n`` counts all values. A null ``obj`` keeps its key without a value.
+    The order of facts is that of their predicates first, so no fact is ranked: counts by subject and predicate, combined before
+    they are shuffled, say it all, and a subject has as many rows as predicates.
     """
-    of_key, of_subject = Window.partitionBy("subj", "pred"), Window.partitionBy("subj")
-    rows = facts.withColumns({
-        "key_rank": F.min("rank").over(of_key), "n": F.count("obj").over(of_key),
-        "_at": F.row_number().over(of_key.orderBy(F.col("obj").isNull(), "rank")),
-    })
-    rows = rows.withColumn("key_rank", F.dense_rank().over(of_subject.orderBy("key_rank")))
-    if max_keys is not None:
-        rows = rows.where(F.col("key_rank") <= max_keys)
+    each = written(triples.groupBy("pred", "subj").agg(F.count("*").alias("n"), F.min("pos").alias("at")))
+    preds = each.groupBy("pred").agg((-F.count("*") / F.sum("n")).alias("f"), F.min("at").alias("pred_at"))
+    key = F.struct("f", "pred_at", "pred", "n")
+    if least_functionality is not None:
+        key = F.when(F.col("f") < -least_functionality, key)
+    packed = each.join(preds, "pred").groupBy("subj").agg(F.sort_array(F.collect_list(key)).alias("k"), F.sum("n").alias("total"))
+    first = F.col("k") if max_keys is None else F.slice("k", 1, max_keys)
+    return packed.select("subj", "total", F.posexplode(first).alias("at", "k")).select("subj", "k.pred", (F.col("at") + 1).alias("key_rank"), "k.n", "total")
+
+
+def keyed(
+    triples: DataFrame, max_keys: int | None = None, max_values: int | None = None, short: bool = False, least_functionality: float | None = None,
+    many: int = 10, longest: int = 20,
+) -> DataFrame:
+    """``subj, pred, key_rank, vals, n``: the first keys of each subject with their values, both in the order of facts.
+
+    With ``max_values`` only the first ones of a key are shuffled, those of each task; ``n`` counts all. With ``short``, values are
+    literals, and those over ``longest`` characters are left out where the subject has more than ``many`` facts; their keys stay.
+    """
+    # A table of its own, so that the join with a hub's many facts can be split.
+    objs = written(triples.groupBy("obj").agg(F.min("pos").alias("obj_at")))
+    facts = triples.select("subj", "pred", "obj", "pos").join(objs, "obj")
+    value = unquote(F.col("obj")) if short else F.col("obj")
+    facts = facts.select("subj", "pred", "obj_at", "obj", "pos", value.alias("value"), (F.length(value) > longest if short else F.lit(False)).alias("long"))
     if max_values is not None:
-        rows = rows.where(F.col("_at") <= max_values)
-    packed = rows.groupBy("subj", "pred", "key_rank", "n").agg(F.sort_array(F.collect_list(F.when(F.col("obj").isNotNull(), F.struct("rank", "obj")))).alias("_v"))
-    return packed.select("subj", "pred", "key_rank", F.transform("_v", lambda x: x["obj"]).alias("vals"), "n")
+        # Of long and of short values, as it is not known here which will do.
+        first = F.row_number().over(Window.partitionBy("subj", "pred", "long").orderBy("obj_at", "obj", "pos"))
+        facts = facts.withColumn("place", first).where(F.col("place") <= max_values)
+    rows = facts.join(first_keys(triples, max_keys, least_functionality), ["subj", "pred"])
+    shown = F.when(~(F.col("long") & (F.col("total") > many)), F.struct("obj_at", "obj", "pos", "value"))
+    packed = rows.groupBy("subj", "pred").agg(F.sort_array(F.collect_list(shown)).alias("v"), F.first("key_rank").alias("key_rank"), F.first("n").alias("n"))
+    vals = F.transform("v" if max_values is None else F.slice("v", 1, max_values), lambda x: x["value"])
+    return packed.select("subj", "pred", "key_rank", vals.alias("vals"), (F.size("v").cast("long") if max_values is None else F.col("n")).alias("n"))
 
 
-def short_values(facts: DataFrame, many: int = 10, longest: int = 20) -> DataFrame:
-    """Of an entity with more than ``many`` facts, values over ``longest`` characters become null; their keys stay."""
-    n = F.count("*").over(Window.partitionBy("subj"))
-    return facts.withColumn("obj", F.when((n > many) & (F.length("obj") > longest), None).otherwise(F.col("obj")))
+def in_keys(relations: DataFrame, max_keys: int | None = None, max_values: int = 3) -> DataFrame:
+    """``subj, pred, key_rank, vals, n`` of in-edges in file order: each entity's first relations, with the first neighbours of each; ``n`` counts all.
+
+    Of a hub's edges each task shuffles the first ones of a relation alone.
+    """
+    edges = relations.select(F.col("obj").alias("subj"), "pred", F.col("subj").alias("obj"), "pos")
+    counts = edges.groupBy("subj", "pred").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    packed = counts.groupBy("subj").agg(F.sort_array(F.collect_list(F.struct("first", "pred", "n"))).alias("k"))
+    first = F.col("k") if max_keys is None else F.slice("k", 1, max_keys)
+    keys = packed.select("subj", F.posexplode(first).alias("at", "k")).select("subj", "k.pred", (F.col("at") + 1).alias("key_rank"), "k.n")
+    place = F.row_number().over(Window.partitionBy("subj", "pred").orderBy("pos", "obj"))
+    some = edges.withColumn("place", place).where(F.col("place") <= max_values).join(keys, ["subj", "pred"])
+    lists = some.groupBy("subj", "pred").agg(F.sort_array(F.collect_list(F.struct("pos", "obj"))).alias("v"), F.first("key_rank").alias("key_rank"), F.first("n").alias("n"))
+    return lists.select("subj", "pred", "key_rank", F.transform("v", lambda x: x["obj"]).alias("vals"), "n")
 
 
 def property_table(attributes: DataFrame, least_functionality: float | None = None, entities: DataFrame | None = None) -> DataFrame:
@@ -118,11 +150,7 @@ def property_table(attributes: DataFrame, least_functionality: float | None = No
 
     With ``entities(id, name)`` also ``ent_id``, and a row without a property for each entity that has none.
     """
-    facts = ordered_facts(attributes).withColumn("obj", unquote(F.col("obj")))
-    facts = short_values(facts)
-    if least_functionality is not None:
-        facts = facts.where(F.col("functionality") > least_functionality)
-    table = keyed(facts)
+    table = keyed(attributes, short=True, least_functionality=least_functionality)
     if entities is None:
         return table
     names = entities.select(F.col("id").alias("ent_id"), F.col("name").alias("subj"))
@@ -154,17 +182,3 @@ def relation_table(relations: DataFrame) -> DataFrame:
     back = back.join(keys, ["subj", "pred"]).withColumn("place", (F.col("_at") - F.col("_start") + 1).cast("int"))
     names = ["subj", "pred", "direction", "key_rank", "place", "obj", "n"]
     return out.select(*names).unionByName(back.select(*names))
-
-
-def capped_in_edges(relations: DataFrame, neighbours: int = 3) -> DataFrame:
-    """The first in-edges of each entity and predicate in file order, with ``n``, the count of all.
-
-    A hub's edges are cut in two stages: within parts of its edges, then over what
-    these keep, so no task holds them all.
-    """
-    edges = relations.select(F.col("obj").alias("subj"), "pred", F.col("subj").alias("obj"), "pos")
-    counts = edges.groupBy("subj", "pred").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    part = Window.partitionBy("subj", "pred", F.pmod(F.xxhash64("obj"), F.lit(64))).orderBy("pos", "obj")
-    some = edges.withColumn("_at", F.row_number().over(part)).where(F.col("_at") <= neighbours)
-    some = some.withColumn("_at", F.row_number().over(Window.partitionBy("subj", "pred").orderBy("pos", "obj"))).where(F.col("_at") <= neighbours)
-    return some.drop("_at").join(counts, ["subj", "pred"])

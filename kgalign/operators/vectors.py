@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..storage import workers_find_package
+from ..storage import workers_find_package, written
 
 
 def normalized(embedding: Column) -> Column:
@@ -116,15 +116,25 @@ def hashed_encoder(dims: int = 64, seed: int = 0) -> Callable[[list[str]], list]
 
 
 def encoded(texts: DataFrame, encoder: Callable, batch: int = 256) -> DataFrame:
-    """``id, embedding`` of ``texts(id, content)``: ``encoder(list of str) -> array`` sees words parted by single spaces."""
+    """``id, embedding`` of ``texts(id, content)``: ``encoder(list of str) -> array`` sees words parted by single spaces.
+
+    A batch holds texts of one class of lengths, the longest less than twice the shortest, so that an encoder that fills
+    them up to the longest wastes less than half. The result is written at once: each text is encoded once.
+    """
     workers_find_package(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         for rows in batches:
-            for i in range(0, rows.num_rows, batch):
-                part = rows.slice(i, batch)
-                found = encoder(part.column(1).to_pylist())
+            kind = rows.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
+            for i in (i for a, b in zip(edges, edges[1:]) for i in range(a, b, batch)):
+                part = rows.slice(i, min(batch, next(e for e in edges if e > i) - i))
+                found = encoder(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(map(float, v)) for v in found], pa.list_(pa.float64()))], names=["id", "embedding"])
 
     plain = texts.select("id", F.array_join(words(F.col("content")), " ").alias("content"))
-    return plain.mapInArrow(run, "id long, embedding array<double>")
+    # Of 1 word of text, 2 to 3, 4 to 7, ...; sorted where they are, without a shuffle.
+    sized = plain.select("id", F.floor(F.log2(F.length("content") + 1)).cast("int").alias("kind"), "content").sortWithinPartitions("kind")
+    return written(sized.mapInArrow(run, "id long, embedding array<double>"))

@@ -42,6 +42,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """What steps inside leave behind is removed at the end; the results must have been written by then."""
@@ -65,6 +70,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it where ``df`` has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = "_" + name
+    return name
+
+
 def workers_find_package(spark: SparkSession) -> None:
     """Python workers look for the package where the driver found it; a cluster may ship it by --py-files."""
     home, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment

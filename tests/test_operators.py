@@ -224,3 +224,181 @@ def test_shares_of_rows_pass_no_single_task(spark, order):
     want = sorted(texts_.collect(), key=lambda r: (len(r.content), r.name))[:10]
     assert {r.name for r in short.collect()} == {r.name for r in want}
     assert all("Limit" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (got, short))
+
+
+def _hub(spark, n=3000):
+    """A subject with many facts over several predicates, spread over files, and its in-edges."""
+    rel = [("hub", f"r{i % 12}", f"o{i * 7 % n}", i) for i in range(n)] + [(f"s{i}", f"q{i % 12}", "hub", n + i) for i in range(n)] + [("s1", "r3", "o5", 9 * n)]
+    return spark.createDataFrame(rel, "subj string, pred string, obj string, pos long").repartition(7)
+
+
+def _plans(build):
+    """The text of all plans that ran while ``build`` made and wrote its result."""
+    from kgalign import storage as st
+
+    plans, old = [], st.written
+
+    def told(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().executedPlan().toString())
+        return old(df)
+
+    for module in (graph, texts, splits, enrich, vectors, matching):
+        module.written = told
+    try:
+        told(build())
+    finally:
+        for module in (graph, texts, splits, enrich, vectors, matching):
+            module.written = old
+    return plans
+
+
+def test_no_window_takes_all_facts_of_a_subject(spark):
+    """Texts are made of first keys and first values; what is cut is cut in each task before it is shuffled."""
+    rel = storage.written(_hub(spark))
+    attr = storage.written(rel.select("subj", "pred", F.concat(F.lit('"'), "obj", F.lit('"')).alias("obj"), "pos"))
+    ents = rel.select(F.col("subj").alias("name")).distinct()
+    for build in (lambda: texts.attribute_text(ents, attr), lambda: texts.relation_text(ents, rel), lambda: texts.attribute_relation_text(ents, attr, rel)):
+        plans = _plans(build)
+        for plan in plans:
+            for line in plan.splitlines():
+                if "Window [" in line:
+                    assert "windowspecdefinition(subj#" in line and ", pred#" in line.split("windowspecdefinition(subj#")[1].split("ASC")[0], line
+    plan = "".join(plans)
+    assert plan.count("WindowGroupLimit") >= 3 and "Partial" in plan
+
+
+def test_first_values_of_a_hub(spark):
+    rel = _hub(spark)
+    rows = rel.collect()
+    first = {}
+    for r in rows:
+        first[r.obj] = min(first.get(r.obj, 10**9), r.pos)
+    for most in (None, 2):
+        got = {(r.pred): (r.key_rank, r.vals, r.n) for r in graph.keyed(rel, 8, most).where("subj = 'hub'").collect()}
+        of = lambda p: [r for r in rows if r.subj == "hub" and r.pred == p]
+        f = {p: len({r.subj for r in rows if r.pred == p}) / len([r for r in rows if r.pred == p]) for p in {r.pred for r in rows}}
+        preds = sorted({r.pred for r in rows if r.subj == "hub"}, key=lambda p: (-f[p], min(r.pos for r in rows if r.pred == p), p))[:8]
+        want = {p: (k + 1, [r.obj for r in sorted(of(p), key=lambda r: (first[r.obj], r.obj, r.pos))][:most], len(of(p))) for k, p in enumerate(preds)}
+        assert got == want
+    back = {r.pred: (r.key_rank, r.vals, r.n) for r in graph.in_keys(rel, 8, 3).where("subj = 'hub'").collect()}
+    into = lambda p: sorted((r.pos, r.subj) for r in rows if r.obj == "hub" and r.pred == p)
+    preds = sorted({r.pred for r in rows if r.obj == "hub"}, key=lambda p: (into(p)[0][0], p))[:8]
+    assert back == {p: (k + 1, [s for _, s in into(p)[:3]], len(into(p))) for k, p in enumerate(preds)}
+
+
+def _asked(folder):
+    from collections import Counter
+
+    return Counter(line for f in folder.iterdir() for line in f.read_text().splitlines())
+
+
+def _told(folder):
+    """A model that writes down each question, and kills its worker at the question that holds ``stop``, unless told not to."""
+    path = str(folder)
+
+    def model(question):
+        import os
+
+        last = question.rsplit(" ", 1)[-1]
+        if last == "stop" and not os.path.exists(path + "-go"):
+            os._exit(1)
+        with open(f"{path}/{os.getpid()}", "a") as f:
+            f.write(last + "\n")
+        if last.startswith("bad"):
+            raise RuntimeError("no")
+        return f"answer {last}"
+
+    return model
+
+
+def test_answers_of_whole_chunks_survive_a_crash(spark, tmp_path):
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    rows = [(i, f"n{i}", f"t{i}") for i in range(90)] + [(91, "n91", "bad1"), (1, "n1", "t1"), (None, "null", "t0"), (93, "n93", None)]
+    # The question that kills its worker is in the third chunk of five.
+    key = F.md5(F.concat_ws(":", "id", F.concat(F.lit("Say n"), "id", F.lit(": stop"))))
+    stop = spark.range(100, 200).where(F.pmod(F.xxhash64(key), F.lit(5)) == 2).first().id
+    rows.append((stop, f"n{stop}", "stop"))
+    t = spark.createDataFrame(rows, "id long, name string, content string")
+    path, options = str(tmp_path / "store"), {"kind": "simple", "prompts": {"simple": "Say {name}: "}, "tries": 1, "chunk_rows": 20, "workers": 2}
+    store = enrich.AnswerStore(spark, path)
+    with pytest.raises(Exception):  # noqa: B017
+        enrich.enriched(t, _told(folder), path=path, **options)
+    kept, before = {r.key: r.answer for r in store.answers().collect()}, _asked(folder)
+    chunks = store.manifest().collect()
+    assert len(chunks) == 2 and 0 < len(kept) < 92 and len(kept) == sum(r["rows"] for r in chunks)
+    # Half-written answers, as a run may leave them, are not read.
+    spark.createDataFrame([("k", "half", "ok")], "key string, answer string, status string").write.parquet(f"{path}/answers/chunk=half")
+    assert store.answers().count() == len(kept)
+    (tmp_path / "asked-go").touch()
+    got = enrich.enriched(t, _told(folder), path=path, **options).collect()
+    after = _asked(folder)
+    assert len(got) == len(rows) and sorted(r.content or "" for r in got) == sorted(r[2] or "" for r in rows)
+    assert all((r.status, r.answer) == (("error", None) if r.content == "bad1" else ("ok", f"answer {r.content}" if r.content else "answer")) for r in got)
+    # Of the chunk that broke, some questions are asked again; those of committed chunks are not, nor is a row that stands twice.
+    again = {q for q in after if after[q] > 1} - {"t0"}
+    assert {r.key: r.answer for r in store.answers().collect()}.items() >= kept.items()
+    assert sum(after.values()) - sum(before.values()) == 94 - len(kept) and len(again) <= 20 + 1
+    total = sum(after.values())
+    enrich.enriched(t, _told(folder), path=path, **options)
+    assert sum(_asked(folder).values()) == total  # nothing is left to ask
+    enrich.enriched(t, _told(folder), path=path, again=True, **options)
+    assert sum(_asked(folder).values()) == total + 1  # what failed
+    changed = t.where("id = 5").withColumn("content", F.lit("new"))
+    assert [r.answer for r in enrich.enriched(changed, _told(folder), path=path, **options).collect()] == ["answer new"]
+    assert sum(_asked(folder).values()) == total + 2
+
+
+def test_a_run_may_stop_after_some_chunks(spark, tmp_path):
+    t = spark.range(50).selectExpr("id", "concat('n', id) AS name", "'x' AS content")
+    path = str(tmp_path / "store")
+    got = enrich.enriched(t, str.upper, path=path, chunk_rows=20, max_chunks=1, tries=1)
+    n = got.where("status = 'ok'").count()
+    assert 0 < n < 50 and got.count() == 50 and got.where("status is null").count() == 50 - n
+    good, bad = enrich.with_fallback(t, str.upper, str.lower, str(tmp_path / "both"), chunk_rows=20, tries=1)
+    assert good.count() == 50 and bad.count() == 0
+    assert enrich.enriched(t.limit(0), str.upper, path=str(tmp_path / "none")).count() == 0
+
+
+def test_texts_are_encoded_once_and_by_classes_of_length(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def encoder(batch):
+        import os
+        import uuid
+
+        import numpy as np
+
+        with open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w") as f:
+            f.write("\n".join(batch))
+        return np.array([[len(t), 1.0] for t in batch])
+
+    t = spark.range(200).select("id", F.expr("trim(repeat('ab ', cast(id % 40 as int)))").alias("content")).repartition(3)
+    v = vectors.reduced(vectors.encoded(t, encoder, batch=8), 2)
+    assert v.count() == 200 and v.count() == 200
+    batches = [f.read_text().split("\n") for f in tmp_path.iterdir()]
+    assert sum(map(len, batches)) == 200 and all(len(b) <= 8 and max(map(len, b)) + 1 < 2 * (min(map(len, b)) + 1) for b in batches)
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_selection_equals_a_sort(spark, small, monkeypatch):
+    monkeypatch.setattr(splits, "SMALL", small)
+    monkeypatch.setattr(splits, "BUCKETS", 8)
+    rng = np.random.default_rng(3)
+    number = [float(x) for x in np.round(rng.pareto(0.5, 300), 2)] + [7.0] * 100 + [float("-inf"), float("inf"), 1e308, -1e308, 5e-324, 0.0, -0.0]
+    rows = [(i, x) for i, x in enumerate(number)]
+    df = spark.createDataFrame(rows, "id long, _x double")
+    order = [i for i, _ in sorted(rows, key=lambda r: (r[1], r[0]))]
+    for cuts in ([], [0], [1], [50], [150, 151], [200, 250], [406, 407], [407], [3, 100, 300]):
+        got = {r.id: r.past for r in splits.cut_rows(df, F.col("_x"), ["_x", "id"], cuts, "past").collect()}
+        assert got == {i: sum(c <= at for c in cuts) for at, i in enumerate(order)}
+    assert splits.cut_rows(df.limit(0), F.col("_x"), ["_x", "id"], [0], "past").count() == 0
+
+
+def test_choices_keep_columns_of_any_name(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("name"), *[F.lit(c).alias(c) for c in ("_at", "_h", "_m", "_p", "_n", "_cut", "_x", "_place")])
+    got = splits.sampled(df, 0.4, ["name"]).collect()
+    assert len(got) == 18 and all(r[c] == c for r in got for c in df.columns[1:])
+    missing = spark.createDataFrame([(1, None), (2, float("nan")), (3, 0.5), (4, 0.9)], "id long, difficulty double")
+    assert [r.id for r in splits.hard_entities(missing, 0.5).orderBy("id").collect()] == [2, 4]
+    assert [r.id for r in splits.hard_entities(missing, 0.5, "easy").orderBy("id").collect()] == [1, 3]
