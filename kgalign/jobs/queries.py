@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import enrich, graph, matching, resolve, splits, texts, tokens, vectors
+from ..operators import enrich, graph, matching, pruning, resolve, splits, texts, tokens, vectors
 from ..sources import files
 from ..storage import new_folder, written
 from .kg import ATTR, REL, attribute_triples, ordered, relation_triples, table
@@ -501,6 +501,13 @@ for _metric, _expr in {
         source, target, _ = _sides_of_vectors(spark, d)
         return matching.top_candidates(source, target, 10, metric).select("src", "tgt", F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
 
+    @_query(f"pruned_candidates_{_metric}", _sql[f"top_candidates_{_metric}"])
+    def pruned_candidates(spark, d, metric=_metric):
+        """The same rows, without the blocks that can't hold them."""
+        source, target, _ = _sides_of_vectors(spark, d)
+        found = pruning.pruned_candidates(source, target, 10, metric, block_rows=64)
+        return found.select("src", "tgt", F.round("sim", 6).alias("sim"), F.col("place").cast("long").alias("place"))
+
 
 _CSLS = f"""WITH {_VECS}, r1 AS (SELECT src, avg(v) AS r FROM (SELECT src, v, row_number() OVER (PARTITION BY src ORDER BY v DESC) AS num FROM sim) WHERE num <= 10 GROUP BY src),
 r2 AS (SELECT tgt, avg(v) AS r FROM (SELECT tgt, v, row_number() OVER (PARTITION BY tgt ORDER BY v DESC) AS num FROM sim) WHERE num <= 10 GROUP BY tgt), c AS (SELECT src, tgt, round(2 * v - r1.r - r2.r, 12) AS v FROM sim JOIN r1 USING (src) JOIN r2 USING (tgt))"""
@@ -512,6 +519,12 @@ def csls_matches(spark, d):
     return matching.greedy_matches(source, target, csls_k=10).select("src", "tgt", F.round("sim", 6).alias("sim"))
 
 
+@_query("pruned_csls_matches", _sql["csls_matches"])
+def pruned_csls_matches(spark, d):
+    source, target, _ = _sides_of_vectors(spark, d)
+    return pruning.pruned_candidates(source, target, 1, block_rows=64, csls_k=10).select("src", "tgt", F.round("sim", 6).alias("sim"))
+
+
 @_query("neighbourhood_means", f"{_CSLS} SELECT src AS id, round(r, 6) AS r FROM r1 UNION ALL SELECT tgt, round(r, 6) FROM r2")
 def neighbourhood_means(spark, d):
     source, target, _ = _sides_of_vectors(spark, d)
@@ -584,6 +597,21 @@ def reduced_vectors(spark, d):
     return pairs.select("id", "other", F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6).alias("product"))
 
 
+@_query("truncated_vectors", """WITH e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[])[1:12] AS e FROM embeddings), k AS (SELECT id, id + j AS other FROM e, range(1, 6) q(j))
+SELECT k.id, k.other, round(list_cosine_similarity(a.e, b.e), 6) AS product FROM k JOIN e a ON k.id = a.id JOIN e b ON k.other = b.id""")
+def truncated_vectors(spark, d):
+    """Vectors of 64 numbers and rank 12 in 12 directions, found without their 64 x 64 sum: products stay."""
+    times = lambda k: F.transform(F.slice("embedding", 1, 12), lambda x: x * k)
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice(F.concat(*map(times, range(1, 7))), 1, 64).alias("embedding"))
+    # The last copy is cut after 4 numbers, so these weigh more; scaled down, all weigh alike.
+    weight = F.array(*[F.lit((55 + (36 if i < 4 else 0)) ** -0.5) for i in range(12)] * 6)
+    v = v.withColumn("embedding", F.zip_with("embedding", F.slice(weight, 1, 64), lambda x, w: x.cast("double") * w))
+    v = written(vectors.reduced(written(v), 12, max_gram=16))
+    pairs = v.select("id", F.col("embedding").alias("x"), F.explode(F.expr("transform(sequence(1, 5), j -> id + j)")).alias("other"))
+    pairs = pairs.join(v.select(F.col("id").alias("other"), F.col("embedding").alias("y")), "other")
+    return pairs.select("id", "other", F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6).alias("product"))
+
+
 _HASHED = f"""WITH w AS (SELECT doc_id AS id, unnest({_WORDS}) AS word FROM documents), h AS (SELECT id, CAST('0x'||md5('0:'||word)[:8] AS BIGINT) AS h FROM w),
 v AS (SELECT id, h % 64 AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS x FROM h GROUP BY ALL)"""
 

@@ -113,19 +113,23 @@ def keyed(
     With ``max_values`` only the first ones of a key are shuffled, those of each task; ``n`` counts all. With ``short``, values are
     literals, and those over ``longest`` characters are left out where the subject has more than ``many`` facts; their keys stay.
     """
-    # A table of its own, so that the join with a hub's many facts can be split.
-    objs = written(triples.groupBy("obj").agg(F.min("pos").alias("obj_at")))
-    facts = triples.select("subj", "pred", "obj", "pos").join(objs, "obj")
-    value = unquote(F.col("obj")) if short else F.col("obj")
-    facts = facts.select("subj", "pred", "obj_at", "obj", "pos", value.alias("value"), (F.length(value) > longest if short else F.lit(False)).alias("long"))
+    # Names often begin alike, so rows are brought together by hashes first, which a sort tells apart at once.
+    of_key, of_obj = F.xxhash64("subj", "pred").alias("key_h"), F.xxhash64("obj").alias("obj_h")
+    # Tables of their own, so that the joins with a hub's many facts can be split.
+    objs = written(triples.groupBy("obj").agg(F.min("pos").alias("obj_at")).select(of_obj, "obj", "obj_at"))
+    keys = written(first_keys(triples, max_keys, least_functionality).select(of_key, "*"))
+    value = (lambda c: unquote(c)) if short else (lambda c: c)
+    long = F.length(value(F.col("obj"))) > longest if short else F.lit(False)
+    facts = triples.select("subj", "pred", of_obj, "obj", "pos").join(objs, ["obj_h", "obj"]).select(of_key, "subj", "pred", "obj_at", "obj", "pos")
     if max_values is not None:
         # Of long and of short values, as it is not known here which will do.
-        first = F.row_number().over(Window.partitionBy("subj", "pred", "long").orderBy("obj_at", "obj", "pos"))
+        first = F.row_number().over(Window.partitionBy("key_h", "subj", "pred", long).orderBy("obj_at", "obj", "pos"))
         facts = facts.withColumn("place", first).where(F.col("place") <= max_values)
-    rows = facts.join(first_keys(triples, max_keys, least_functionality), ["subj", "pred"])
-    shown = F.when(~(F.col("long") & (F.col("total") > many)), F.struct("obj_at", "obj", "pos", "value"))
-    packed = rows.groupBy("subj", "pred").agg(F.sort_array(F.collect_list(shown)).alias("v"), F.first("key_rank").alias("key_rank"), F.first("n").alias("n"))
-    vals = F.transform("v" if max_values is None else F.slice("v", 1, max_values), lambda x: x["value"])
+    rows = facts.join(keys, ["key_h", "subj", "pred"])
+    shown = F.struct("obj_at", "obj", "pos")
+    shown = F.when(~(long & (F.col("total") > many)), shown) if short else shown
+    packed = rows.groupBy("key_h", "subj", "pred").agg(F.sort_array(F.collect_list(shown)).alias("v"), F.first("key_rank").alias("key_rank"), F.first("n").alias("n"))
+    vals = F.transform("v" if max_values is None else F.slice("v", 1, max_values), lambda x: value(x["obj"]))
     return packed.select("subj", "pred", "key_rank", vals.alias("vals"), (F.size("v").cast("long") if max_values is None else F.col("n")).alias("n"))
 
 

@@ -19,6 +19,8 @@ from ..storage import workers_find_package, written
 
 BLOCK_ROWS = 1024
 PLACES = 12
+#: Bytes of the differences of vectors near each other that are held at once.
+NEAR_BYTES = 1 << 24
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
 
 
@@ -32,12 +34,16 @@ def similarity(x, y, metric: str = "inner"):
         unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
         return unit(x) @ unit(y).T
     if metric == "euclidean":
-        both = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :]
-        square = np.maximum(both - 2 * (x @ y.T), 0)
+        # From their middle on, fewer vectors seem near each other.
+        middle = y.mean(axis=0) if len(y) else 0.0
+        p, q = x - middle, y - middle
+        both = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :]
+        square = np.maximum(both - 2 * (p @ q.T), 0)
         # Where little is left of the sum, it is made of the differences themselves: equal vectors have distance 0.
         i, j = np.nonzero(square < both / 64)
-        for at in range(0, len(i), 1 << 16):
-            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        rows = max(1, NEAR_BYTES // (8 * max(1, x.shape[1])))
+        for at in range(0, len(i), rows):
+            a, b = i[at : at + rows], j[at : at + rows]
             square[a, b] = ((x[a] - y[b]) ** 2).sum(1)
         return 1 - np.sqrt(square)
     if metric == "manhattan":

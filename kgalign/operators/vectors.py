@@ -12,6 +12,10 @@ from ..functions.text import words
 from ..storage import workers_find_package, written
 
 
+#: Most dimensions of which the sum of outer products is made; most parts that meet in a group.
+MAX_GRAM, FAN_IN = 4096, 512
+
+
 def normalized(embedding: Column) -> Column:
     """Unit length; a zero vector stays zero."""
     norm = F.sqrt(F.aggregate(embedding, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -47,27 +51,45 @@ def stacked(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.withColumn("kg", F.lit(1)).unionByName(second.withColumn("kg", F.lit(2)))
 
 
-def gram(vectors: DataFrame) -> DataFrame:
-    """The d x d sum of outer products, ``row, vals``: each task makes a partial matrix, whose rows meet as bytes."""
+def _summed(vectors: DataFrame, product: Callable) -> DataFrame:
+    """The sum of ``product(rows as a matrix)`` over all batches, ``row, vals`` as bytes.
+
+    Tasks add up their own batches; their matrices meet row by row in two levels, so that no group takes more than FAN_IN
+    parts, up to FAN_IN ** 2 tasks.
+    """
     import numpy as np
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         total = None
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(0).to_pylist(), dtype=np.float64)
-                total = x.T @ x if total is None else total + x.T @ x
+                part = product(np.array(batch.column(0).to_pylist(), dtype=np.float64))
+                total = part if total is None else total + part
         if total is not None:
-            at = np.arange(len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([v.tobytes() for v in total], pa.binary())], names=["row", "part"])
+            few = np.full(len(total), TaskContext.get().partitionId() // FAN_IN, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(few), pa.array([v.tobytes() for v in total], pa.binary())], names=["row", "few", "vals"])
 
     def summed(key: tuple, parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(p) for p in parts.column("part").to_pylist())
+        total = sum(np.frombuffer(p) for p in parts.column("vals").to_pylist())
         return pa.table({"row": pa.array([key[0].as_py()], pa.int64()), "vals": pa.array([total.tobytes()], pa.binary())})
 
     workers_find_package(vectors.sparkSession)
-    parts = vectors.select("embedding").mapInArrow(run, "row long, part binary")
-    return parts.groupBy("row").applyInArrow(summed, "row long, vals binary")
+    parts = vectors.select("embedding").mapInArrow(run, "row long, few int, vals binary")
+    return parts.groupBy("row", "few").applyInArrow(summed, "row long, vals binary").groupBy("row").applyInArrow(summed, "row long, vals binary")
+
+
+def gram(vectors: DataFrame) -> DataFrame:
+    """The d x d sum of outer products, ``row, vals``, each row's numbers as bytes."""
+    return _summed(vectors, lambda x: x.T @ x)
+
+
+def _collected(rows: DataFrame):
+    """``row, vals`` as a matrix on the driver: d rows."""
+    import numpy as np
+
+    return np.array([np.frombuffer(r["vals"]) for r in sorted(rows.collect(), key=lambda r: r["row"])])
 
 
 def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,18 +101,32 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vals, pa.list_(pa.float64()))], names=["row", "vals"])
 
 
-def reduced(vectors: DataFrame, dims: int) -> DataFrame:
-    """The ``dims`` main directions of all vectors (not centred), rows of unit length."""
+def main_directions(vectors: DataFrame, dims: int, max_gram: int = MAX_GRAM, rounds: int = 4):
+    """The ``dims`` main directions of all vectors (not centred), as columns.
+
+    Up to ``max_gram`` dimensions from the d x d sum of products. Of longer vectors no such sum is made: some more directions
+    than wanted, drawn at random, are multiplied with all vectors and their transposes, round by round, each a d x few sum, which turns
+    them into the main ones; with as many directions as the vectors have rank the result is exact after one round.
+    """
     import numpy as np
 
-    found = gram(vectors).collect()  # d rows of d numbers
-    d = len(found)
-    g = np.zeros((d, d))
-    for r in found:
-        g[r["row"]] = np.frombuffer(r["vals"])
-    values, directions = np.linalg.eigh((g + g.T) / 2)
-    keep = np.argsort(-values)[: min(dims, d)]
-    return mapped(vectors, directions[:, keep], normalize=True)
+    first = vectors.select(F.size("embedding").alias("d")).first()
+    d = first["d"] if first else 0
+    if d <= max_gram:
+        g = _collected(gram(vectors))
+        values, directions = np.linalg.eigh((g + g.T) / 2) if len(g) else (np.zeros(0), np.zeros((d, 0)))
+        return directions[:, np.argsort(-values)[:dims]]
+    q = np.linalg.qr(np.random.default_rng(0).normal(size=(d, min(d, dims + 16))))[0]
+    for _ in range(rounds):
+        shared = vectors.sparkSession.sparkContext.broadcast(q)
+        y = _collected(_summed(vectors, lambda x, shared=shared: x.T @ (x @ shared.value)))
+        q, strengths, _ = np.linalg.svd(y, full_matrices=False)  # strongest first
+    return q[:, :dims]
+
+
+def reduced(vectors: DataFrame, dims: int, max_gram: int = MAX_GRAM) -> DataFrame:
+    """The ``dims`` main directions of all vectors (not centred), rows of unit length; ``vectors`` should be a table."""
+    return mapped(vectors, main_directions(vectors, dims, max_gram), normalize=True)
 
 
 def hashed_encoder(dims: int = 64, seed: int = 0) -> Callable[[list[str]], list]:

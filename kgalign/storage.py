@@ -70,6 +70,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def is_table(df: DataFrame) -> bool:
+    """Whether ``df`` is a table of files as it stands: read again, it has the same rows in the same partitions."""
+    return df._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation"
+
+
+def as_table(df: DataFrame) -> DataFrame:
+    """``df`` if it is a table of files as it stands, else written: for what is read several times."""
+    return df if is_table(df) else written(df)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores before it where ``df`` has such a column."""
     while name.lower() in (c.lower() for c in df.columns):
