@@ -12,8 +12,9 @@ its grams, each order smoothed by the shorter one:
 The filter is cut in parts by the grams' hashes, whose number follows the bytes of the texts, so that a part's
 size doesn't. Grams are counted in tasks, then go to their part packed, many in a row; no gram is hot,
 since a task sends it once for some millions. Where all parts together have at most MAX_BROADCAST bytes,
-they are broadcast and texts are scored where they are read. Beyond that, each chunk of texts sends its different
-grams to the parts, and gets their levels back: the same scores, without anything whole anywhere.
+they are broadcast and texts are scored where they are read. Beyond that, as each worker would hold them all, each chunk of texts
+sends its different grams to the parts, and gets their levels back where its texts, packed, come too: the same scores, without
+anything whole anywhere.
 
 Words are known by 64-bit hashes: among a billion different ones two are taken for one with probability 3 %.
 
@@ -33,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import is_table
 from .common import Scratch, slices
 
 #: Length of the longest grams.
@@ -43,7 +45,7 @@ BITS, PROBES = 12, 8
 #: Weight of the shorter gram's probability, as a count.
 STRENGTH = 2.0
 #: Bytes of text for each part of the model; the most bytes of a model that is broadcast.
-PART_BYTES, MAX_BROADCAST = 8 << 20, 64 << 20
+PART_BYTES, MAX_BROADCAST = 8 << 20, 32 << 20
 PIECE, FLUSH = 1 << 17, 1 << 22
 #: Bytes of a gram's key beside its part.
 KEY_BYTES = 5
@@ -87,7 +89,7 @@ def _place(x, step, i: int, size: int):
     """The bit of the i-th probe, by the low half of a sum."""
     import numpy as np
 
-    return (((x + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * np.uint64(size)) >> np.uint64(32)
+    return (((x + np.uint64(i) * step) & np.uint64(0xFFFFFFFF)) * size) >> np.uint64(32)
 
 
 def build_filter(keys, levels, bits_each: int = BITS) -> tuple[bytes, int, int]:
@@ -101,19 +103,25 @@ def build_filter(keys, levels, bits_each: int = BITS) -> tuple[bytes, int, int]:
     for level in range(1, top + 1):
         x, step = _hashes(keys[levels >= level], level)
         for i in range(PROBES):
-            bits[_place(x, step, i, size)] = True
+            bits[_place(x, step, i, np.uint64(size))] = True
     return np.packbits(bits, bitorder="little").tobytes(), size, top
 
 
-def probe(bits, size: int, top: int, keys):
-    """The level of each key: probes of ``(key, 1)``, ``(key, 2)``, ... until one is absent."""
+def probe(bits, size, top: int, keys, first=None):
+    """The level of each key: probes of ``(key, 1)``, ``(key, 2)``, ... until one is absent.
+
+    ``size`` is the filter's number of bits, or each key's own filter's, which then begin at the bits ``first``.
+    """
     import numpy as np
 
     levels, alive = np.zeros(len(keys), dtype=np.uint8), np.arange(len(keys))
     for level in range(1, top + 1):
         x, step = _hashes(keys[alive], level)
         for i in range(PROBES):
-            at = _place(x, step, i, size)
+            if first is None:
+                at = _place(x, step, i, np.uint64(size))
+            else:
+                at = _place(x, step, i, size[alive]) + first[alive]
             there = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
             if not there.all():
                 alive, x, step = alive[there], x[there], step[there]
@@ -123,27 +131,42 @@ def probe(bits, size: int, top: int, keys):
     return levels
 
 
-class Segment:
-    """A part of the model: its filter, and the exact counts of its words."""
+def exact_counts(words, counts, keys):
+    """Counts of those keys that are among the sorted words, 0 for others."""
+    import numpy as np
 
-    def __init__(self, bits: bytes, size: int, top: int, words: bytes, counts: bytes):
-        import numpy as np
+    if not len(words):
+        return np.zeros(len(keys), dtype=np.int64)
+    at = np.searchsorted(words, keys)
+    at[at == len(words)] = 0
+    return np.where(words[at] == keys, counts[at], 0)
 
-        self.bits, self.size, self.top = np.frombuffer(bits, dtype=np.uint8), size, top
-        self.words, self.counts = np.frombuffer(words, dtype="<u8"), np.frombuffer(counts, dtype="<i8")
 
-    def levels(self, keys, parts: int):
-        return probe(self.bits, self.size, self.top, short_keys(keys, parts))
+class Model:
+    """Parts of the model: their filters one after the other, and the exact counts of all their words, in the order of keys."""
 
-    def exact(self, keys):
-        """Counts of those keys that are words, 0 for others."""
+    def __init__(self, rows: list, parts: int):
         import numpy as np
 
-        if not len(self.words):
-            return np.zeros(len(keys), dtype=np.int64)
-        at = np.searchsorted(self.words, keys)
-        at[at == len(self.words)] = 0
-        return np.where(self.words[at] == keys, self.counts[at], 0)
+        rows, self.parts = sorted(rows), parts  # by part, and a key's first bits are its part
+        self.held, self.size = np.array([r[0] for r in rows], dtype=np.int32), np.array([r[2] for r in rows], dtype=np.uint64)
+        self.first = np.cumsum([0, *(8 * len(r[1]) for r in rows)])[:-1].astype(np.uint64)
+        self.bits, self.top = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8), max((r[3] for r in rows), default=0)
+        self.words, self.counts = (np.frombuffer(b"".join(r[i] for r in rows), dtype=kind) for i, kind in ((4, "<u8"), (5, "<i8")))
+
+    def levels(self, keys):
+        import numpy as np
+
+        out = np.zeros(len(keys), dtype=np.uint8)
+        if len(self.held):
+            part = part_of(keys, self.parts)
+            at = np.minimum(np.searchsorted(self.held, part), len(self.held) - 1)
+            there = self.held[at] == part
+            out[there] = probe(self.bits, self.size[at[there]], self.top, short_keys(keys[there], self.parts), self.first[at[there]])
+        return out
+
+    def exact(self, keys):
+        return exact_counts(self.words, self.counts, keys)
 
 
 class Grams:
@@ -310,152 +333,187 @@ def learn(scratch: Scratch, texts: DataFrame, order: int = ORDER, part_bytes: in
     return scratch.save(counts.groupBy("part").applyInArrow(_fold(BASE, bits_each, parts), _SEGMENT), "model"), parts
 
 
+class Needed:
+    """The different keys of some pieces: ``words``, sorted, and ``grams`` of the higher orders; and where each token's are among them."""
+
+    def __init__(self, grams: Grams, pieces: list):
+        import numpy as np
+
+        found, self.sizes = grams.keys(pieces)
+        before = grams.contexts(pieces)
+        unique, self.at, self.before = [], [], []
+        for m, keys in enumerate(found):
+            ctx = before[m] if m < len(before) else keys[:0]
+            held, at = np.unique(np.concatenate((keys, ctx)), return_inverse=True)
+            unique.append(held), self.at.append(at[: len(keys)]), self.before.append(at[len(keys) :])
+        self.words, self.orders = unique[0], [len(u) for u in unique[1:]]
+        self.grams = np.concatenate(unique[1:] or [unique[0][:0]])
+
+    def by_part(self, keys, parts: int):
+        """The order of keys by part, the parts, and where each begins, with the end."""
+        import numpy as np
+
+        part = part_of(keys, parts)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, dtype=np.int64)
+        return order, part[first], np.append(first, len(part))
+
+
 class Scorer:
     """Scores of pieces from the levels and exact counts of their grams."""
 
     def __init__(self, order: int, tokens: int, distinct: int, piece: int = PIECE):
         self.grams, self.tokens, self.distinct, self.expected = Grams(order, piece), tokens, distinct, expected_counts(BASE)
 
-    def needed(self, pieces: list) -> tuple:
-        """The different keys of the pieces, sorted, and where each gram and each context is among them."""
-        import numpy as np
-
-        found, sizes = self.grams.keys(pieces)
-        before = self.grams.contexts(pieces)
-        keys, at = np.unique(np.concatenate([*found, *before]), return_inverse=True)
-        cut = np.cumsum([len(x) for x in (*found, *before)])[:-1]
-        at = np.split(at, cut)
-        return keys, at[: len(found)], at[len(found) :], sizes
-
-    def scores(self, needed: tuple, levels, exact) -> tuple:
+    def scores(self, needed: Needed, exact, word_levels, gram_levels) -> tuple:
         """For each piece ``n_tokens, n_known, base, score``."""
         import numpy as np
 
-        _, grams, before, sizes = needed
-        count, first = self.expected[levels], np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        cut = np.cumsum(needed.orders)[:-1] if needed.orders else []
+        counts = [self.expected[x] for x in (word_levels, *(np.split(gram_levels, cut) if needed.orders else []))]
+        first = np.concatenate(([0], np.cumsum(needed.sizes)[:-1]))
         below = self.tokens + 0.5 * (self.distinct + 1)
-        c = exact[grams[0]]
-        p = (count[grams[0]] + 0.5) / below
-        for n in range(1, len(grams)):
+        c, of = exact[needed.at[0]], [count[at] for count, at in zip(counts, needed.at)]
+        p = (of[0] + 0.5) / below
+        for n in range(1, len(of)):
             context = np.empty(len(p))
-            context[1:] = count[grams[n - 1]][:-1]
-            context[first] = count[before[n - 1]]
-            p = (np.minimum(count[grams[n]], context) + STRENGTH * p) / (context + STRENGTH)
-        return sizes, np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10((c + 0.5) / below), first), np.add.reduceat(np.log10(p), first)
+            context[1:] = of[n - 1][:-1]
+            context[first] = counts[n - 1][needed.before[n - 1]]
+            p = (np.minimum(of[n], context) + STRENGTH * p) / (context + STRENGTH)
+        return needed.sizes, np.add.reduceat((c > 0).astype(np.int64), first), np.add.reduceat(np.log10((c + 0.5) / below), first), np.add.reduceat(np.log10(p), first)
 
 
-def _pieces(texts, grams: Grams) -> Iterator[tuple[list, list]]:
-    """Groups of pieces of texts, of some PIECE tokens each, with the row of each piece."""
+def _pieces(texts, grams: Grams, whole: bool = False) -> Iterator[tuple[list, list]]:
+    """Groups of pieces of texts, of some PIECE tokens each, with the row of each piece; with ``whole`` groups end where texts do."""
     from .shingles import word_keys
 
     rows, pieces, size = [], [], 0
     for i, words in enumerate(word_keys(texts.to_pylist())):
         for piece in grams.pieces(words):
-            rows.append(i), pieces.append(piece)
-            size += len(piece)
-            if size >= grams.piece:
+            if size >= grams.piece and not (whole and rows[-1] == i):
                 yield rows, pieces
                 rows, pieces, size = [], [], 0
+            rows.append(i), pieces.append(piece)
+            size += len(piece)
     if pieces:
         yield rows, pieces
 
 
-_FOUND = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+_FOUND = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _found(rows, batch, at, scores):
-    """Sums over the pieces of each row of a batch."""
+def _found(ids, held, at: list, scores: list):
+    """Sums over the pieces of each row; every row has one."""
     import numpy as np
 
-    n = batch.num_rows
-    sums = [np.bincount(at, weights=s, minlength=n) for s in scores]
-    columns = [pa.array(rows), batch.column(0), batch.column(1), *(pa.array(s.astype(np.int64)) for s in sums[:2]), *map(pa.array, sums[2:])]
+    sums = [np.bincount(at, weights=np.concatenate(s), minlength=len(ids)) for s in zip(*scores)]
+    columns = [ids, held, *(pa.array(s.astype(np.int64)) for s in sums[:2]), *map(pa.array, sums[2:])]
     return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in _FOUND.split(", ")])
 
 
-def _score_here(order: int, parts: int, model, piece: int):
+def _score_here(order: int, parts: int, shared, piece: int):
     """Scores of texts by the broadcast model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        rows, tokens, distinct = model.value
-        scorer, segments = Scorer(order, tokens, distinct, piece), {r[0]: Segment(*r[1:]) for r in rows}
+        rows, tokens, distinct = shared.value
+        scorer, model = Scorer(order, tokens, distinct, piece), Model(rows, parts)
         for batch in slices(batches):
-            at, parts_of = [], []
-            for rows_, pieces in _pieces(batch.column(2), scorer.grams):
-                needed = scorer.needed(pieces)
-                keys = needed[0]
-                levels, exact = np.zeros(len(keys), dtype=np.uint8), np.zeros(len(keys), dtype=np.int64)
-                part = part_of(keys, parts)
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-                for a, b in zip(cut[:-1], cut[1:]):
-                    if (segment := segments.get(int(part[a]))) is not None:
-                        levels[a:b], exact[a:b] = segment.levels(keys[a:b], parts), segment.exact(keys[a:b])
-                at += rows_
-                parts_of.append(scorer.scores(needed, levels, exact))
+            at, scores = [], []
+            for rows, pieces in _pieces(batch.column(2), scorer.grams):
+                needed = Needed(scorer.grams, pieces)
+                at += rows
+                scores.append(scorer.scores(needed, model.exact(needed.words), model.levels(needed.words), model.levels(needed.grams)))
             if at:
-                yield _found(np.zeros(batch.num_rows, dtype=np.int64), batch, at, [np.concatenate(x) for x in zip(*parts_of)])
+                yield _found(batch.column(0), batch.column(1), at, scores)
 
     return run
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], grams: Grams) -> Iterator[tuple]:
+    """Texts in groups of some piece of tokens, or a long one alone: a number, the rows, and their pieces."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 33
+    for batch in slices(batches):
+        for rows, pieces in _pieces(batch.column(2), grams, whole=True):
+            yield number, batch.slice(rows[0], rows[-1] + 1 - rows[0]), pieces
+            number += 1
+
+
 def _ask(order: int, parts: int, piece: int):
-    """Chunks of texts: one row with a chunk's pieces (part -1), and one for each part with the keys asked there: ``chunk, part, rows, data``."""
+    """The different keys of each chunk, for each part: ``chunk, part, words, grams``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-        from pyspark import TaskContext
-
-        scorer, number, seen = Scorer(order, 0, 0, piece), TaskContext.get().partitionId() << 33, 0
-        for batch in slices(batches):
-            ids, held = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for rows, pieces in _pieces(batch.column(2), scorer.grams):
-                keys = scorer.needed(pieces)[0]
-                part = part_of(keys, parts)
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(part)]))
-                out = [(number, int(part[a]), None, keys[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])]
-                base = (TaskContext.get().partitionId() << 33) + seen
-                told = [{"row": base + r, "doc_id": ids[r], "held_out": held[r], "size": len(p)} for r, p in zip(rows, pieces)]
-                out.append((number, -1, told, np.concatenate(pieces).tobytes()))
-                number += 1
-                kinds = (pa.int64(), pa.int32(), pa.list_(pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("size", pa.int64())])), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["chunk", "part", "rows", "data"])
-            seen += batch.num_rows
+        grams = Grams(order, piece)
+        for number, _, pieces in _chunks(batches, grams):
+            needed, out = Needed(grams, pieces), {}
+            for side, keys in enumerate((needed.words, needed.grams)):
+                by, own, cut = needed.by_part(keys, parts)
+                keys = keys[by]
+                for p, a, b in zip(own.tolist(), cut[:-1], cut[1:]):
+                    out.setdefault(p, [b"", b""])[side] = keys[a:b].tobytes() if side == 0 else _packed(short_keys(keys[a:b], parts))
+            columns = [pa.array([number] * len(out), pa.int64()), pa.array(list(out), pa.int32()), *(pa.array([v[i] for v in out.values()], pa.binary()) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "part", "words", "grams"])
 
     return run
 
 
 def _answer(parts: int):
-    """The levels and exact counts of the keys asked of a part: ``chunk, part, levels, exact``."""
+    """What a part knows of the keys asked: ``chunk, part, exact, levels, grams``, counts and levels of words and levels of grams."""
 
     def run(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
         import numpy as np
 
-        chunks, levels, exact = asked.column("chunk").to_pylist(), [], []
-        segment = Segment(*(segments.column(c)[0].as_py() for c in ("bits", "size", "top", "words", "counts"))) if segments.num_rows else Segment(b"", 0, 0, b"", b"")
-        for data in asked.column("data").to_pylist():
-            keys = np.frombuffer(data, dtype="<u8")
-            levels.append(segment.levels(keys, parts).tobytes()), exact.append(segment.exact(keys).astype("<i8").tobytes())
+        chunks, exact, levels, grams = asked.column("chunk").to_pylist(), [], [], []
+        part = segments.to_pylist()[0] if segments.num_rows else {"bits": b"", "size": 0, "top": 0, "words": b"", "counts": b""}
+        bits, known, counts = (np.frombuffer(part[c], dtype=kind) for c, kind in (("bits", np.uint8), ("words", "<u8"), ("counts", "<i8")))
+        level = lambda short: probe(bits, part["size"], part["top"], short).tobytes()
+        for words, packed in zip(asked.column("words").to_pylist(), asked.column("grams").to_pylist()):
+            words = np.frombuffer(words, dtype="<u8")
+            exact.append(exact_counts(known, counts, words).astype("<i8").tobytes())
+            levels.append(level(short_keys(words, parts))), grams.append(level(_unpacked(packed)))
         columns = {"chunk": pa.array(chunks, pa.int64()), "part": pa.array([key[0].as_py()] * len(chunks), pa.int32())}
-        return pa.table(columns | {"levels": pa.array(levels, pa.binary()), "exact": pa.array(exact, pa.binary())})
+        return pa.table(columns | {n: pa.array(v, pa.binary()) for n, v in (("exact", exact), ("levels", levels), ("grams", grams))})
 
     return run
 
 
-def _finish(order: int, tokens: int, distinct: int):
-    """Scores of a chunk's pieces from the answers of all parts."""
+def _told(order: int, piece: int):
+    """The texts of each chunk again, packed: ``chunk, rows``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for number, rows, _ in _chunks(batches, Grams(order, piece)):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as stream:
+                stream.write_batch(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "rows"])
+
+    return run
+
+
+def _finish(order: int, parts: int, tokens: int, distinct: int, piece: int):
+    """Scores of a chunk's texts from the answers of all parts."""
 
     def run(key: tuple, chunk: pa.Table, answers: pa.Table) -> pa.Table:
         import numpy as np
-
-        scorer, told = Scorer(order, tokens, distinct), chunk.column("rows")[0].as_py()
-        line, cut = np.frombuffer(chunk.column("data")[0].as_py(), dtype="<u8"), np.cumsum([r["size"] for r in told])[:-1]
-        answers = answers.sort_by("part")  # keys are sorted, and a part is their first bits
-        levels, exact = (np.frombuffer(b"".join(answers.column(c).to_pylist()), dtype=kind) for c, kind in (("levels", np.uint8), ("exact", "<i8")))
-        scores = scorer.scores(scorer.needed(np.split(line, cut)), levels, exact)
-        columns = {c: pa.array([r[c] for r in told], t) for c, t in (("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()))}
-        return pa.table(columns | {c: pa.array(s) for c, s in zip(("n_tokens", "n_known", "base_score", "score"), scores)})
+        import zstandard
+
+        scorer = Scorer(order, tokens, distinct, piece)
+        rows = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(chunk.column("rows")[0].as_py())).read_all().combine_chunks()
+        ids, held, texts = (rows.column(i).combine_chunks() for i in range(3))
+        at, pieces = [], []
+        for i, some in _pieces(texts, scorer.grams, whole=True):
+            at += i
+            pieces += some
+        needed, answers = Needed(scorer.grams, pieces), answers.sort_by("part")
+        exact, levels, found = (np.frombuffer(b"".join(answers.column(c).to_pylist()), dtype=kind) for c, kind in (("exact", "<i8"), ("levels", np.uint8), ("grams", np.uint8)))
+        grams = np.empty(len(needed.grams), dtype=np.uint8)
+        grams[needed.by_part(needed.grams, parts)[0]] = found
+        return pa.Table.from_batches([_found(ids, held, at, [scorer.scores(needed, exact, levels, grams)])])
 
     return run
 
@@ -471,6 +529,8 @@ def score_texts(
     scratch = Scratch(spark, "lm")
     held = held_out(F.col("doc_id")) if held is None else F.coalesce(held, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text")
+    if not is_table(docs):  # chunks are made twice, and must be the same
+        rows = scratch.save(rows, "texts")
     model, parts = learn(scratch, rows.where("not held_out"), order, part_bytes, bits_each, piece)
     size = model.agg(
         F.sum(F.length("bits") + F.length("words") + F.length("counts")).alias("bytes"), F.sum(F.length("words") / 8).cast("long").alias("distinct"), F.sum("tokens").alias("tokens")
@@ -478,13 +538,10 @@ def score_texts(
     tokens, distinct = size["tokens"] or 0, size["distinct"] or 0
     if (size["bytes"] or 0) <= max_broadcast:
         shared = spark.sparkContext.broadcast(([tuple(r) for r in model.drop("tokens").collect()], tokens, distinct))  # at most max_broadcast bytes
-        found = rows.mapInArrow(_score_here(order, parts, shared, piece), _FOUND).drop("row")
+        found = rows.mapInArrow(_score_here(order, parts, shared, piece), _FOUND)
     else:
-        asked = scratch.save(rows.mapInArrow(_ask(order, parts, piece), "chunk long, part int, rows array<struct<row: long, doc_id: long, held_out: boolean, size: long>>, data binary"), "asked")
-        keys = asked.where("part >= 0").select("part", "chunk", "data")
-        answers = keys.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answer(parts), "chunk long, part int, levels binary, exact binary")
-        chunks = asked.where("part < 0").select("chunk", "rows", "data")
-        found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(order, tokens, distinct), _FOUND)
-        found = found.groupBy("row", "doc_id", "held_out").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]).drop("row")
+        asked = rows.mapInArrow(_ask(order, parts, piece), "chunk long, part int, words binary, grams binary")
+        answers = asked.groupBy("part").cogroup(model.groupBy("part")).applyInArrow(_answer(parts), "chunk long, part int, exact binary, levels binary, grams binary")
+        chunks = rows.mapInArrow(_told(order, piece), "chunk long, rows binary")
+        found = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(order, parts, tokens, distinct, piece), _FOUND)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
-
