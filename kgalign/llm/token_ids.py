@@ -14,6 +14,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from operator import attrgetter
 
 #: Characters for which letters, digits and case are the same in every engine.
 _SAFE = "\n\x20-\x7eÀ-ÖØ-öø-ÿ"
@@ -32,6 +33,7 @@ _WORD_ENDS = {
 }
 #: A run of these after letters is one piece.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_id_of = attrgetter("id")
 #: Bytes of a worker's stores, as a bound, and of an entry. A full store becomes the old one, of which what is met again is kept; words
 #: and other pieces have one each, the second half as large: three times the entries of a store of words in all.
 STORE_BYTES, ENTRY_BYTES = 336 << 20, 140
@@ -60,7 +62,7 @@ class WordIds(dict):
         added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         case = re.IGNORECASE if any(t.normalized for t in added) else 0
         self.added = re.compile("|".join(re.escape(t.content) for t in added) or r"(?!)", case).search
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         letters = byte_letters()
         self.bytes = {c: "".join(letters[b] for b in chr(c).encode()) for c in range(256)}
         self.space, self.line = self.bytes[ord(" ")], self.bytes[ord("\n")]
@@ -77,7 +79,13 @@ class WordIds(dict):
 
     def _merged(self, piece: str) -> bytes:
         letters = piece.replace(" ", self.space).replace("\n", self.line) if piece.isascii() else piece.translate(self.bytes)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return array("I", map(_id_of, self.tokenize(letters))).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of letters, with the space before it where the tokenizer keeps spaces."""
+        if not word.isascii():
+            word = word.translate(self.bytes)
+        return array("I", map(_id_of, self.tokenize(word if self.lower else self.space + word))).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         ids = self.short.get(piece)
@@ -99,7 +107,7 @@ class WordIds(dict):
             self.clear()
         ids = self.old.get(word)
         if ids is None and word.isalpha():  # letters alone are one piece
-            ids = self._merged(word if self.lower else " " + word)
+            ids = self._word(word)
         elif ids is None and (letters := word.rstrip(_MARKS)).isalpha():  # and the marks after them are another
             ids = self[letters] + self._piece(word[len(letters) :])
         elif ids is None:
