@@ -465,16 +465,22 @@ def _answer(parts: int):
     def run(key: tuple, asked: pa.Table, segments: pa.Table) -> pa.Table:
         import numpy as np
 
-        chunks, exact, levels, grams = asked.column("chunk").to_pylist(), [], [], []
         part = segments.to_pylist()[0] if segments.num_rows else {"bits": b"", "size": 0, "top": 0, "words": b"", "counts": b""}
         bits, known, counts = (np.frombuffer(part[c], dtype=kind) for c, kind in (("bits", np.uint8), ("words", "<u8"), ("counts", "<i8")))
-        level = lambda short: probe(bits, part["size"], part["top"], short).tobytes()
-        for words, packed in zip(asked.column("words").to_pylist(), asked.column("grams").to_pylist()):
-            words = np.frombuffer(words, dtype="<u8")
-            exact.append(exact_counts(known, counts, words).astype("<i8").tobytes())
-            levels.append(level(short_keys(words, parts))), grams.append(level(_unpacked(packed)))
-        columns = {"chunk": pa.array(chunks, pa.int64()), "part": pa.array([key[0].as_py()] * len(chunks), pa.int32())}
-        return pa.table(columns | {n: pa.array(v, pa.binary()) for n, v in (("exact", exact), ("levels", levels), ("grams", grams))})
+        # Chunks ask much the same; what several ask is looked up once.
+        words, grams = (asked.column(c).to_pylist() for c in ("words", "grams"))
+        keys, of_words = np.unique(np.frombuffer(b"".join(words), dtype="<u8"), return_inverse=True)
+        short, of_grams = np.unique(_unpacked(b"".join(grams)), return_inverse=True)
+        told = {
+            "exact": (exact_counts(known, counts, keys).astype("<i8")[of_words], [len(w) // 8 for w in words]),
+            "levels": (probe(bits, part["size"], part["top"], short_keys(keys, parts))[of_words], [len(w) // 8 for w in words]),
+            "grams": (probe(bits, part["size"], part["top"], short)[of_grams], [len(g) // KEY_BYTES for g in grams]),
+        }
+        columns = {"chunk": asked.column("chunk"), "part": pa.array([key[0].as_py()] * len(words), pa.int32())}
+        for name, (values, sizes) in told.items():
+            data, cut = values.tobytes(), np.cumsum([0, *sizes]) * values.itemsize
+            columns[name] = pa.array([data[i:j] for i, j in zip(cut, cut[1:])], pa.binary())
+        return pa.table(columns)
 
     return run
 
