@@ -1,6 +1,6 @@
 """Operator 3, token ids in binary files coded by a range asymmetric numeral system.
 
-Texts are tokenized once, to a table of ids; the ids' counts over the whole corpus
+Texts are tokenized once, to a table of ids, where each task also leaves its counts of ids; their sums over the whole corpus
 give the frequency table that all blocks share. The documents are then dealt by
 range of doc_id, and each task writes its part as independent blocks of whole
 documents, in ascending order. A block holds its documents' ids and lengths, its
@@ -39,31 +39,40 @@ def _id_type(vocabulary: int) -> str:
     return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
-def _tokenize(path: str, special_as_text: bool, kind: str, store_bytes: int):
+def _tokenize(path: str, special_as_text: bool, kind: str, store_bytes: int, vocabulary: int):
+    """``doc_id, ids, counts``: a row for each text and, last, one with the counts of a task's ids: these ids, then their counts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         from .token_ids import word_ids
 
-        encode, end = word_ids(path, special_as_text, store_bytes).encode, END_ID.to_bytes(4, "little")
+        encode, end, total = word_ids(path, special_as_text, store_bytes).encode, END_ID.to_bytes(4, "little"), np.zeros(vocabulary, dtype=np.int64)
+
+        def rows(ids, data: list, counts: list):
+            return pa.RecordBatch.from_arrays([ids, pa.array(data, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "ids", "counts"])
+
         for batch in slices(batches):
-            ids = [np.frombuffer(encode(t) + end, dtype="<u4") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], names=["doc_id", "ids"])
+            ids = [encode(t) + end for t in batch.column(1).to_pylist()]
+            whole = np.frombuffer(b"".join(ids), dtype="<u4")
+            total += np.bincount(whole, minlength=vocabulary)
+            width = int(kind[-1])
+            data, cut = whole.astype(kind).tobytes(), np.cumsum([0, *(len(x) // 4 * width for x in ids)]).tolist()
+            yield rows(batch.column(0), [data[i:j] for i, j in zip(cut, cut[1:])], [None] * len(ids))
+        seen = np.flatnonzero(total)
+        yield rows(pa.array([None], pa.int64()), [None], [np.concatenate((seen, total[seen])).astype("<i8").tobytes()])
 
     return run
 
 
-def _count_ids(vocabulary: int, kind: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=kind), minlength=vocabulary)
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "c"])
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts that tasks left, ``id, c``."""
+    import numpy as np
 
-    return run
+    for batch in batches:
+        for data in batch.column(0).to_pylist():
+            ids, counts = np.frombuffer(data, dtype="<i8").reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts)], names=["id", "c"])
 
 
 def _write_blocks(freq, block_tokens: int, kind: str):
@@ -142,17 +151,17 @@ def write_token_files(
     path = path or new_folder(spark, "files")
     vocabulary = max([END_ID, *Tokenizer.from_file(tokenizer_path).get_vocab(with_added_tokens=True).values()]) + 1
     kind = _id_type(vocabulary)
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text, kind, store_bytes), "doc_id long, ids binary")
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer_path, special_as_text, kind, store_bytes, vocabulary), "doc_id long, ids binary, counts binary")
     ids = scratch.save(ids, "ids")
     counts = np.zeros(vocabulary, dtype=np.int64)
     # At most one row for each id of the vocabulary.
-    for row in ids.select("ids").mapInArrow(_count_ids(vocabulary, kind), "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
+    for row in ids.where("counts is not null").select("counts").mapInArrow(_counts, "id int, c long").groupBy("id").agg(F.sum("c").alias("c")).collect():
         counts[row["id"]] = row["c"]
     freq = Model.of_counts(counts).freq.astype(np.int64)
     spark.createDataFrame([(i, int(freq[i])) for i in np.flatnonzero(freq).tolist()], "id int, freq long").coalesce(1).write.parquet(f"{path}/frequencies")
     # Rows equal in all of the order but the last are equal, so it doesn't matter how they are numbered.
     order = ["doc_id", F.substring("ids", 1, 8), F.xxhash64("ids"), F.monotonically_increasing_id()]
-    dealt = ids.select("*", *[c.alias(f"order{i}") for i, c in enumerate(order[1:])])
+    dealt = ids.where("counts is null").select("doc_id", "ids", *[c.alias(f"order{i}") for i, c in enumerate(order[1:])])
     order = ["doc_id", "order0", "order1", "order2"]
     dealt = dealt.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
     shape = "part int, number long, start long, tokens long, block binary"

@@ -81,12 +81,6 @@ class WordIds(dict):
         letters = piece.replace(" ", self.space).replace("\n", self.line) if piece.isascii() else piece.translate(self.bytes)
         return array("I", map(_id_of, self.tokenize(letters))).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of a word of letters, with the space before it where the tokenizer keeps spaces."""
-        if not word.isascii():
-            word = word.translate(self.bytes)
-        return array("I", map(_id_of, self.tokenize(word if self.lower else self.space + word))).tobytes()
-
     def _piece(self, piece: str) -> bytes:
         ids = self.short.get(piece)
         if ids is None:
@@ -107,7 +101,8 @@ class WordIds(dict):
             self.clear()
         ids = self.old.get(word)
         if ids is None and word.isalpha():  # letters alone are one piece
-            ids = self._word(word)
+            letters = word if word.isascii() else word.translate(self.bytes)
+            ids = array("I", map(_id_of, self.tokenize(letters if self.lower else self.space + letters))).tobytes()
         elif ids is None and (letters := word.rstrip(_MARKS)).isalpha():  # and the marks after them are another
             ids = self[letters] + self._piece(word[len(letters) :])
         elif ids is None:
