@@ -224,6 +224,61 @@ def test_mixing(spark, docs, odd, none):
     assert [tuple(r) for r in mixing.mixed_documents(spark, clash).collect()] == [(1, "a b", "s", "mine", 7)]
 
 
+def _plain_targets(sizes):
+    """Shares by weight 5, 2, 1, ... of all words, cut at 3 times a source's size and shared again, one source after the other."""
+    from fractions import Fraction
+
+    weight = {k: (5, 2, 1)[k % 3] for k in range(len(sizes))}
+    fixed = {}
+    while True:
+        free = [k for k in weight if k not in fixed and sizes[k]]
+        left = Fraction(sum(sizes)) - sum(fixed.values())
+        share = {k: left * weight[k] / sum(weight[i] for i in free) for k in free}
+        over = [k for k in free if share[k] > 3 * sizes[k]]
+        if not over:
+            return [fixed.get(k, share.get(k, Fraction(0))) for k in range(len(sizes))]
+        fixed |= {k: Fraction(3 * sizes[k]) for k in over}
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_mixing_against_a_plain_schedule(spark, block):
+    """What each document gives, and where it first stands, by walking through the slots one by one."""
+    from bisect import bisect_right
+
+    rng = random.Random(11)
+    names = ["b", "a", None, "", "é", *(f"h{i}" for i in range(9))]
+    rows = [(i, "w " * rng.choice([0, 1, 5, 40, 300 if i % 7 == 0 else 3]), names[min(len(names) - 1, int(rng.expovariate(0.4)))]) for i in range(250)] + [(300, None, "a"), (None, "x y z", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    hashes = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text"), F.lit(5)).alias("h")).collect()}
+    size = lambda t: len(WORD.findall(t or ""))
+    order = sorted({s for _, _, s in rows}, key=lambda s: (s is None, s or ""))
+    sizes = [sum(size(t) for _, t, s in rows if s == name) for name in order]
+    aims = _plain_targets(sizes)
+    quota = [round(x) for x in aims]
+    wanted = [-(-q // block) for q in quota]
+    n = mixing._drawn(sum(wanted), len(order))
+    edges = [sum(wanted[: k + 1]) * mixing.MODULUS // sum(wanted) for k in range(len(order) - 1)]
+    slots, later = [[] for _ in order], n
+    for i in range(n):
+        k = bisect_right(edges, i * mixing.GOLDEN_STEP % mixing.MODULUS)
+        if len(slots[k]) < wanted[k]:
+            slots[k].append(i)
+    for k, w in enumerate(wanted):
+        while len(slots[k]) < w:
+            slots[k].append(later)
+            later += 1
+    want = {}
+    for k, name in enumerate(order):
+        words = [i for _, i in sorted((hashes[i], i) for i, t, s in rows if s == name and size(t)) for _ in range(size(next(t for j, t, _ in rows if j == i)))]
+        taken = [words[w % len(words)] for w in range(quota[k])]  # the words of the mix, by their documents, in the order of the source's slots
+        for i, t, s in rows:
+            if s == name:
+                at = [w for w, j in enumerate(taken) if j == i]
+                want[i] = (size(t), sizes[k], float(aims[k]), len(at), min((slots[k][w // block] for w in at), default=None))
+    got = {r.doc_id: (r["size"], r.source_size, r.target, r.taken, r.first_slot) for r in mixing.mix_documents(spark, df, block=block).collect()}
+    assert got.keys() == want.keys() and all(got[i][:2] == want[i][:2] and abs(got[i][2] - want[i][2]) < 1e-9 and got[i][3:] == want[i][3:] for i in want)
+
+
 def test_schedule_gives_every_source_its_slots(spark):
     quota = [500_000 * 64, *(64 * w - w for w in range(1, 21)), 0, 500_000 * 64, *(64 for _ in range(20))]
     rows = mixing.schedule(spark, quota)
@@ -408,6 +463,25 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack_documents(spark, none, path).count() == 0
 
 
+def test_packing_wastes_little(spark):
+    """Each sequence is full, a power of two, or a bin of its class: the class's number of pieces, a few tokens of padding for each."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "the", "of"], k=min(3000, int(rng.paretovariate(0.8) * 9)))) for _ in range(1500)]
+    rows = packing.pack_documents(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5), tokenizer_path("word_bpe_49k.json"), capacity=256).collect()
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.length)
+    assert sorted(bins) == list(range(len(bins)))
+    padding = classes = 0
+    for lengths in bins.values():
+        total, k = sum(lengths), 256 // max(lengths)
+        if total == 256 or total & (total - 1) == 0:
+            continue
+        assert all(256 // n == k for n in lengths) and len(lengths) == k and 256 - total <= packing.SLACK * k
+        padding, classes = padding + 256 - total, classes + 1
+    assert classes > 20 and padding < 0.03 * 256 * len(bins) and 256 * len(bins) < 1.04 * sum(r.length for r in rows)
+
+
 def test_control_strings_as_in_the_library(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
@@ -610,12 +684,32 @@ def test_sharding_cuts_few_links(spark):
     assert cut(placed) * 5 < cut(started) and set(Counter(placed.values()).values()) == {150}
 
 
-def test_hot_keys_meet_tables(spark):
-    """A join that may have a hot key reads a table on both sides, so that adaptive execution can split it."""
-    import inspect
-
-    assert 'scratch.save(sizes.where("n > 1 and lo <> hi")' in inspect.getsource(sharding.propagate)
-    assert 'scratch.save(rows.groupBy("bucket")' in inspect.getsource(near_dedup._near)
+def test_hot_keys_are_split(spark, monkeypatch):
+    """Joins of rows with a hot key, as they ran: the partition that has it is read by several tasks."""
+    from kgalign.llm.common import Scratch
+
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16",
+    }
+    old, plans, save = {k: spark.conf.get(k) for k in small}, {}, Scratch.save
+
+    def told(self, df, name, *by):
+        if name == "links":
+            df.collect()
+            plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return save(self, df, name, *by)
+
+    monkeypatch.setattr(Scratch, "save", told)
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        copies = spark.createDataFrame([(i, "the hot text" if i < 6000 else f"text {i // 2}") for i in range(12000)], "doc_id long, text string").repartition(8)
+        sharding.shard_documents(spark, copies, shards=4, rounds=1)
+        assert "SortMergeJoin(skew=true)" in plans["links"]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_chat_ignores_other_columns(spark):
