@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import enrich, graph, matching, pruning, resolve, splits, texts, tokens, vectors
-from ..sources import files
+from ..sources import files, json_object
 from ..storage import new_folder, written
 from .kg import ATTR, REL, attribute_triples, ordered, relation_triples, table
 
@@ -756,6 +756,16 @@ def json_map_files(spark, d):
     return files.read_json_map(spark, path, T.StringType(), whole=False)
 
 
+@_query("json_object_files", f"{_LISTS.replace('list(v ORDER BY place) AS x', 'list(v ORDER BY place) AS x, list(tgt ORDER BY place) AS c')} SELECT CAST(src AS VARCHAR) AS key, src AS ref, array_to_string(c, ' ') AS candidates, round({_DIFFICULTY}, 6) AS difficulty, round(x[-1], 6) AS last_sim FROM l")
+def json_object_files(spark, d):
+    """Candidate records as one JSON object a file, read back in ranges of bytes."""
+    path = new_folder(spark, "files")
+    rows = _lists(spark, d).select(F.col("src").alias("ref"), "candidates", "cand_sims", matching.difficulty().alias("difficulty"))
+    files.write_json_objects(rows.select(F.col("ref").cast("string").alias("key"), F.struct("ref", "candidates", "cand_sims", "difficulty").alias("value")), path)
+    back = json_object.read_json_object(spark, path).select("key", "value.*")
+    return back.select("key", "ref", F.array_join("candidates", " ").alias("candidates"), F.round("difficulty", 6).alias("difficulty"), F.round(F.element_at("cand_sims", -1), 6).alias("last_sim"))
+
+
 @_query("vector_files", "SELECT vec_id AS id, round(CAST(embedding[1] AS DOUBLE), 6) AS first, 2 AS kg FROM embeddings WHERE vec_id % 2 = 1")
 def vector_files(spark, d):
     path = new_folder(spark, "files")

@@ -9,6 +9,10 @@ from ..functions.text import unquote, words
 from ..storage import free_name, written
 
 
+#: Facts of a subject that one task ranks; a subject with more is a hub.
+HUB_FACTS = 1 << 20
+
+
 def functionality(triples: DataFrame) -> DataFrame:
     """``pred, functionality``: distinct subjects by triples; two stages, so that a common predicate is no hot group."""
     each = triples.groupBy("pred", "subj").agg(F.count("*").alias("n"))
@@ -77,19 +81,30 @@ def blocks(pairs: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy(key).agg(F.sort_array(F.collect_set("entity")).alias("entities"))
 
 
-def ordered_facts(triples: DataFrame) -> DataFrame:
-    """``triples`` with ``rank`` within the subject: functionality descending, then predicate and object by first appearance."""
-    each = triples.groupBy("pred", "subj").agg(F.count("*").alias("n"), F.min("pos").alias("at"))
+def ordered_facts(triples: DataFrame, hub_facts: int = HUB_FACTS) -> DataFrame:
+    """``triples`` with ``rank`` within the subject: functionality descending, then predicate and object by first appearance.
+
+    Facts of a subject are ranked in one task, up to ``hub_facts`` of them; those of hubs, with more, are numbered by range.
+    """
+    each = written(triples.groupBy("pred", "subj").agg(F.count("*").alias("n"), F.min("pos").alias("at")))
     preds = each.groupBy("pred").agg((F.count("*") / F.sum("n")).alias("functionality"), F.min("at").alias("_pred_at"))
-    # A table of its own, so that the join with a hub's many facts can be split.
+    # Tables of their own, so that the joins with a hub's many facts can be split.
     objs = written(triples.groupBy("obj").agg(F.min("pos").alias("_obj_at")))
+    hubs = written(each.groupBy("subj").agg(F.sum("n").alias("n")).where(F.col("n") > hub_facts).select("subj"))
+    order = [F.desc("functionality"), "_pred_at", "pred", "_obj_at", "obj", "pos"]
     known = triples.join(preds, "pred").join(objs, "obj")
-    w = Window.partitionBy("subj").orderBy(F.desc("functionality"), "_pred_at", "pred", "_obj_at", "obj", "pos")
-    return known.withColumn("rank", F.row_number().over(w)).drop("_pred_at", "_obj_at")
+    ranked = F.row_number().over(Window.partitionBy("subj").orderBy(*order))
+    if hubs.isEmpty():
+        return known.withColumn("rank", ranked).drop("_pred_at", "_obj_at")
+    far = dense_ids(known.join(hubs, "subj", "left_semi"), ["subj", *order], "_fact")
+    far = far.join(written(far.groupBy("subj").agg(F.min("_fact").alias("_start"))), "subj")
+    far = far.withColumn("rank", (F.col("_fact") - F.col("_start") + 1).cast("int")).drop("_fact", "_start")
+    near = known.join(hubs, "subj", "left_anti").withColumn("rank", ranked)
+    return near.unionByName(far).drop("_pred_at", "_obj_at")
 
 
 def first_keys(triples: DataFrame, max_keys: int | None = None, least_functionality: float | None = None) -> DataFrame:
-    """``subj, pred, key_rank, n, total``: a subject's predicates in the order of facts, ``max_keys`` at most; ``n`` facts of ``total``.
+    """``subj, pred, key_rank, n, before, total``: a subject's predicates in the order of facts, ``max_keys`` at most; ``n`` facts of ``total``, after ``before`` of others.
 
     The order of facts is that of their predicates first, so no fact is ranked: counts by subject and predicate, combined before
     they are shuffled, say it all, and a subject has as many rows as predicates.
@@ -101,7 +116,9 @@ def first_keys(triples: DataFrame, max_keys: int | None = None, least_functional
         key = F.when(F.col("f") < -least_functionality, key)
     packed = each.join(preds, "pred").groupBy("subj").agg(F.sort_array(F.collect_list(key)).alias("k"), F.sum("n").alias("total"))
     first = F.col("k") if max_keys is None else F.slice("k", 1, max_keys)
-    return packed.select("subj", "total", F.posexplode(first).alias("at", "k")).select("subj", "k.pred", (F.col("at") + 1).alias("key_rank"), "k.n", "total")
+    return packed.select("subj", "total", "k", F.posexplode(first).alias("at", "x")).select(
+        "subj", "x.pred", (F.col("at") + 1).alias("key_rank"), "x.n", F.expr("aggregate(slice(k, 1, at), 0L, (a, y) -> a + y.n)").alias("before"), "total"
+    )
 
 
 def keyed(
@@ -176,13 +193,14 @@ def relation_table(relations: DataFrame) -> DataFrame:
     Out-edges in the order of facts, in-edges (``-inv``) in file order, none left out. In-edges are numbered by
     range, so that a hub's pass no single task; they stay rows, for a hub's list fits none.
     """
-    of_key, of_subject = Window.partitionBy("subj", "pred"), Window.partitionBy("subj")
-    out = ordered_facts(relations).withColumns({"_first": F.min("rank").over(of_key), "n": F.count("*").over(of_key), "place": F.row_number().over(of_key.orderBy("rank"))})
-    out = out.withColumns({"key_rank": F.dense_rank().over(of_subject.orderBy("_first")), "direction": F.lit("out")})
+    # A fact's place in its key is its rank less the facts of the keys before.
+    own = written(first_keys(relations).drop("total"))
+    out = ordered_facts(relations).join(own, ["subj", "pred"])
+    out = out.withColumns({"place": (F.col("rank") - F.col("before")).cast("int"), "direction": F.lit("out")})
     back = adjacency(relations).where("direction = 'in'")
     back = dense_ids(back, ["subj", "pred", "pos", "obj"], "_at")
     keys = back.groupBy("subj", "pred").agg(F.count("*").alias("n"), F.min("_at").alias("_start"), F.min("pos").alias("_first"))
-    keys = written(keys.withColumn("key_rank", F.row_number().over(of_subject.orderBy("_first", "pred"))))
+    keys = written(keys.withColumn("key_rank", F.row_number().over(Window.partitionBy("subj").orderBy("_first", "pred"))))
     back = back.join(keys, ["subj", "pred"]).withColumn("place", (F.col("_at") - F.col("_start") + 1).cast("int"))
     names = ["subj", "pred", "direction", "key_rank", "place", "obj", "n"]
     return out.select(*names).unionByName(back.select(*names))

@@ -6,11 +6,15 @@ be parsed. Parsers keep every line that fails in ``rejects``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import PREFIXES, compress_uri, quote, stripped
+from ..storage import workers_find_package
 
 #: The object is more than the final dot.
 N_TRIPLE = r"\A(\S+)\s+(\S+)\s+(?!\s*\.\s*\z)(.+?)\s*\.?\s*\z"
@@ -122,6 +126,24 @@ def write_candidates(candidates: DataFrame, path: str) -> None:
     candidates.orderBy("difficulty").write.json(path)
 
 
+def _as_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    first = True
+    for batch in batches:
+        if batch.num_rows:
+            lines = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([("{" if first and not i else ", ") + x for i, x in enumerate(lines)])], names=["value"])
+            first = False
+    yield pa.RecordBatch.from_arrays([pa.array(["{}" if first else "}"])], names=["value"])
+
+
+def write_json_objects(rows: DataFrame, path: str) -> None:
+    """``key, value`` as one JSON object for each part of ``rows``, each in a file of its own."""
+    workers_find_package(rows.sparkSession)
+    # An object of one entry without its braces.
+    entry = F.regexp_replace(F.to_json(F.create_map("key", "value")), r"(?s)\A\{(.*)\}\z", "$1")
+    rows.select(entry.alias("value")).mapInArrow(_as_objects, "value string").write.text(path)
+
+
 def read_json_map(spark: SparkSession, path: str, value: T.DataType = CANDIDATE, whole: bool = True) -> DataFrame:
     """JSON objects keyed by name or id, each a whole file, which must fit a row, or with ``whole=False`` a line: rows ``key, value``."""
     whole = spark.read.text(path, wholetext=whole)

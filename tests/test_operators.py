@@ -292,6 +292,18 @@ def test_first_values_of_a_hub(spark):
     assert back == {p: (k + 1, [s for _, s in into(p)[:3]], len(into(p))) for k, p in enumerate(preds)}
 
 
+def test_facts_of_hubs_are_ranked_by_range(spark, monkeypatch):
+    rel = storage.written(_hub(spark, 400))
+    key = lambda r: (r.subj, r.pred, r.obj, r.pos)
+    want = {key(r): r["rank"] for r in graph.ordered_facts(rel).collect()}
+    assert {key(r): r["rank"] for r in graph.ordered_facts(rel, hub_facts=300).collect()} == want
+    assert {key(r): r["rank"] for r in graph.ordered_facts(rel, hub_facts=1).collect()} == want and len(want) == 801
+    table = [tuple(r) for r in graph.relation_table(rel).collect()]
+    old = graph.ordered_facts
+    monkeypatch.setattr(graph, "ordered_facts", lambda t: old(t, 300))
+    assert sorted(map(repr, table)) == sorted(repr(tuple(r)) for r in graph.relation_table(rel).collect())
+
+
 def _asked(folder):
     from collections import Counter
 
@@ -423,8 +435,9 @@ def test_pruned_candidates_are_exact_with_few_products(spark, metric):
     assert got == want and len(got) == 5 * len(x)
     assert counts["multiplied"] < 0.5 * counts["pairs"] and counts["pairs"] >= 100
     for k, csls in ((400, 0), (1, 3)):  # more than there are targets; corrected by the neighbourhood
-        got = {(r.src, r.place): (r.tgt, round(r.sim, 9)) for r in pruning.pruned_candidates(a, b, k, metric, 64, csls).collect()}
-        assert got == {(r.src, r.place): (r.tgt, round(r.sim, 9)) for r in matching.top_candidates(a, b, k, metric, csls_k=csls).collect()}
+        got = {(r.src, r.place): r.sim for r in pruning.pruned_candidates(a, b, k, metric, 64, csls).collect()}
+        want = {(r.src, r.place): r.sim for r in matching.top_candidates(a, b, k, metric, csls_k=csls).collect()}
+        assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
     assert pruning.pruned_candidates(a, b.limit(0), 5, metric).count() == pruning.pruned_candidates(a.limit(0), b, 5, metric).count() == 0
 
 
@@ -436,3 +449,32 @@ def test_main_directions_without_the_whole_sum(spark):
     assert np.allclose(one @ one.T, two @ two.T, atol=1e-8)
     old = vectors.FAN_IN
     assert old ** 2 >= 100_000 and vectors.main_directions(v.limit(0), 3).shape == (0, 0)
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_large_json_objects_are_read_by_ranges(spark, tmp_path, indent):
+    import json
+    import random
+
+    from pyspark.sql import types as T
+
+    from kgalign.sources import files, json_object
+
+    rng = random.Random(5)
+    odd = ['a"b', "c\\", '},"x": {', "{[", "é\n\t", "", "\\\\\"}", "日本,", " ,", "]}"]
+    lists = {f"{rng.choice(odd)}{i}": {"ref": i, "ground_rank": i % 7, "candidates": [i, i + 1], "cand_sims": [0.5, 0.25], "difficulty": i / 4} for i in range(400)}
+    texts_ = {f"{i}{rng.choice(odd)}": rng.choice(odd) * rng.randint(0, 9) for i in range(400)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b"), spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for name, objects, kind in (("lists", [lists, {"only": lists[next(iter(lists))]}, {}], files.CANDIDATE), ("texts", [texts_], T.StringType())):
+            (tmp_path / name).mkdir()
+            for i, x in enumerate(objects):
+                (tmp_path / name / f"{i}.json").write_text(json.dumps(x, indent=indent, ensure_ascii=bool(i)) + "\n" * i, encoding="utf-8")
+            path = str(tmp_path / name)
+            got = sorted(((r.key, r.value) for r in json_object.read_json_object(spark, path, kind).collect()), key=repr)
+            want = sorted(((r.key, r.value) for r in files.read_json_map(spark, path, kind).collect()), key=repr)
+            assert got == want and len(got) == sum(map(len, objects))
+            assert spark.read.option("lineSep", "}" if name == "lists" else ",").text(path).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0]), spark.conf.set("spark.sql.files.openCostInBytes", old[1])

@@ -105,6 +105,40 @@ def test_files_round_trip(spark, tmp_path):
     assert files.read_json_map(spark, str(tmp_path / "c.json")).first()["value"]["candidates"] == [1, 2]
 
 
+def test_raw_folder_to_standard_rows(spark, tmp_path):
+    """A small folder of raw files of all kinds and the rows that come of it, worked out by hand."""
+    lines = {
+        "att": [
+            '<http://data.doremus.org/expression/0a-b> <http://www.w3.org/2000/01/rdf-schema#label> "Sonate \\"Au clair\\" n_1"@fr .',
+            '<http://data.doremus.org/expression/0a-b> <http://erlangen-crm.org/current/P3_has_note> "op. 27\tno. 2"^^<http://www.w3.org/2001/XMLSchema#string> .',
+            "# made by hand", "<http://data.doremus.org/broken> <http://x> .",
+            "<http://data.doremus.org/expression/c%20d> <http://purl.org/dc/terms/creator> <http://data.doremus.org/artist/B_C> . ",
+        ],
+        "ents": ["7\thttp://data.doremus.org/expression/0a-b", "8\thttp://data.doremus.org/artist/B_C", "9\thttp://example.org/other_name"],
+        "rels": ["0\thttp://erlangen-crm.org/current/P14_carried_out_by", "1\thttp://www.w3.org/2002/07/owl#sameAs"],
+        "triples": ["7\t0\t8", "8\t1\t9", "7\t0\t55", "x\t0\t8"], "train": ["7\t9"], "test": ["8\t8", "9\t99"],
+    }
+    for name, text in lines.items():
+        (tmp_path / name).write_text("\n".join(text) + "\n", encoding="utf-8")
+    read = lambda name: files.read_lines(spark, str(tmp_path / name))
+    good, bad = files.parse_n_triples(read("att"))
+    attr = files.compressed(good).withColumn("obj", X.quote(F.col("obj"))).orderBy("pos").collect()
+    assert [(r.subj, r.pred, r.obj) for r in attr] == [
+        ("expression/0a-b", "label", '"Sonate \\"Au clair\\" n_1"'), ("expression/0a-b", "current/P3 has note", '"op. 27\tno. 2"'), ("expression/c20d", "creator", '"artist/B C"'),
+    ]
+    assert [r.value for r in bad.collect()] == ["<http://data.doremus.org/broken> <http://x> ."]
+    ents, rels = (files.parse_name_lines(read(name))[0].drop("pos") for name in ("ents", "rels"))
+    ids, wrong = files.parse_id_triples(read("triples"))
+    known, unknown = resolve.resolve_triples(ids, ents, rels)
+    assert [(r.subj, r.pred, r.obj) for r in known.orderBy("pos").collect()] == [
+        ("expression/0a-b", "current/P14 carried out by", "artist/B C"), ("artist/B C", "sameAs", "http://example.org/other_name"),
+    ]
+    assert [(r.h, r.t) for r in unknown.collect()] == [(7, 55)] and [r.value for r in wrong.collect()] == ["x\t0\t8"]
+    links = lambda name: resolve.resolve_links(read(name).select(*[F.split("value", "\t")[i].cast("long").alias(f"id{i + 1}") for i in (0, 1)]), ents, ents)
+    parts = splits.given_split(links("train"), links("test"))
+    assert sorted(map(tuple, parts.collect())) == [("artist/B C", "artist/B C", "test"), ("expression/0a-b", "http://example.org/other_name", "train")]
+
+
 @pytest.mark.skipif(not os.path.isdir(GOLDEN), reason="no golden files")
 class TestGolden:
     raw, standard = f"{GOLDEN}/rawData/doremus_en", f"{GOLDEN}/standard/doremus_en"
