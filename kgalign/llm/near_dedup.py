@@ -13,6 +13,12 @@ and only survivors become rows. So every pair that shares a bucket is either com
 or already known to be connected, while a group of n near copies costs about n pairs,
 also where a few strangers share its bucket.
 
+A bucket of many members that are not near each other, such as texts made from one template, would be compared
+pair by pair. Members of such a bucket, more than CROWD outside its largest component, meet by their rarest shingles instead: two sets at
+the threshold share one of the first ``n - ceil(threshold * n) + 1`` shingles of either, in any order that is the
+same for all; with the shingles that many of these members hold put last, a template's own are not among them. This
+loses no pair, so the buckets stand for no more than they did.
+
 With 64 bands of 6 rows a pair at 0.75 shares no bucket with probability 4e-6,
 a pair at 0.8 with 4e-9.
 
@@ -47,6 +53,10 @@ MISS = 1e-6
 LONG_BITS, LONG_BATCH = 4096, 512
 #: Rows of a bucket in one block of comparisons.
 BLOCK_ROWS = 512
+#: Rows of a bucket outside its largest component, beyond which they meet by rare shingles.
+CROWD = 4096
+#: Shingles that are counted as common, at most: 8 bytes each in every worker. Beyond, some count as rare, which costs time alone.
+COMMON = 1 << 20
 SEED = 11
 
 
@@ -156,8 +166,11 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["rep", "marks"])
 
 
-def _compare_blocks(percent: int, miss: float):
-    """Surviving pairs ``(a, b)``, a > b, of rows ``bucket, i, j, own, rep, component, n_shingles, marks, bands`` sorted by block."""
+def _compare_blocks(percent: int, miss: float, once: bool = True):
+    """Surviving pairs ``(a, b)``, a > b, of rows ``bucket, i, j, own, rep, component, n_shingles, marks, bands`` sorted by block.
+
+    With ``once``, buckets are bands, and a pair is told by one of those it shares.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -191,8 +204,9 @@ def _compare_blocks(percent: int, miss: float):
                 kept = survivors(marks[lo:hi], x, y)
                 x, y = x[kept], y[kept]
                 # A pair that shares several buckets is told by the one of its first common band alone.
-                first = (bands[lo:hi][x] == bands[lo:hi][y]).argmax(axis=1)
-                x, y = (side[bands[lo:hi][x, first] == bucket[lo]] for side in (x, y)) if len(x) else (x, y)
+                if once and len(x):
+                    first = (bands[lo:hi][x] == bands[lo:hi][y]).argmax(axis=1)
+                    x, y = (side[bands[lo:hi][x, first] == bucket[lo]] for side in (x, y))
                 a.append(r[x]), b.append(r[y])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
@@ -284,15 +298,74 @@ def _open(scratch: Scratch, shared: DataFrame, found: DataFrame) -> DataFrame:
     return scratch.save(placed.join(scratch.save(mixed, "mixed"), "bucket"), "open")
 
 
-def _across(scratch: Scratch, rows: DataFrame, marks: DataFrame, percent: int, miss: float) -> DataFrame:
+def _sizes(rows: DataFrame) -> DataFrame:
+    """``bucket, n, top``: its rows, and the count and name of its largest component."""
+    each = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    return each.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
+
+
+def _common_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the shingles of sets, those of a few thousand sets at a time."""
+    import numpy as np
+
+    for batch in batches:
+        found, counts = np.unique(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.int64), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts.astype(np.int64))], names=["shingle", "n"])
+
+
+def _prefixes(percent: int, common):
+    """``rep, bucket``: the shingles of each set by which it meets others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        last = common.value  # sorted, with the place of each in the order from rare to common
+        for batch in slices(batches):
+            reps, found = [], []
+            for rep, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                s = np.frombuffer(data, dtype=np.int64)
+                n = len(s) - -(-percent * len(s) // 100) + 1
+                place = np.zeros(len(s), dtype=np.int64)
+                if len(last[0]):
+                    at = np.minimum(np.searchsorted(last[0], s), len(last[0]) - 1)
+                    place = np.where(last[0][at] == s, last[1][at], 0)
+                first = s[np.lexsort((s, place))[:n]]
+                reps.append(np.full(len(first), rep)), found.append(first)
+            if reps:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(np.concatenate(found))], names=["rep", "bucket"])
+
+    return run
+
+
+def _crowded(scratch: Scratch, rows: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` without crowded buckets, and the members of these in buckets of their rarest shingles, where there are any."""
+    import numpy as np
+
+    crowds = scratch.save(_sizes(rows).where(F.col("n") - F.col("top.c") > CROWD).select("bucket"), "crowds")
+    if crowds.isEmpty():
+        return rows, None
+    members = scratch.save(rows.join(crowds, "bucket", "left_semi").select("rep", "n_shingles", "component").distinct(), "members")
+    own = scratch.save(sets.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "own")
+    least = max(16, members.count() >> 10)
+    counts = own.select("shingles").mapInArrow(_common_shingles, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(COMMON).collect()
+    shingle = np.array([r["shingle"] for r in found], dtype=np.int64)
+    by = np.argsort(shingle)
+    common = scratch.spark.sparkContext.broadcast((shingle[by], (len(found) - np.arange(len(found)))[by]))
+    met = scratch.save(own.mapInArrow(_prefixes(percent, common), "rep long, bucket long"), "prefixes")
+    shared = scratch.save(met.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket"), "shared_prefixes")
+    placed = scratch.save(met.join(shared, "bucket").join(members, "rep"), "placed_prefixes")
+    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
+    return rows.join(crowds, "bucket", "left_anti"), scratch.save(placed.join(scratch.save(mixed, "mixed"), "bucket"), "crowd")
+
+
+def _across(scratch: Scratch, rows: DataFrame, marks: DataFrame, percent: int, miss: float, once: bool = True) -> DataFrame:
     """Pairs of a bucket's rows in different components that survive the comparison of signatures.
 
     Only rows outside a bucket's largest component meet others: each part of them meets
     itself and the later ones, and the parts of the largest component.
     """
-    each = rows.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    sizes = each.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct("c", "component")).alias("top"))
-    block = F.lit(BLOCK_ROWS)
+    sizes, block = _sizes(rows), F.lit(BLOCK_ROWS)
     parts = scratch.save(sizes.select(
         "bucket", F.col("top.component").alias("largest"),
         F.ceil((F.col("n") - F.col("top.c")) / block).cast("int").alias("others"), F.ceil(F.col("top.c") / block).cast("int").alias("inside"),
@@ -308,7 +381,7 @@ def _across(scratch: Scratch, rows: DataFrame, marks: DataFrame, percent: int, m
     dealt = rows.select("bucket", "own", "rep", "component", "n_shingles", at.alias("at")).join(marks, "rep")
     dealt = dealt.select("bucket", "at.i", "at.j", "own", "rep", "component", "n_shingles", "marks", "bands")
     dealt = dealt.repartition(shuffle_partitions(scratch.spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(_compare_blocks(percent, miss), "a long, b long")
+    return dealt.mapInArrow(_compare_blocks(percent, miss, once), "a long, b long")
 
 
 FEATURES = "doc_id long, n_shingles long, set_key binary, bands array<long>, marks binary"
@@ -371,7 +444,11 @@ def _near(scratch: Scratch, docs: DataFrame, made: DataFrame, percent: int, miss
     open_rows = _open(scratch, shared, found)
     sets = near.sets(open_rows.select(F.col("rep").alias("doc_id")).distinct())
     bits = scratch.save(sets.mapInArrow(_bits, "rep long, marks binary"), "bits")
-    across = _across(scratch, open_rows, bits.join(reps.select("rep", "bands"), "rep"), percent, miss)
+    signed = bits.join(reps.select("rep", "bands"), "rep")
+    open_rows, crowd = _crowded(scratch, open_rows, sets, percent)
+    across = _across(scratch, open_rows, signed, percent, miss)
+    if crowd is not None:
+        across = across.unionByName(_across(scratch, crowd, signed, percent, miss, once=False))
     more = near.confirmed(scratch.save(across.distinct().join(stars, ["a", "b"], "left_anti"), "across"), sets)
     found = scratch.save(components(scratch, links.unionByName(more)), "found")
 

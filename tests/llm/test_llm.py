@@ -672,6 +672,42 @@ def test_near_dedup_of_open_buckets_in_parts(spark, monkeypatch):
     assert len(set(want)) > 1 and {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, rows).collect()} == dict(enumerate(want))
 
 
+def test_crowds_made_from_a_template_meet_by_rare_shingles(spark, monkeypatch):
+    """Thousands of texts at similarity 0.6 in common buckets, among them pairs that are near: few rows are made, and no link is lost."""
+    from kgalign.llm.common import Scratch
+
+    monkeypatch.setattr(near_dedup, "CROWD", 40)
+    rng = random.Random(12)
+    template, texts = [f"t{i}" for i in range(60)], []
+    for i in range(2500):
+        own = [f"o{rng.randrange(10**7)}" for _ in range(16)]
+        texts.append(template + own)
+        if i % 10 == 0:  # a near copy: a few of its own words differ
+            texts.append(template + own[:11] + [f"c{rng.randrange(10**7)}" for _ in range(5)] if i % 20 else template + own[:1] + ["x"] + own[2:])
+    texts = [" ".join(t) for t in texts]
+    made, save = {}, Scratch.save
+
+    def told(self, df, name, *by):
+        out = save(self, df, name, *by)
+        made[name] = out
+        return out
+
+    monkeypatch.setattr(Scratch, "save", told)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert made["members"].count() > 1000  # the buckets are crowded
+    assert made["crowd"].count() < 20 * len(texts)
+    sets, holds = _sets(texts), {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holds.setdefault(x, []).append(i)
+    near = [(h[k], h[m]) for h in holds.values() if 1 < len(h) < 100 for m in range(len(h)) for k in range(m)]
+    want = list(range(len(sets)))
+    for i, j in sorted(set(near)):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+            want[j] = want[i]
+    assert got == dict(enumerate(want)) and len(set(want)) < len(texts) - 100
+
+
 def test_sharding_cuts_few_links(spark):
     """Cut links before (by hash) and after propagation, of groups far smaller than a shard."""
     rng = random.Random(1)
