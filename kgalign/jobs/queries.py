@@ -264,7 +264,7 @@ def resolved_triples(spark, d):
     return resolve.resolve_triples(ids, ents, rels)[0]
 
 
-@_query("unresolved_triples", "SELECT o_orderkey AS h, 0 AS r, o_custkey AS t FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
+@_query("unresolved_triples", "SELECT o_orderkey AS h, CAST(0 AS BIGINT) AS r, o_custkey AS t FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def unresolved_triples(spark, d):
     """The triples of which an id is not in the dictionary: here those of one segment's customers."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
