@@ -441,6 +441,31 @@ def test_pruned_candidates_are_exact_with_few_products(spark, metric):
     assert pruning.pruned_candidates(a, b.limit(0), 5, metric).count() == pruning.pruned_candidates(a.limit(0), b, 5, metric).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["inner", "cosine", "euclidean", "manhattan"])
+def test_a_source_keeps_its_best_over_many_blocks(spark, metric):
+    """What leaves a task is k rows for each source, not for each pair of blocks; no pair of blocks is shuffled where nothing can be pruned."""
+    rng = np.random.default_rng(9)
+    x, y = np.round(rng.normal(size=(90, 6)), 1), np.round(rng.normal(size=(210, 6)), 1)  # with ties
+    a, b = storage.written(_vectors(spark, x, 0)), storage.written(_vectors(spark, y, 1000))
+    few = matching.crossed(matching.packed(a, 16), matching.packed(b, 16)).mapInArrow(matching.best_of_pairs(4, metric, False), "src long, tgt long, sim double")
+    assert few.count() == 90 * 4
+    sims = np.round(matching.similarity(x, y, metric), matching.PLACES)
+    want = {(i, n + 1): 1000 + j for i in range(90) for n, j in enumerate(sorted(range(210), key=lambda j: (-sims[i, j], j))[:4])}
+    assert {(r.src, r.place): r.tgt for r in matching.top_candidates(a, b, 4, metric, 16).collect()} == want
+    pruned = pruning.pruned_candidates(a, b, 4, metric, 16)
+    assert {(r.src, r.place): r.tgt for r in pruned.collect()} == want
+    plan = pruned._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "x_m" not in plan
+
+
+def test_values_that_are_no_numbers_come_first(spark):
+    """As in a sort, in one block or in several."""
+    y = np.array([[1.0, 0], [float("nan"), 0], [3, 0], [2, 0], [float("inf"), 0], [4, 0]])
+    a, b = storage.written(_vectors(spark, np.array([[1.0, 1]]), 0)), storage.written(_vectors(spark, y, 10))
+    for rows in (2, 1024):
+        assert [r.tgt for r in matching.top_candidates(a, b, 4, "inner", rows).orderBy("place").collect()] == [11, 14, 15, 12]
+
+
 def test_main_directions_without_the_whole_sum(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(size=(60, 5)) * [9, 5, 3, 1, 0.2] @ np.linalg.qr(rng.normal(size=(30, 5)))[0].T
