@@ -21,6 +21,10 @@ from ..storage import exists, new_folder, workers_find_package, written
 
 #: Questions of a chunk: what is lost at most, and what the workers share among them.
 CHUNK_ROWS = 100_000
+#: Questions of a chunk that one task deals out; a chunk may be a large share of the table.
+PART_ROWS = 10_000
+#: Tasks that deal out questions, at most.
+DEALERS = 10_000
 
 
 def still_to_do(texts: DataFrame, done: DataFrame) -> DataFrame:
@@ -83,7 +87,10 @@ class AnswerStore:
             return
         dealt = new_folder(self.spark, "chunks")
         # A chunk's questions lie together, so that its job reads no other's.
-        todo.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(chunks)).cast("int")).repartition("part").write.partitionBy("part").parquet(dealt)
+        h, parts = F.xxhash64("key"), -(-chunk_rows // PART_ROWS)
+        rows = todo.withColumn("part", F.pmod(h, F.lit(chunks)).cast("int"))
+        rows = rows.repartition(min(DEALERS, chunks * parts), "part", F.pmod(F.xxhash64(h), F.lit(parts)))
+        rows.write.partitionBy("part").parquet(dealt)
         dealt = self.spark.read.schema("key string, prompt string, part int").parquet(dealt)
         at = self.manifest().count()
         for part in range(chunks if max_chunks is None else min(chunks, max_chunks)):

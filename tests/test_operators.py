@@ -441,6 +441,18 @@ def test_pruned_candidates_are_exact_with_few_products(spark, metric):
     assert pruning.pruned_candidates(a, b.limit(0), 5, metric).count() == pruning.pruned_candidates(a.limit(0), b, 5, metric).count() == 0
 
 
+def test_a_large_chunk_of_questions_is_dealt_by_many_tasks(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(enrich, "PART_ROWS", 20)
+    monkeypatch.setattr(enrich, "new_folder", lambda s, n: made.append(storage.new_folder(s, n)) or made[-1])
+    docs = spark.createDataFrame([(i, f"n{i}", f"c{i}") for i in range(300)], "id long, name string, content string")
+    out = enrich.enriched(docs, lambda q: q[-4:], "short", path=str(tmp_path / "a"), chunk_rows=150)
+    assert out.where("status = 'ok'").count() == 300
+    sizes = [spark.read.parquet(f"{made[0]}/part={k}").rdd.glom().map(len).sum() for k in (0, 1)]
+    files_ = [len(spark.read.parquet(f"{made[0]}/part={k}").inputFiles()) for k in (0, 1)]
+    assert sum(sizes) == 300 and min(files_) > 2
+
+
 @pytest.mark.parametrize("metric", ["inner", "cosine", "euclidean", "manhattan"])
 def test_a_source_keeps_its_best_over_many_blocks(spark, metric):
     """What leaves a task is k rows for each source, not for each pair of blocks; no pair of blocks is shuffled where nothing can be pruned."""
