@@ -441,6 +441,22 @@ def test_pruned_candidates_are_exact_with_few_products(spark, metric):
     assert pruning.pruned_candidates(a, b.limit(0), 5, metric).count() == pruning.pruned_candidates(a.limit(0), b, 5, metric).count() == 0
 
 
+def test_a_common_predicate_is_not_brought_to_one_task(spark, monkeypatch):
+    rows = [(f"s{i % 40}", "common" if i % 10 else f"rare{i % 3}", f"o{i % 7}", i) for i in range(400)]
+    t = storage.written(spark.createDataFrame(rows, "subj string, pred string, obj string, pos long"))
+    every = lambda: [sorted(map(tuple, f(t).collect()), key=str) for f in (lambda t: graph.functional(t, 0.05), graph.ordered_facts, graph.first_keys)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for f in (lambda t: graph.functional(t, 0.05), graph.ordered_facts, graph.first_keys):
+            assert "hashpartitioning(pred" not in f(t)._jdf.queryExecution().executedPlan().toString()
+        few = every()
+        monkeypatch.setattr(graph, "MAX_PREDICATES", 0)  # as with more predicates than are broadcast
+        assert every() == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_a_large_chunk_of_questions_is_dealt_by_many_tasks(spark, tmp_path, monkeypatch):
     made = []
     monkeypatch.setattr(enrich, "PART_ROWS", 20)
