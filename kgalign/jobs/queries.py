@@ -246,8 +246,9 @@ f AS (SELECT token, min(row(e.id, num)) AS first0 FROM e GROUP BY token), v AS (
 SELECT w.id, coalesce(string_agg(CAST(tid AS VARCHAR), ' ' ORDER BY num), '') AS token_ids FROM w LEFT JOIN e ON w.id = e.id LEFT JOIN v USING (token) GROUP BY w.id""")
 def token_ids(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    names = rows.select("id", F.posexplode(X.words(F.col("content"))).alias("at", "name")).select("name", F.struct("id", "at").alias("pos"))
-    return tokens.token_ids(rows, graph.dictionary(names)).select("id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("token_ids"))
+    bundles = tokens.bundled(rows)
+    ids = tokens.ids_of_bundles(bundles, graph.dictionary(tokens.names_of(bundles)))
+    return ids.select("id", F.array_join(F.transform("token_ids", lambda x: x.cast("string")), " ").alias("token_ids"))
 
 
 # --- resolving -----------------------------------------------------------------------------------

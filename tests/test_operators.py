@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kgalign import storage
+from kgalign.jobs import queries
 from kgalign.operators import enrich, graph, matching, pruning, resolve, splits, texts, tokens, vectors
 
 
@@ -202,6 +203,60 @@ def test_tokens(spark):
     assert {r.id: r.token_ids for r in tokens.token_ids(t, v).collect()} == {1: [1, 0, 1], 2: []}
 
 
+@pytest.mark.parametrize("bundle_bytes", [1, 1 << 20])
+def test_token_ids_by_bundles(spark, bundle_bytes):
+    """A bundle asks for a token once, however often it stands there; unknown tokens are left out, names in the vocabulary twice give both ids."""
+    said = [(7, "b a b"), (-3, None), (5, ""), (2, "c x a " + "b " * 500), (9, "x")] + [(100 + i, "a b c " * 40) for i in range(60)]
+    t = spark.createDataFrame(said, "id long, content string").coalesce(1)
+    bundles = tokens.bundled(t, bundle_bytes=bundle_bytes)
+    assert bundles.count() == (1 if bundle_bytes > 1 else -(-len(said) // 16))
+    names = tokens.names_of(bundles)
+    assert names.count() <= 4 * bundles.count()  # 7,708 tokens
+    assert {(r.name, r.pos.id, r.pos["at"]) for r in names.groupBy("name").agg(F.min("pos").alias("pos")).collect()} == {("c", 2, 0), ("x", 2, 1), ("a", 2, 2), ("b", 2, 3)}
+    v = spark.createDataFrame([(0, "a"), (1, "b"), (3, "c"), (2, "c"), (4, "no")], "id int, name string")
+    known = {"a": [0], "b": [1], "c": [2, 3]}
+    want = {i: [n for w in (c or "").split() for n in known.get(w, [])] for i, c in said}
+    got = tokens.ids_of_bundles(bundles, v)
+    assert got.dtypes == [("id", "bigint"), ("token_ids", "array<bigint>")] and {r.id: r.token_ids for r in got.collect()} == want
+    assert {r.token_ids == [] for r in tokens.ids_of_bundles(bundles, v.where("id = 4")).collect()} == {True}
+    assert tokens.token_ids(t.where("id = 0"), v).count() == 0
+    # Ids of another type, equal and missing ones, and a tokenizer that gives nulls.
+    odd = spark.createDataFrame([("y", "b"), ("x", "c b"), ("x", "b"), (None, "a")], "id string, content string").coalesce(1)
+    cut = tokens.bundled(odd, lambda c: F.when(c != "a", F.split(F.concat(c, F.lit(" ?")), " ")))
+    assert {(r.name, r.pos.id, r.pos["at"]) for r in tokens.names_of(cut).collect()} == {("b", "x", 0), ("c", "x", 0), ("?", "x", 1)}
+    assert sorted((r.id or "", r.token_ids) for r in tokens.ids_of_bundles(cut, v).collect()) == [("", []), ("x", [1]), ("x", [2, 3, 1]), ("y", [1])]
+    nulls = tokens.token_ids(odd, v, lambda c: F.array(F.lit(None).cast("string"), c))
+    assert sorted((r.id or "", r.token_ids) for r in nulls.collect()) == [("", [0]), ("x", []), ("x", [1]), ("y", [1])]
+
+
+def _records_shuffled(spark, f):
+    """Rows that the stages of ``f()`` write for shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {s.stageId(): s.shuffleWriteRecords() for s in map(found.apply, range(found.size()))}
+
+    last = max(stages(), default=-1)
+    f()
+    return sum(n for stage, n in stages().items() if stage > last)
+
+
+def test_token_ids_shuffle_no_row_for_each_place(spark, tmp_path):
+    """A row for each place of a token went through the joins and the grouping by text; now one for each bundle and token does."""
+    at = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda i: ((F.col("id") * 7 + i * i) % 90).cast("string"))
+    spark.range(200).select(F.col("id").alias("doc_id"), F.array_join(at, " ").alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got, old = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with a vocabulary too large to broadcast
+    try:
+        moved = _records_shuffled(spark, lambda: got.extend(queries.queries()["token_ids"](spark, str(tmp_path)).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(len(r.token_ids.split(" ")) for r in got) == [500] * 200
+    assert 0 < moved < 2000  # 100,000 tokens, 90 of them distinct
+
+
 def test_enrichment(spark):
     def _fails_on_x(question):
         if "x" in question.split("Details:")[-1]:
