@@ -89,13 +89,27 @@ def parse_id_triples(lines: DataFrame, order: str = "hrt") -> tuple[DataFrame, D
     return _fit(rows, F.col("h").isNotNull() & F.col("r").isNotNull() & F.col("t").isNotNull(), ["h", "r", "t"])
 
 
+def _written_field(c: Column) -> Column:
+    """Null as ``\\N``; a text that is backslashes and an ``N`` with one backslash more; any other text as it is."""
+    return F.when(c.isNull(), F.lit("\\N")).when(c.rlike(r"\A\\+N\z"), F.concat(F.lit("\\"), c)).otherwise(c)
+
+
+def _read_field(c: Column) -> Column:
+    return F.when(c == "\\N", F.lit(None)).when(c.rlike(r"\A\\+N\z"), F.substring(c, F.lit(2), F.length(c))).otherwise(c)
+
+
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Tab-separated, no quoting: double quotes in a text survive. Null and empty are both an empty field, which is read as null."""
-    df.write.option("sep", "\t").option("quote", "").option("escape", "\\").option("emptyValue", "").csv(path)
+    """Tab-separated, no quoting: a text without tabs and line feeds is written as it is. Null is ``\\N``, an empty text an empty field."""
+    fields = [_written_field(F.col(c).cast("string")) for c in df.columns]
+    df.select(F.concat_ws("\t", *fields).alias("value")).write.option("lineSep", "\n").text(path)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("escape", "\\").csv(path)
+    """Lines end in a line feed alone: a carriage return belongs to its text. Fields that are missing or don't fit their type are null."""
+    fields = F.split("value", "\t")
+    types = spark.createDataFrame([], schema).schema
+    lines = spark.read.option("lineSep", "\n").text(path)
+    return lines.select(*[_read_field(F.get(fields, F.lit(i))).try_cast(t.dataType).alias(t.name) for i, t in enumerate(types)])
 
 
 def write_dictionary(names: DataFrame, path: str, name_first: bool = False) -> None:
@@ -106,7 +120,7 @@ def write_dictionary(names: DataFrame, path: str, name_first: bool = False) -> N
 def read_dictionary(spark: SparkSession, path: str, name_first: bool = False) -> tuple[DataFrame, DataFrame]:
     """``id, name`` as they are, of ``id <tab> name`` lines or of ``name <tab> id`` lines, and the lines that are neither."""
     rows = read_lines(spark, path).withColumn("f", F.split(F.regexp_replace("value", r"[\r\n]+\z", ""), "\t"))
-    number, name = F.get("f", F.lit(1 if name_first else 0)), F.get("f", F.lit(0 if name_first else 1))
+    number, name = F.get("f", F.lit(1 if name_first else 0)), _read_field(F.get("f", F.lit(0 if name_first else 1)))
     rows = rows.select("*", number.try_cast("long").alias("id"), name.alias("name"))
     good, bad = _fit(rows, F.col("id").isNotNull() & (F.size("f") == 2), ["id", "name"])
     return good.drop("pos"), bad

@@ -105,6 +105,19 @@ def test_files_round_trip(spark, tmp_path):
     assert files.read_json_map(spark, str(tmp_path / "c.json")).first()["value"]["candidates"] == [1, 2]
 
 
+def test_tsv_gives_every_text_back(spark, tmp_path):
+    odd = ["", None, " a ", "a\r", "a\rb", "\r\nb".replace("\n", ""), "\u00a0a\u3000", "\x00", "a\x00b", '"', '""', '"a', 'a"b"', "\\", "a\\", "\\N", "\\\\N", "N", "\\x", "#a", "\ufeffa", "\u2028a\x85", "\\t", "null", "x" * 100_000]
+    rows = spark.createDataFrame([(i, x, odd[-1 - i]) for i, x in enumerate(odd)], "id long, name string, content string")
+    files.write_tsv(rows.repartition(2), str(tmp_path / "t"))
+    got = files.read_tsv(spark, str(tmp_path / "t"), "id long, name string, content string")
+    assert got.schema == rows.schema and sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    names = spark.createDataFrame([(1, ""), (2, None), (3, "\\N"), (4, " a ")], "id long, name string")
+    for name_first in (False, True):
+        files.write_dictionary(names, str(tmp_path / f"d{name_first}"), name_first)
+        good, bad = files.read_dictionary(spark, str(tmp_path / f"d{name_first}"), name_first)
+        assert sorted(map(tuple, good.collect())) == sorted(map(tuple, names.collect())) and bad.count() == 0
+
+
 def test_raw_folder_to_standard_rows(spark, tmp_path):
     """A small folder of raw files of all kinds and the rows that come of it, worked out by hand."""
     lines = {
