@@ -359,6 +359,40 @@ def test_facts_of_hubs_are_ranked_by_range(spark, monkeypatch):
     assert sorted(map(repr, table)) == sorted(repr(tuple(r)) for r in graph.relation_table(rel).collect())
 
 
+def _as_literals(rel):
+    return rel.select("subj", "pred", F.concat(F.lit('"'), "obj", F.lit('"')).alias("obj"), "pos")
+
+
+def test_hubs_have_the_texts_that_packed_subjects_have(spark, monkeypatch):
+    rel = storage.written(_hub(spark, 60).unionByName(spark.createDataFrame([("o5", "back", "s1", 7), ("o6", "back", "hub", 8)], "subj string, pred string, obj string, pos long")))
+    attr = storage.written(_as_literals(rel.where("subj <> 's7'")).unionByName(spark.createDataFrame([("hub", "long", '"' + "x" * 30 + '"', 5), ("o5", "p", '"v"', 6)], "subj string, pred string, obj string, pos long")))
+    ents = rel.select(F.explode(F.array("subj", "obj")).alias("name")).distinct()
+    build = (
+        lambda: texts.attribute_text(ents, attr), lambda: texts.relation_text(ents, rel, 2), lambda: texts.attribute_relation_text(ents, attr, rel, True),
+        lambda: graph.keyed(rel, least_functionality=0.9),
+    )
+    some = []
+    for most in (1 << 11, 1):
+        monkeypatch.setattr(graph, "PACKED_FACTS", most)
+        some.append([sorted(map(str, f().collect())) for f in build])
+    assert some[0] == some[1] and len(some[0][1]) == 121
+    table = sorted(map(str, graph.relation_table(rel).collect()))
+    assert table == sorted(map(str, graph.relation_table(rel, hub_facts=20).collect()))
+
+
+def test_facts_are_not_written(spark, monkeypatch):
+    """Triples made of a table row by row are made again where they are read, and no step writes a row for each fact."""
+    kept = storage.written(spark.createDataFrame([(f"e{i % 9}", f"r{i % 3}", f"e{i % 7}", i) for i in range(400)], "s string, p string, o string, at long"))
+    rel = kept.select(F.col("s").alias("subj"), F.col("p").alias("pred"), F.col("o").alias("obj"), F.col("at").alias("pos"))
+    assert storage.as_table(rel) is rel and storage.as_table(rel.distinct()) is not rel
+    ents, attr, sizes, old = rel.select(F.col("subj").alias("name")).distinct(), _as_literals(rel), [], storage.written
+    for module in (graph, texts, storage):
+        monkeypatch.setattr(module, "written", lambda df: sizes.append(df.count()) or old(df))
+    for df in (texts.relation_text(ents, rel), texts.attribute_relation_text(ents, attr, rel), texts.attribute_relation_text(ents, attr, rel, True), graph.relation_table(rel)):
+        df.collect()
+    assert len(sizes) > 4 and max(sizes) < 100
+
+
 def _asked(folder):
     from collections import Counter
 
